@@ -54,8 +54,8 @@ def drop_table(df: DataFrame) -> None:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z, every other character unchanged."""
-    return F.translate(text, UPPER, LOWER)
+    """A-Z to a-z, every other character unchanged. Texts of ASCII alone take the faster lower()."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

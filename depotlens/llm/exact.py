@@ -33,10 +33,9 @@ def _fingerprint(block: str) -> Column:
 
 def block_names(docs: DataFrame, block: int = BLOCK, fingerprint=_fingerprint) -> DataFrame:
     """(id, v0) to (id, n, pos, name, sha): the named blocks of every text, with the text's digest at block 0."""
-    norm = ascii_lower(F.coalesce("v0", F.lit("")))
-    parts = F.regexp_extract_all(norm, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
-    parts = F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts)
-    rows = docs.select("id", parts.alias("parts"), F.sha2(norm.cast("binary"), 256).alias("sha"))
+    cut_up = F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    parts = F.when(F.char_length("norm") <= block, F.array("norm")).otherwise(cut_up)
+    rows = docs.select("id", ascii_lower(F.coalesce("v0", F.lit(""))).alias("norm")).select("id", parts.alias("parts"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
     blocks = rows.select("id", F.size("parts").alias("n"), "sha", F.posexplode("parts").alias("pos", "block"))
     keyed = blocks.select("id", "n", "pos", F.when(F.col("pos") == 0, F.col("sha")).alias("sha"), fingerprint("block").alias("h"), "block")
 
