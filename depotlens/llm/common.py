@@ -109,7 +109,6 @@ def bucket_counts(df: DataFrame, features: Callable[[pa.RecordBatch], Iterator[t
     one table of fixed size for each key, and there are few keys (labels).
     """
     size = 1 << bits
-    part = size // 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -118,17 +117,30 @@ def bucket_counts(df: DataFrame, features: Callable[[pa.RecordBatch], Iterator[t
                 count = held.setdefault(key, np.zeros(size, np.int64))
                 count += np.bincount(buckets, minlength=size)
         for key, count in held.items():
-            count = np.minimum(count, 2**31 - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([key] * 16), pa.array(range(16), pa.int32()), pa.array([count[i * part : (i + 1) * part].tobytes() for i in range(16)], pa.binary())], names=["key", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([key] * PARTS), pa.array(range(PARTS), pa.int32()), pa.array(count_parts(count), pa.binary())], names=["key", "part", "counts"])
+
+    return sum_counts(map_rows(df, run, "key string, part int, counts binary"), size)
+
+
+#: Pieces in which counters are summed.
+PARTS = 16
+
+
+def count_parts(count: np.ndarray) -> list[bytes]:
+    return [x.tobytes() for x in np.split(np.minimum(count, 2**31 - 1).astype(np.int32), PARTS)]
+
+
+def sum_counts(rows: DataFrame, size: int) -> dict[str, np.ndarray]:
+    """Add up (key, part, counts) rows on the executors; the driver gets ``size`` numbers for each key."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["counts"])
         return pd.DataFrame({"key": pdf["key"].iloc[:1], "part": pdf["part"].iloc[:1], "counts": [total.tobytes()]})
 
-    schema = "key string, part int, counts binary"
     out: dict[str, np.ndarray] = {}
-    for r in map_rows(df, run, schema).groupBy("key", "part").applyInPandas(add, schema).collect():
-        out.setdefault(r.key, np.zeros(size, np.int64))[r.part * part : (r.part + 1) * part] = np.frombuffer(r.counts, np.int64)
+    for r in rows.groupBy("key", "part").applyInPandas(add, "key string, part int, counts binary").collect():
+        n = size // PARTS
+        out.setdefault(r.key, np.zeros(size, np.int64))[r.part * n : (r.part + 1) * n] = np.frombuffer(r.counts, np.int64)
     return out
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_counts, components, cut, drop_table, list_values, long_lists, map_rows, one_per_id, small, texts
+from .common import PARTS, components, count_parts, cut, drop_table, list_values, long_lists, map_rows, one_per_id, small, sum_counts, texts
 from .shingles import WordHashes, mix, shingle_set
 
 WORDS, PERCENT = 5, 75
@@ -42,10 +42,14 @@ _SEEDS = np.random.default_rng(8).integers(1, 2**63, BANDS * WIDTH, dtype=np.uin
 
 
 def describe(words: int = WORDS):
-    """(id, text) to (id, n, digest, bands): set size, a 128-bit digest of the set, and band keys of minimum hashes."""
+    """(id, text) to (id, n, digest, bands): set size, a 128-bit digest of the set, and band keys of minimum hashes.
+
+    After its texts, a task adds the rows (part, counts) of its share of the
+    sketch: how many of its texts hold the tokens of each hash bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, shift, count = WordHashes(), np.uint64(64 - SKETCH_BITS), np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
             ns, digests, bands = [], [], []
             for text in texts(b.column(1)):
@@ -55,21 +59,18 @@ def describe(words: int = WORDS):
                 if len(s):
                     least = np.array([mix(s ^ seed).min() for seed in _SEEDS], np.uint64).reshape(BANDS, WIDTH)
                     bands.append(mix(least[:, 0] * np.uint64(31) + least[:, 1]).view(np.int64))
+                    np.add.at(count, (s >> shift).astype(np.int64), 1)
                 else:
                     bands.append(np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), long_lists(bands)], names=["id", "n", "digest", "bands"])
+            none = pa.nulls(len(ns), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), long_lists(bands), none, pa.nulls(len(ns), pa.binary())], names=_DESCRIBED)
+        null = pa.nulls(PARTS, pa.int64())
+        yield pa.RecordBatch.from_arrays([null, null, pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.list_(pa.int64())), pa.array(range(PARTS), pa.int32()), pa.array(count_parts(count), pa.binary())], names=_DESCRIBED)
 
     return run
 
 
-def sketch(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """How many texts hold the tokens of each hash bucket: 2**SKETCH_BITS counters over all texts."""
-    hashes, shift = WordHashes(), np.uint64(64 - SKETCH_BITS)
-
-    def tokens(b: pa.RecordBatch):
-        yield "", np.concatenate([shingle_set(x, words, hashes) >> shift for x in texts(b.column(0))] or [np.empty(0, np.uint64)]).astype(np.int64)
-
-    return bucket_counts(docs.select("v0"), tokens, SKETCH_BITS).get("", np.zeros(1 << SKETCH_BITS, np.int64))
+_DESCRIBED = ["id", "n", "digest", "bands", "part", "counts"]
 
 
 def prefixes(counts, words: int = WORDS, percent: int = PERCENT):
@@ -140,12 +141,13 @@ def cross_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     of its prefix has rest = n - p tokens left, so a partner m must satisfy
     (100 + percent) * rest >= percent * (n + m): ``most`` is the largest such m.
     """
-    most = F.call_function("div", (100 + percent) * F.col("rest") - percent * F.col("n"), F.lit(percent))
-    rows = prefix.select("id", "grp", "n", F.posexplode("tokens").alias("p", "token")).withColumn("rest", F.col("n") - F.col("p")).withColumn("most", most)
-    shared = rows.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.min("n").alias("least")).filter("g1 != g2").select("token", "least")
-    shared = cut(shared)
-    few = F.broadcast(shared) if small(shared, BROADCAST_ROWS) else shared
-    rows = cut(rows.join(few, "token").filter("most >= least").select("token", "grp", "id", "n", "most"))
+    each = prefix.select("id", "grp", "n", F.posexplode("tokens").alias("p", "token"))
+    shared = each.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.min("n").alias("least")).filter("g1 != g2").select("token", "least")
+    carried = each.select("token", "id", "p").join(cut(shared), "token")  # narrow rows: what belongs to the set is joined to the few that stay
+    rest = F.col("n") - F.col("p")
+    most = F.call_function("div", (100 + percent) * rest - percent * F.col("n"), F.lit(percent))
+    rows = cut(carried).join(prefix.select("id", "grp", "n"), "id").withColumn("most", most).filter("most >= least").select("token", "grp", "id", "n", "most")
+    rows = cut(rows)
     matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("most").alias("reach")).withColumnRenamed("grp", "other")
     matrix = cut(matrix)
     fits = (F.col("other") > F.col("grp")) & (F.col("least") <= F.col("most")) & (F.col("n") <= F.col("reach"))
@@ -163,11 +165,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result; other columns are ignored.
     """
     rows = one_per_id(docs, id_col, text_col).select("id", "v0")
-    seen = cut(map_rows(rows, describe(words), "id long, n long, digest binary, bands array<long>"))
+    all_rows = cut(map_rows(rows, describe(words), "id long, n long, digest binary, bands array<long>, part int, counts binary"))
+    counts = sum_counts(all_rows.filter("part is not null").select(F.lit("").alias("key"), "part", "counts"), 1 << SKETCH_BITS).get("", np.zeros(1 << SKETCH_BITS, np.int64))
+    seen = all_rows.filter("part is null").select("id", "n", "digest", "bands")
     classes = cut(seen.filter("n > 0").groupBy("n", "digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     links = group_links(classes, rows, words, percent)
     roots = components(links)
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(rows, words))
+    counts = docs.sparkSession.sparkContext.broadcast(counts)
     prefix = map_rows(rows, prefixes(counts, words, percent), "id long, n long, tokens array<long>")
     grouped = classes.select("id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("grp"))
     prefix = cut(prefix.join(grouped, "id"))

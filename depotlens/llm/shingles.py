@@ -31,10 +31,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """A hash for each run of k hashes. Order counts."""
     n = len(h) - k + 1
-    out = mix(h[:n])
+    out = h[:n].copy()
     for i in range(1, k):
-        out = mix(out * _K + h[i : i + n])
-    return out
+        out *= _K
+        out += h[i : i + n]
+    return mix(out)
 
 
 def shingle_set(text: bytes | None, k: int, hashes: WordHashes) -> np.ndarray:
