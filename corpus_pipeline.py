@@ -39,7 +39,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs).drop("ids")
+    return packing.pack(docs, with_ids=False)
 
 
 STAGES = [("language", language_stage), ("exact", exact_stage), ("near", near_stage), ("benchmark", benchmark_stage), ("pack", pack_stage)]

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows, one_per_id, texts
+from .common import map_rows, one_per_id, struct_lists, texts
 from .repeats import removed_units, repeat_windows
 from .shingles import WordHashes
 
@@ -107,10 +107,10 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {id_col: b.column(0), "n_words": [], "n_removed": [], "kept": [], "kept_sha256": []}
-            for text, sent, kept in zip(texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for text, sent, kept in zip(texts(b.column(1)), struct_lists(b.column(2)), struct_lists(b.column(3)), strict=True):
                 words = (text or b"").split()
                 n = len(words)
-                if sent:
+                if len(sent[0]):
                     gone = removed_units(n, length, sent, kept)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 left = b" ".join(words)

@@ -144,6 +144,14 @@ def sum_counts(rows: DataFrame, size: int) -> dict[str, np.ndarray]:
     return out
 
 
+def struct_lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The lists of structs of an Arrow column, each as one array for every field; a null list is empty."""
+    fields, offsets = [f.to_numpy(zero_copy_only=False) for f in column.values.flatten()], column.offsets.to_numpy()
+    for i, ok in enumerate(column.is_valid().to_numpy(zero_copy_only=False)):
+        a, b = (offsets[i], offsets[i + 1]) if ok else (0, 0)
+        yield tuple(f[a:b] for f in fields)
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most so many rows: the check before a broadcast."""
     return df.limit(rows + 1).count() <= rows

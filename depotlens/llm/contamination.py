@@ -20,17 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, one_per_id, texts
+from .shingles import FOLD
 
 WINDOW, SHINGLE = 13, 3
 #: Bytes of benchmark texts in one block, and so in one broadcast index.
 BLOCK_BYTES = 8_000_000
 
-#: Words are runs of digits, letters a-z after folding and all non-ASCII bytes; the rest separates.
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-
-
 def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(_FOLD).split() if text else []
+    return text.translate(FOLD).split() if text else []
 
 
 class Index:

@@ -11,7 +11,6 @@ last is cut into powers of two, which need no padding.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 import numpy as np
 import pyarrow as pa
@@ -19,31 +18,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_counts, map_rows, one_per_id, texts
-from .shingles import WordHashes
+from .shingles import word_numbers
 
 WINDOW, END_ID = 2048, 1
 #: Text bytes of a shard; terms are hashed to 2**TERM_BITS, which bounds the corpus counts.
 SHARD_BYTES, TERM_BITS = 3_000_000, 18
 K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 16, 32
 #: Distinct chunks whose ids a worker remembers.
-CACHE = 700_000
+CACHE = 1_200_000
 
 _HELD: dict[str, "Chunks"] = {}
 
 
-_TAIL = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])[.,](?=[ \t\n\r\x0b\x0c]|\Z)")
-
-
 def chunks_of(text: bytes | None) -> list[bytes]:
-    """A text's chunks between ASCII blanks, A-Z folded, with a full stop or comma behind a letter as its own chunk.
+    """A text's chunks between ASCII blanks, A-Z folded.
 
-    The tokenizer folds case, drops white space and never joins a letter and a
-    stop, so the ids of a text are those of its chunks in order. Texts that may
-    hold special tokens, which are told by case, are not folded.
+    The tokenizer folds case, drops white space and looks at nothing across it, so
+    the ids of a text are those of its chunks in order. Texts that may hold
+    special tokens, which are told by case, are not folded.
     """
-    if not text:
-        return []
-    return _TAIL.sub(r" \g<0>", (text if b"<|" in text else text.lower()).decode()).encode().split()
+    return (text if b"<|" in text else text.lower()).split() if text else []
 
 
 class Chunks(dict):
@@ -79,16 +73,30 @@ class Chunks(dict):
             self[c] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, many: list[list[bytes]]) -> None:
+        """Add the ids of new chunks. A letter and a full stop or comma behind it are never one token, so such chunks are put together from both."""
         new = {c for chunks in many for c in chunks if c not in self}
-        if len(self) + len(new) > CACHE:
+        if len(self) + 2 * len(new) > CACHE:
             self.clear()
             new = {c for chunks in many for c in chunks}
-        words = [c for c in new if c.isalpha() or c.decode().isalpha()]
-        rest = list(new.difference(words))
-        for i in range(0, len(words), 2000):
-            self._alike(words[i : i + 2000])
-        for i in range(0, len(rest), 2000):
-            self._apart(rest[i : i + 2000])
+        alike, apart, both = set(), set(), []
+        for c in new:
+            word = c[:-1] if c[-1] in b".," else c
+            if not (word.isalpha() or word.decode().isalpha()):
+                apart.add(c)
+                continue
+            if word is not c:
+                both.append(c)
+                if c[-1:] not in self:
+                    apart.add(c[-1:])
+            if word not in self:
+                alike.add(word)
+        alike, apart = list(alike), list(apart)
+        for i in range(0, len(alike), 2000):
+            self._alike(alike[i : i + 2000])
+        for i in range(0, len(apart), 2000):
+            self._apart(apart[i : i + 2000])
+        for c in both:
+            self[c] = self[c[:-1]] + self[c[-1:]]
 
     def encode(self, chunks: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join([*map(self.__getitem__, chunks), _END]), "<u4")
@@ -178,8 +186,8 @@ def pieces(lengths: list[int], order: list[int], window: int) -> list[tuple[int,
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, with_ids: bool = True) -> DataFrame:
+    """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if wanted.
 
     A null or blank text is its end id alone. Repeated ids count once, with their
     greatest text; rows without an id are left out; an empty table gives no
@@ -188,29 +196,31 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """
     path = tokenizer or default_tokenizer()
     rows = one_per_id(docs, id_col, text_col)
-    hashes = WordHashes()
     shift = np.uint64(64 - TERM_BITS)
-    terms = lambda chunks: (hashes.of(chunks) >> shift).astype(np.int64)
+    terms = lambda text: (word_numbers(text) >> shift).astype(np.int64)
 
     def count(b: pa.RecordBatch):
-        found = [terms(chunks_of(x)) for x in texts(b.column(0))]
+        found = [terms(x) for x in texts(b.column(0))]
         yield "df", np.concatenate([np.unique(x) for x in found] or [np.empty(0, np.int64)])
+        yield "words", np.concatenate(found or [np.empty(0, np.int64)])
 
-    n, size, words = rows.agg(F.count("*"), F.sum(F.octet_length("v0").cast("long")), F.sum(F.regexp_count("v0", F.lit(r"\s+")).cast("long") + 1)).first()
-    df = bucket_counts(rows.select("v0"), count, TERM_BITS).get("df", np.zeros(1 << TERM_BITS, np.int64))
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("v0").cast("long"))).first()
+    counts = bucket_counts(rows.select("v0"), count, TERM_BITS)
+    df = counts.get("df", np.zeros(1 << TERM_BITS, np.int64))
+    mean = max(1.0, float(counts.get("words", df).sum()) / max(1, n))
     idf = docs.sparkSession.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))  # 1 MB
-    mean = max(1.0, (words or 0) / max(1, n))
     shards = max(1, -(-(size or 0) // shard_bytes))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
-        many = [chunks_of(x) for c in t.column("v0").chunks for x in texts(c)]
+        source = [x for c in t.column("v0").chunks for x in texts(c)]
+        many = [chunks_of(x) for x in source]
         chunks = Chunks.of(path)
         ids = []
         for i in range(0, len(many), 200):
             chunks.learn(many[i : i + 200])
             ids += [chunks.encode(c) for c in many[i : i + 200]]
-        index = Bm25([terms(m) for m in many], idf.value, mean)
+        index = Bm25([terms(x) for x in source], idf.value, mean)
         lengths = [len(x) for x in ids]
         got = pieces(lengths, arrange(lengths, index, window), window)
         names, base = t.column("id").to_pylist(), t.column("shard")[0].as_py() << 32
@@ -224,11 +234,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 pa.array([lengths[d] for d, *_ in got], pa.int64()),
                 pa.array([base + s for *_, s, _ in got], pa.int64()),
                 pa.array([o for *_, o in got], pa.int64()),
-                pa.array([x.astype(np.int32) for x in parts], pa.list_(pa.int32())),
+                *([pa.array([x.astype(np.int32) for x in parts], pa.list_(pa.int32()))] if with_ids else []),
             ],
-            names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
+            names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])],
         )
 
-    schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+    schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard")
     return rows.select(shard, "id", F.col("v0").alias("v0")).groupBy("shard").applyInArrow(run, schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, map_rows, texts
+from .common import cut, drop_table, map_rows, struct_lists, texts
 from .shingles import mix
 
 #: Bytes of regions in a shard's index, and windows on a route before it is split by anchor.
@@ -85,19 +85,15 @@ def _region_rows(slices: Callable[[bytes], Callable[[int, int], bytes]], length:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {"route": [], "id": [], "start": [], "units": []}
-            for i, text, runs in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for i, text, (a, c, route) in zip(b.column(0).to_pylist(), texts(b.column(1)), struct_lists(b.column(2)), strict=True):
                 part = slices(text)
-                merged: list[list[int]] = []
-                for r in runs:
-                    if merged and merged[-1][2] == r["route"] and merged[-1][0] + merged[-1][1] == r["a"]:
-                        merged[-1][1] += r["c"]
-                    else:
-                        merged.append([r["a"], r["c"], r["route"]])
-                for a, c, route in merged:
-                    out["route"].append(route)
+                first = np.flatnonzero(np.concatenate(([True], (route[1:] != route[:-1]) | (a[:-1] + c[:-1] != a[1:]))))
+                last = np.append(first[1:], len(a)) - 1
+                for start, end, way in zip(a[first].tolist(), (a[last] + c[last]).tolist(), route[first].tolist(), strict=True):
+                    out["route"].append(way)
                     out["id"].append(i)
-                    out["start"].append(a)
-                    out["units"].append(part(a, a + c + length - 1))
+                    out["start"].append(start)
+                    out["units"].append(part(start, end + length - 1))
             yield pa.RecordBatch.from_arrays([pa.array(out["route"], pa.int64()), pa.array(out["id"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["units"], pa.binary())], names=list(out))
 
     return run
@@ -163,11 +159,9 @@ def repeat_windows(
 def removed_units(n: int, length: int, sent, kept) -> np.ndarray:
     """Which of n units lie in a routed window that is a repeat."""
     windows = np.zeros(n + 1, np.int32)
-    for runs, sign in ((sent, 1), (kept, -1)):
-        if runs:
-            a, c = (np.fromiter((r[f] for r in runs), np.int64, len(runs)) for f in ("a", "c"))
-            np.add.at(windows, a, sign)
-            np.add.at(windows, a + c, -sign)
+    for (a, c), sign in ((sent, 1), (kept, -1)):
+        np.add.at(windows, a, sign)
+        np.add.at(windows, a + c, -sign)
     hit = np.flatnonzero(np.cumsum(windows[:n]) > 0)
     cover = np.zeros(n + length + 1, np.int32)
     np.add.at(cover, hit, 1)

@@ -48,3 +48,42 @@ def shingle_set(text: bytes | None, k: int, hashes: WordHashes) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     return np.unique(windows(hashes.of(words), min(k, len(words))) + np.uint64(min(k, len(words))))
+
+
+#: Runs of digits, letters (a-z folded) and non-ASCII bytes are words; the rest separates.
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+_SEGMENT = 1 << 20
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _K)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64, and those of its inverse."""
+    if not _POWERS:
+        for base in (int(_K), pow(int(_K), -1, 2**64)):
+            p = np.ones(1, np.uint64)
+            while len(p) <= _SEGMENT:
+                p = np.concatenate((p, p * np.uint64(pow(base, len(p), 2**64))))
+            _POWERS.append(p[: _SEGMENT + 1])
+    return _POWERS[0], _POWERS[1]
+
+
+def word_numbers(text: bytes | None) -> np.ndarray:
+    """A hash for each folded word of a text, by sums over its bytes; for statistics, where a collision is harmless.
+
+    A word over a segment border (of a million bytes without a separator) counts as two.
+    """
+    up, down = _powers()
+    folded, out, at = (text or b"").translate(FOLD), [], 0
+    while at < len(folded):
+        end = len(folded)
+        if end - at > _SEGMENT:
+            end = folded.rfind(b" ", at, at + _SEGMENT) + 1 or at + _SEGMENT
+        part = np.frombuffer(folded, np.uint8, end - at, at)
+        word = part != 32
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up[: len(part)], dtype=np.uint64)))
+        start, stop = edge[::2], edge[1::2]
+        out.append(mix((total[stop] - total[start]) * down[start]))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
