@@ -78,9 +78,16 @@ def one_per_id(df: DataFrame, id_col: str, *values: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of at most BATCH rows where the session has Spark's default, since texts may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH))
     return df.mapInArrow(f, schema)
 
 
+BATCH = 1000
+
+
 def texts(column: pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 bytes of a text column, without a copy through str."""
     return (x.as_py() for x in column.cast(pa.binary()))

@@ -25,7 +25,7 @@ WINDOW, END_ID = 2048, 1
 SHARD_BYTES, TERM_BITS = 3_000_000, 18
 K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 16, 32
 #: Distinct chunks whose ids a worker remembers.
-CACHE = 1_200_000
+CACHE = 400_000
 
 _HELD: dict[str, "Chunks"] = {}
 
