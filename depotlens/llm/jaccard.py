@@ -140,9 +140,15 @@ def cross_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     prefix: id, grp, n, tokens. A set of n tokens that carries a token at place p
     of its prefix has rest = n - p tokens left, so a partner m must satisfy
     (100 + percent) * rest >= percent * (n + m): ``most`` is the largest such m.
+
+    Tokens that the same ids carry (the shingles of a passage) bring the same
+    pairs, so one of them stands for all: the first in the order of tokens, whose
+    bounds are the widest. Carriers are compared by a 128-bit digest and a count.
     """
     each = prefix.select("id", "grp", "n", F.posexplode("tokens").alias("p", "token"))
-    shared = each.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.min("n").alias("least")).filter("g1 != g2").select("token", "least")
+    sign = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"s{k}") for k in range(2)]
+    seen = each.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.min("n").alias("least"), F.count("*").alias("c"), *sign, F.min(F.struct("id", "p")).alias("first"))
+    shared = seen.filter("g1 != g2").groupBy("c", "s0", "s1").agg(F.min_by("token", "first.p").alias("token"), F.min("least").alias("least")).select("token", "least")
     carried = each.select("token", "id", "p").join(cut(shared), "token")  # narrow rows: what belongs to the set is joined to the few that stay
     rest = F.col("n") - F.col("p")
     most = F.call_function("div", (100 + percent) * rest - percent * F.col("n"), F.lit(percent))
