@@ -37,6 +37,8 @@ BANDS, WIDTH = 8, 2
 SKETCH_BITS = 18
 #: Rows of a table that may be broadcast (16 bytes each), checked by a count.
 BROADCAST_ROWS = 200_000
+#: Prefix tokens of a bucket in which tokens meet, and those a task gathers before it deals them out (16 bytes each).
+BUCKET_TOKENS, FLUSH = 2_000_000, 1_000_000
 
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, BANDS * WIDTH, dtype=np.uint64)
 
@@ -134,7 +136,59 @@ def group_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -
     return verified(pairs, docs, words, percent)
 
 
-def cross_pairs(prefix: DataFrame, percent: int) -> DataFrame:
+def _ends(tokens: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens, and for each the least and the greatest of its groups."""
+    order = np.lexsort((groups, tokens))
+    tokens, groups = tokens[order], groups[order]
+    change = np.flatnonzero(tokens[1:] != tokens[:-1]) + 1
+    first = np.concatenate((np.zeros(min(1, len(tokens)), np.int64), change))
+    last = np.concatenate((change, np.full(min(1, len(tokens)), len(tokens))))[: len(first)] - 1
+    return tokens[first], groups[first], groups[last]
+
+
+def meeting_tokens(prefix: DataFrame, buckets: int) -> DataFrame:
+    """The tokens that prefixes of at least two groups hold.
+
+    A task sends each token to its bucket once, or twice where its groups differ,
+    so a frequent token weighs no more than any other, and as plain arrays, since
+    nearly all tokens end here.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, groups, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            t, low, high = _ends(np.concatenate(tokens), np.concatenate(groups))
+            two = low != high
+            t, g = np.concatenate((t, t[two])), np.concatenate((low, high[two]))
+            to = (t.view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)
+            order = np.lexsort((g, to))
+            t, g, to = t[order], g[order], to[order]
+            cuts = np.flatnonzero(to[1:] != to[:-1]) + 1
+            names = to[np.concatenate((np.zeros(1, np.int64), cuts))].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(names), *[pa.array([x.tobytes() for x in np.split(y, cuts)], pa.binary()) for y in (t, g)]], names=["bucket", "tokens", "grps"])
+
+        for b in batches:
+            for grp, x in zip(b.column(0).to_pylist(), list_values(b.column(1)), strict=True):
+                if len(x):
+                    tokens.append(x)
+                    groups.append(np.full(len(x), grp, np.int64))
+                    held += len(x)
+                if held >= FLUSH:
+                    yield flush()
+                    tokens, groups, held = [], [], 0
+        if held:
+            yield flush()
+
+    def meet(t: pa.Table) -> pa.Table:
+        tokens, groups = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in ("tokens", "grps"))
+        token, low, high = _ends(tokens, groups)
+        return pa.table({"token": token[low != high]})
+
+    return map_rows(prefix.select("grp", "tokens"), spread, "bucket long, tokens binary, grps binary").groupBy("bucket").applyInArrow(meet, "token long")
+
+
+def cross_pairs(prefix: DataFrame, buckets: int, percent: int) -> DataFrame:
     """Pairs (u, v) from different groups that the token-group matrix cannot rule out.
 
     prefix: id, grp, n, tokens. A set of n tokens that carries a token at place p
@@ -145,15 +199,15 @@ def cross_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     pairs, so one of them stands for all: the first in the order of tokens, whose
     bounds are the widest. Carriers are compared by a 128-bit digest and a count.
     """
-    each = prefix.select("id", "grp", "n", F.posexplode("tokens").alias("p", "token"))
+    each = prefix.select("id", F.posexplode("tokens").alias("p", "token"))
+    carried = each.join(cut(meeting_tokens(prefix, buckets)), "token")  # narrow rows: what belongs to the set is joined to the few that stay
+    full = cut(cut(carried).join(prefix.select("id", "grp", "n"), "id"))
     sign = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"s{k}") for k in range(2)]
-    seen = each.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.min("n").alias("least"), F.count("*").alias("c"), *sign, F.min(F.struct("id", "p")).alias("first"))
-    shared = seen.filter("g1 != g2").groupBy("c", "s0", "s1").agg(F.min_by("token", "first.p").alias("token"), F.min("least").alias("least")).select("token", "least")
-    carried = each.select("token", "id", "p").join(cut(shared), "token")  # narrow rows: what belongs to the set is joined to the few that stay
+    seen = full.groupBy("token").agg(F.min("n").alias("least"), F.count("*").alias("c"), *sign, F.min_by("p", "id").alias("place"))
+    first = cut(seen.groupBy("c", "s0", "s1").agg(F.min_by("token", "place").alias("token"), F.min("least").alias("least")).select("token", "least"))
     rest = F.col("n") - F.col("p")
     most = F.call_function("div", (100 + percent) * rest - percent * F.col("n"), F.lit(percent))
-    rows = cut(carried).join(prefix.select("id", "grp", "n"), "id").withColumn("most", most).filter("most >= least").select("token", "grp", "id", "n", "most")
-    rows = cut(rows)
+    rows = cut(full.join(first, "token").withColumn("most", most).filter("most >= least").select("token", "grp", "id", "n", "most"))
     matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("most").alias("reach")).withColumnRenamed("grp", "other")
     matrix = cut(matrix)
     fits = (F.col("other") > F.col("grp")) & (F.col("least") <= F.col("most")) & (F.col("n") <= F.col("reach"))
@@ -181,7 +235,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefix = map_rows(rows, prefixes(counts, words, percent), "id long, n long, tokens array<long>")
     grouped = classes.select("id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("grp"))
     prefix = cut(prefix.join(grouped, "id"))
-    more = verified(cross_pairs(prefix, percent), rows, words, percent)
+    held = prefix.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    more = verified(cross_pairs(prefix, 1 + held // BUCKET_TOKENS, percent), rows, words, percent)
     drop_table(prefix)
     roots = components(links.union(more))
     named = classes.select("n", "digest", "id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("n", "digest", F.coalesce("root", "id").alias("root"))
