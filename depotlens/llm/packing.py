@@ -59,14 +59,23 @@ class Chunks(dict):
             _HELD[path] = cls(path)
         return _HELD[path]
 
+    def _plain(self, words: list[bytes]) -> None:
+        """Encode words of a-z only: normaliser and splitter leave them whole, so the merges alone decide."""
+        merge = self.tokenizer.model.tokenize
+        for w in words:
+            self[w] = np.array([t.id for t in merge(w.decode())], "<u4").tobytes()
+
     def _alike(self, words: list[bytes]) -> None:
-        """Encode words of letters only as one text: each has one last piece, which the vocabulary marks."""
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.int64)
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words):
-            return self._apart(words)
-        for w, part in zip(words, np.split(ids, ends[:-1]), strict=True):
-            self[w] = part.astype("<u4").tobytes()
+        """Encode words of letters, a hundred as one text: each has one last piece, which the vocabulary marks."""
+        groups = [words[i : i + 100] for i in range(0, len(words), 100)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(group):
+                self._apart(group)
+                continue
+            for w, part in zip(group, np.split(ids, ends[:-1]), strict=True):
+                self[w] = part.astype("<u4").tobytes()
 
     def _apart(self, chunks: list[bytes]) -> None:
         for c, e in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
@@ -74,11 +83,13 @@ class Chunks(dict):
 
     def learn(self, many: list[list[bytes]]) -> None:
         """Add the ids of new chunks. A letter and a full stop or comma behind it are never one token, so such chunks are put together from both."""
-        new = {c for chunks in many for c in chunks if c not in self}
+        words = set().union(*many)
+        new = words - self.keys()
         if len(self) + 2 * len(new) > CACHE:
+            known = {c: self[c] for c in words - new}
             self.clear()
-            new = {c for chunks in many for c in chunks}
-        alike, apart, both = set(), set(), []
+            self.update(known)
+        plain, alike, apart, both = set(), set(), set(), []
         for c in new:
             word = c[:-1] if c[-1] in b".," else c
             if not (word.isalpha() or word.decode().isalpha()):
@@ -89,7 +100,8 @@ class Chunks(dict):
                 if c[-1:] not in self:
                     apart.add(c[-1:])
             if word not in self:
-                alike.add(word)
+                (plain if word.isascii() and word.islower() else alike).add(word)
+        self._plain(list(plain))
         alike, apart = list(alike), list(apart)
         for i in range(0, len(alike), 2000):
             self._alike(alike[i : i + 2000])
