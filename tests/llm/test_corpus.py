@@ -118,6 +118,17 @@ def test_packing_is_an_exact_round_trip(spark):
         assert at <= 2048 and at & (at - 1) == 0
 
 
+def test_chunks_have_the_ids_of_the_whole_text(monkeypatch):
+    """Also where the cache is emptied between texts, and for letters that normalising splits or folds."""
+    monkeypatch.setattr(packing, "CACHE", 12)
+    rows = ["", " ", "<|endoftext|> Hi", "İstanbul ΣΑΣ ς", "שׁ x", "don't it's I'LL", "a.b, c., 3.14, ..", "été. ſtraße ǅ", "\u00a0nbsp\u2003em", "𝒜bc 漢字 가각", "a\x1cb\x85c", "plain words, and plain words again."]
+    chunks = packing.Chunks(packing.default_tokenizer())
+    for text in rows * 2:
+        parts = packing.chunks_of(text.encode())
+        chunks.learn([parts])
+        assert chunks.encode(parts).tolist() == [*chunks.tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def test_neighbours_follow_their_seed():
     docs = [np.array(x) for x in ([1, 2, 3], [7, 8, 9], [1, 2, 4], [7, 8, 5])]
     index = packing.Bm25(docs, np.ones(16), 3.0)
