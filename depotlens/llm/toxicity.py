@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,10 @@ LEET = {
 
 #: Classes of the character model: 0 for a blank, 1 to 26 for a-z, the others for the rest of the letters.
 CLASSES, MODEL_BITS = 64, 18
-#: Price, in nats, of reading a sign as a letter, of reading it as a blank, of dropping a separator, and of shrinking a run.
-SWAP, BLANK, JOIN, SHRINK = 1.0, 9.0, 0.5, 0.7
-#: The longest stretch that is decoded, in characters; a longer one is no word.
-LONGEST = 32
+#: Price, in nats, of reading a sign as a letter, of reading it as a blank, of dropping a separator, of ending a word at one, and of shrinking a run.
+SWAP, BLANK, JOIN, PART, SHRINK = 1.0, 9.0, 0.5, 2.0, 0.7
+#: The longest stretch, in characters, whose decoding is remembered; longer ones are decoded each time.
+REMEMBERED = 64
 
 FEATURE_BITS, PREFIXES = 20, (3, 4, 5, 6)
 #: Features kept, labelled rows that the regression is fitted on (a bounded sample, the least hashes first), and least support.
@@ -68,7 +69,6 @@ def class_trigrams(text: str | None) -> np.ndarray:
 SEPARATORS = " ._-*"
 _ITEM = r"[^\W_]|[@$!|]"
 _CHAIN = re.compile(rf"(?<!\w)(?:{_ITEM})(?:[{re.escape(SEPARATORS)}](?:{_ITEM})){{2,}}(?!\w)")
-_SPACED = re.compile(rf"(?:(?:{_ITEM})[{re.escape(SEPARATORS)}])+(?:{_ITEM})")
 _KINDS: list[np.ndarray] = []
 
 
@@ -82,6 +82,15 @@ def _classes(text: str) -> np.ndarray:
     return _KINDS[0][np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0xFFFF)]
 
 
+def _letters(back: tuple | None) -> list[str]:
+    """What a chain of back pointers reads, from its beginning."""
+    out = []
+    while back:
+        back, letters = back
+        out.append(letters)
+    return out[::-1]
+
+
 class Channel:
     """The noisy channel with its character model; decodings are remembered."""
 
@@ -93,46 +102,56 @@ class Channel:
         self.cost = (-np.log(p)).tolist()
         self.seen: dict[str, str] = {}
 
-    def lattice(self, text: str) -> list[list[tuple[str, float]]]:
-        """By place, what may be read there and at what price; "" reads nothing, " " ends a word."""
-        out = []
+    def lattice(self, text: str, joints: set[int] = frozenset()) -> Iterator[list[tuple[str, float]]]:
+        """By place, what may be read there and at what price; "" reads nothing, " " ends a word.
+
+        At ``joints``, the separators of spaced-out words, a word may go on or end.
+        """
         at = 0
         while at < len(text):
             ch = text[at]
             run = 1
+            if at in joints:
+                yield [("", JOIN), (" ", PART)]
+                at += 1
+                continue
             while at + run < len(text) and text[at + run] == ch:
                 run += 1
             if ch.isalpha():
                 if run >= 3:
-                    out.append([(ch, SHRINK), (ch * 2, SHRINK), (ch * run, 0.0)])
+                    yield [(ch, SHRINK), (ch * 2, SHRINK), (ch * run, 0.0)]
                 else:
-                    out += [[(ch, 0.0)]] * run
+                    yield from [[(ch, 0.0)]] * run
             else:
                 reads = [(x, SWAP) for x in LEET.get(ch, "")]
-                out += [[*reads, (" ", BLANK if reads else 0.0)]] * min(run, 2)
+                yield from [[*reads, (" ", BLANK if reads else 0.0)]] * min(run, 2)
             at += run
-        return out
 
     def decode(self, text: str) -> str:
-        """The cheapest reading of a stretch."""
+        """The cheapest reading of a stretch of any length."""
         if text in self.seen:
             return self.seen[text]
         if len(self.seen) >= CACHE:
             self.seen.clear()
-        lattices = [self.lattice(text)]
-        if _SPACED.fullmatch(text):  # single characters: all separators go, or none
-            bare = [self.lattice(ch)[0] for ch in text if ch not in SEPARATORS]
-            lattices.append([[(x, p + JOIN) for x, p in options if x != " "] or options for options in bare])
-        out = min(self.cheapest(x) for x in lattices)[1].strip()
-        self.seen[text] = out
+        readings = [self.cheapest(self.lattice(text))]
+        joints = {i for m in _CHAIN.finditer(text) for i in range(m.start() + 1, m.end(), 2)}
+        if joints:  # single characters: as they stand, or each separator inside a word or between two
+            readings.append(self.cheapest(self.lattice(text, joints)))
+        out = min(readings)[1].strip()
+        if len(text) <= REMEMBERED:
+            self.seen[text] = out
         return out
 
-    def cheapest(self, lattice: list[list[tuple[str, float]]]) -> tuple[float, str]:
-        """Viterbi: of each pair of last letters, only the cheapest reading goes on."""
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in [*lattice, [(" ", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, read) in paths.items():
+    def cheapest(self, lattice: Iterable[list[tuple[str, float]]]) -> tuple[float, str]:
+        """Viterbi: of each pair of last letters, only the cheapest reading goes on, as a chain of back pointers.
+
+        What all readings have in common is written out as soon as one is left.
+        """
+        done: list[str] = []
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for options in chain(lattice, [[(" ", 0.0)]]):
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, back) in paths.items():
                 for letters, price in options:
                     x, y, total = a, b, cost + price
                     for ch in letters:
@@ -141,13 +160,18 @@ class Channel:
                             total += self.cost[x][y][k]
                             x, y = y, k
                     best = new.get((x, y))
-                    if best is None or (total, read + letters) < best:
-                        new[x, y] = (total, read + letters)
+                    if best is None or total < best[0]:
+                        new[x, y] = (total, (back, letters))
             paths = new
-        return min(paths.values())
+            if len(paths) == 1:
+                ((pair, (cost, back)),) = paths.items()
+                done += _letters(back)
+                paths = {pair: (cost, None)}
+        cost, back = min(paths.values(), key=lambda x: x[0])
+        return cost, "".join([*done, *_letters(back)])
 
     def restore(self, text: str | None) -> str:
-        """The lower-cased text with every suspicious stretch of at most LONGEST characters decoded."""
+        """The lower-cased text with every suspicious stretch decoded."""
         text = (text or "").lower()
         out, last = [], 0
         for a, b in stretches(text):
@@ -175,13 +199,12 @@ def stretches(text: str) -> list[tuple[int, int]]:
         for k in np.unique(right).tolist():
             a = int(ends[k - 1]) + 1 if k else 0
             b = int(ends[k]) if k < len(ends) else len(text)
-            if b - a <= LONGEST:
-                out.append((a, b))
+            out.append((a, b))
     lone = (letter | leet)
     lone[1:] &= ~(letter | leet)[:-1]
     lone[:-1] &= ~(letter | leet)[1:]
     if np.count_nonzero(lone[:-2] & lone[2:]) > 1:
-        out += [m.span() for m in _CHAIN.finditer(text) if m.end() - m.start() <= 2 * LONGEST]
+        out += [m.span() for m in _CHAIN.finditer(text)]
     out.sort()
     clean: list[tuple[int, int]] = []
     for a, b in out:
@@ -189,7 +212,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
             clean.append((a, b))
         elif b > clean[-1][1]:
             clean[-1] = (clean[-1][0], b)
-    return [x for x in clean if x[1] - x[0] <= 2 * LONGEST]
+    return clean
 
 
 class WordFeatures(dict):

@@ -162,6 +162,16 @@ def test_toxicity_learns_and_restores(spark):
     assert none == {0.0}
 
 
+def test_long_stretches_are_restored():
+    """Spaced-out messages, joined words, long runs and texts without blanks, whatever their length."""
+    plain = ["you are an idiot and a moron too", "the plain words go on and on in the way of words"] * 50
+    channel = toxicity.Channel(sum(np.bincount(toxicity.class_trigrams(t), minlength=1 << toxicity.MODEL_BITS) for t in plain))
+    assert "idiot" in channel.restore("y o u a r e a n i d i o t a n d a m o r o n t o o " * 40).split()
+    assert "moron" in channel.restore("you.are.a.m0r0n.and.an.1d10t.too.and.so.on").split()
+    assert channel.restore("idi" + "o" * 5000 + "t") == "idiot"
+    assert "idiot" in channel.restore("youareanandamorontoowordswordsthe1d10twords" * 30)
+
+
 # html
 
 
