@@ -1,9 +1,11 @@
 """Packing by lexical retrieval.
 
-Documents are dealt to shards of bounded size. A shard holds a BM25 inverted index
-of its documents, with document frequencies and the mean length counted over the
-whole corpus. A seed fills its window; where room is left, the index returns the
-seed's nearest unused documents, which follow until the window is full. What does
+Documents are dealt to shards of bounded size by their rarest shared terms (see
+``Deal``). A shard holds a BM25 inverted index of its documents, with document
+frequencies and the mean length counted over the whole corpus. A seed fills its
+window; where room is left, the seed's nearest unused documents in the shard follow,
+scored by all its terms, as many as fill the window; documents that share no term
+with it come last, in id order. Neighbours in other shards are not seen. What does
 not fit seeds the next window, so every window but a shard's last is full, and the
 last is cut into powers of two, which need no padding.
 """
@@ -12,18 +14,20 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_counts, map_rows, one_per_id, texts
+from .common import bucket_counts, cut, drop_table, map_rows, one_per_id, texts
 from .shingles import word_numbers
 
 WINDOW, END_ID = 2048, 1
 #: Text bytes of a shard; terms are hashed to 2**TERM_BITS, which bounds the corpus counts.
 SHARD_BYTES, TERM_BITS = 3_000_000, 18
-K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 16, 32
+K1, B = 1.2, 0.75
 #: Distinct chunks whose ids a worker remembers.
 CACHE = 400_000
 
@@ -127,13 +131,12 @@ class Bm25:
     """An inverted index over hashed terms; ``idf`` and ``mean`` come from the whole corpus."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.terms, self.tops = [], []
+        self.queries = []
         rows, terms, weights = [], [], []
         for k, d in enumerate(docs):
             t, tf = np.unique(d, return_counts=True)
             w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / mean))
-            top = np.lexsort((t, -idf[t] * tf))[:QUERY_TERMS]
-            self.tops.append(t[top])
+            self.queries.append(t)
             rows.append(np.full(len(t), k))
             terms.append(t)
             weights.append(w)
@@ -143,18 +146,62 @@ class Bm25:
         self.starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
     def nearest(self, k: int, unused: np.ndarray) -> list[int]:
-        """The best unused neighbours of document k, best first; ties go to the earlier one."""
+        """All unused documents that share a term with document k, best first; ties go to the earlier one."""
         score = np.zeros(len(unused))
-        for t in self.tops[k].tolist():
+        for t in self.queries[k].tolist():
             a, b = self.starts[t], self.starts[t + 1]
             score[self.rows[a:b]] += self.weights[a:b]
         score[~unused] = 0
         found = np.flatnonzero(score)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS - 1)[:NEIGHBOURS]]
         return found[np.lexsort((found, -score[found]))].tolist()
 
 
+class Deal:
+    """Which shard a document goes to: that of its rarest shared term.
+
+    ``df`` counts the documents of a term; a term is shared if two have it. Terms with
+    few bytes share a shard, none is split. A term with more than ``room`` bytes is
+    split by the second rarest term, and what is still too much by id.
+    """
+
+    def __init__(self, df: np.ndarray, room: int):
+        self.df, self.room = df, room
+
+    def keys(self, terms: np.ndarray) -> tuple[int, int]:
+        """The rarest and the second rarest shared term; -1 for none."""
+        t = np.unique(terms)
+        t = t[self.df[t] > 1]
+        t = t[np.lexsort((t, self.df[t]))[:2]].tolist()
+        return (*t, -1, -1)[:2]
+
+    def plan(self, keys: DataFrame) -> None:
+        """Lay out the shards for a table (t1, t2, size). The driver gets a number for each term, and one for each pair over ``room``."""
+        loads = np.zeros(len(self.df) + 1, np.int64)  # the last place is that of -1
+        for t, size in keys.groupBy("t1").agg(F.sum("size")).collect():
+            loads[t] = size
+        hot = loads > self.room
+        light = np.where(hot, 0, loads)
+        self.base = (np.cumsum(light) - light) // self.room
+        self.parts = np.ones(len(loads), np.int64)
+        self.parts[hot] = -(-loads[hot] // self.room)
+        end = int(self.base.max()) + 1
+        self.base[hot] = end + np.cumsum(self.parts[hot]) - self.parts[hot]
+        end += int(self.parts[hot].sum())
+        self.pairs = {}
+        if hot.any():
+            found = keys.groupBy("t1", "t2").agg(F.sum("size").alias("size")).filter(F.col("size") > self.room)
+            for t1, t2, size in sorted(found.collect()):
+                parts = -(-size // self.room)
+                self.pairs[t1, t2] = (end, parts)
+                end += parts
+
+    def shard(self, name: int, t1: int, t2: int) -> int:
+        if self.parts[t1] == 1:
+            return int(self.base[t1])
+        base, parts, by = (*self.pairs[t1, t2], name) if (t1, t2) in self.pairs else (int(self.base[t1]), int(self.parts[t1]), t2)
+        return base + zlib.crc32(by.to_bytes(8, "little", signed=True)) % parts
+
+
 def arrange(lengths: list[int], index: Bm25, window: int) -> list[int]:
     """The order in which documents follow each other: seeds, each with the neighbours that fill its window."""
     unused = np.ones(len(lengths), bool)
@@ -162,9 +209,7 @@ def arrange(lengths: list[int], index: Bm25, window: int) -> list[int]:
     while len(out) < len(lengths):
         pick = None
         if seed is not None:
-            while near and not unused[near[0]]:
-                near.pop(0)
-            pick = near.pop(0) if near else None
+            pick = next(near, None)
         if pick is None:
             while not unused[next_seed]:
                 next_seed += 1
@@ -173,7 +218,7 @@ def arrange(lengths: list[int], index: Bm25, window: int) -> list[int]:
         out.append(pick)
         before, at = at, at + lengths[pick]
         if seed is None or at // window > before // window:  # it opens a window, and so seeds it
-            seed, near = pick, index.nearest(pick, unused)
+            seed, near = pick, filter(unused.__getitem__, index.nearest(pick, unused))
     return out
 
 
@@ -221,7 +266,27 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     df = counts.get("df", np.zeros(1 << TERM_BITS, np.int64))
     mean = max(1.0, float(counts.get("words", df).sum()) / max(1, n))
     idf = docs.sparkSession.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))  # 1 MB
-    shards = max(1, -(-(size or 0) // shard_bytes))
+    deal = Deal(df, shard_bytes)
+    dealt = rows.select(F.lit(0).cast("long").alias("shard"), "id", "v0")
+    if (size or 0) > shard_bytes:
+        held = docs.sparkSession.sparkContext.broadcast(deal)  # 2 MB
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                both = [held.value.keys(terms(x)) for x in texts(b.column(0))]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.int32()), pa.array([y for _, y in both], pa.int32()), b.column(1)], names=["t1", "t2", "size"])
+
+        keys = cut(map_rows(rows.select("v0", F.coalesce(F.octet_length("v0"), F.lit(0)).cast("long").alias("size")), keyed, "t1 int, t2 int, size long"))
+        deal.plan(keys)
+        drop_table(keys)
+        planned = docs.sparkSession.sparkContext.broadcast(deal)  # 6 MB, and the pairs
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = [planned.value.shard(i, *planned.value.keys(terms(x))) for i, x in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *b.columns], names=["shard", "id", "v0"])
+
+        dealt = map_rows(rows.select("id", "v0"), place, "shard long, id long, v0 string")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
@@ -252,5 +317,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         )
 
     schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard")
-    return rows.select(shard, "id", F.col("v0").alias("v0")).groupBy("shard").applyInArrow(run, schema)
+    return dealt.groupBy("shard").applyInArrow(run, schema)

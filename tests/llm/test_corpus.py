@@ -135,6 +135,26 @@ def test_neighbours_follow_their_seed():
     assert packing.arrange([3, 3, 3, 3], index, 6) == [0, 2, 1, 3]
 
 
+def test_the_index_has_no_caps():
+    """Nearest first by all terms of the seed, for as many documents as fill its window."""
+    seed, rest = np.arange(60), [np.arange(60 - k % 50) for k in range(100)]
+    got = packing.arrange([1] * 101, packing.Bm25([seed, *rest], np.ones(64), 40.0), 101)
+    assert got == [0, *(1 + k for k in sorted(range(100), key=lambda k: (-len(rest[k]) / (1 + packing.K1 * (1 - packing.B + packing.B * len(rest[k]) / 40.0)), k)))]
+
+
+def test_neighbours_meet_in_one_shard(spark):
+    """Whatever the number of shards; a term that many documents share is split to bounded shards."""
+    rows = [(i, f"rare{i // 2}x " + " ".join(f"w{(i * 7 + k * k) % 50}" for k in range(40))) for i in range(300)]
+    rows += [(1000 + i, "one passage that many texts hold as it is " * 5) for i in range(100)]
+    shards, size = {}, {}
+    for r in packing.pack(frame(spark, rows), shard_bytes=4000).collect():
+        shards[r.doc_id] = r.sequence_id >> 32
+    for i, text in rows:
+        size[shards[i]] = size.get(shards[i], 0) + len(text)
+    assert len(size) > 10 and max(size.values()) < 3 * 4000
+    assert sum(shards[i] == shards[i + 1] for i in range(0, 300, 2)) >= 145
+
+
 # language and toxicity: held-out accuracy
 
 
