@@ -12,7 +12,10 @@ text. The steps:
    take the same route, and neighbouring windows mostly do, as one region.
    Where a route would get more than ``HEAVY`` units, its anchors become routes.
 3. Equal regions are one region, of their earliest occurrence: the passage that a
-   third of all texts hold is looked at once.
+   third of all texts hold is looked at once. A route that still has more than
+   ``HEAVY`` bytes, such as an anchor at the edge of a passage with ever different
+   surroundings, gets no index: its windows are told apart by a hash first, and
+   those whose hash occurs again are grouped by their units.
 4. Each shard of routes finds, by its own index (suffix automaton or suffix array),
    which windows of its regions are no repeats. A text loses the units of its
    routed windows that are not among these.
@@ -28,13 +31,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop_table, map_rows, struct_lists, texts
 from .shingles import mix
 
-#: Bytes of regions in a shard's index, and windows on a route before it is split by anchor.
+#: Bytes of regions in a shard's index; windows on a route before it is split by anchor, and bytes of its regions before it is split by window.
 SHARD_BYTES, HEAVY = 1_000_000, 3_000_000
 
 
@@ -118,6 +122,46 @@ def _shard(index: Callable[[list[bytes]], list[np.ndarray]]):
     return run
 
 
+def _window_hashes(slices: Callable[[bytes], Callable[[int, int], bytes]], units: Callable[[bytes], np.ndarray], length: int):
+    """(w, id, start, o): the hash of each window of a region and its place there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, start, region in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), strict=True):
+                part, n = slices(region), len(units(region)) - length + 1
+                w = np.array([xxhash.xxh3_64_intdigest(part(o, o + length)) for o in range(n)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.full(n, i, np.int64)), pa.array(np.full(n, start, np.int32)), pa.array(np.arange(n, dtype=np.int32))], names=["w", "id", "start", "o"])
+
+    return run
+
+
+def _window_units(slices: Callable[[bytes], Callable[[int, int], bytes]], length: int):
+    """(id, a, units) of the wanted windows of each region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, start, region, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3).to_pylist(), strict=True):
+                part = slices(region)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(wanted), pa.int64()), pa.array([start + o for o in wanted], pa.int32()), pa.array([part(o, o + length) for o in wanted], pa.binary())], names=["id", "a", "units"])
+
+    return run
+
+
+def _new_by_window(regions: DataFrame, units: Callable[[bytes], np.ndarray], slices: Callable[[bytes], Callable[[int, int], bytes]], length: int) -> DataFrame:
+    """(id, a, c): the windows of regions (id, start, units) that occur in no earlier one, without an index.
+
+    No group holds more than Spark can sum up on its way: a hash that occurs once
+    is a new window, and the others are grouped by their units.
+    """
+    seen = cut(map_rows(regions.select("id", "start", "units"), _window_hashes(slices, units, length), "w long, id long, start int, o int"))
+    counts = cut(seen.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("id", "start", "o")).alias("at")))
+    once = counts.filter("n = 1").select("at.id", (F.col("at.start") + F.col("at.o")).alias("a"))
+    wanted = seen.join(counts.filter("n > 1").select("w"), "w").groupBy("id", "start").agg(F.collect_list("o").alias("wanted"))
+    again = map_rows(regions.join(wanted, ["id", "start"]).select("id", "start", "units", "wanted"), _window_units(slices, length), "id long, a int, units binary")
+    again = again.groupBy("units").agg(F.min(F.struct("id", "a")).alias("at")).select("at.id", "at.a")
+    return once.union(again).select("id", "a", F.lit(1).alias("c"))
+
+
 def repeat_windows(
     docs: DataFrame,
     units: Callable[[bytes], np.ndarray],
@@ -146,10 +190,17 @@ def repeat_windows(
     regions = map_rows(docs.join(runs, "id").select("id", "v0", "runs"), _region_rows(slices, length), "route long, id long, start int, units binary")
     regions = regions.groupBy("route", "units").agg(F.min(F.struct("id", "start")).alias("at")).select("route", "units", "at.id", "at.start")
     regions = cut(regions)
-    total = regions.agg(F.sum(F.octet_length("units").cast("long"))).first()[0] or 0
+    size = F.octet_length("units").cast("long")
+    loads = regions.groupBy("route").agg(F.sum(size).alias("size")).filter(F.col("size") > heavy).select("route")
+    loads = cut(loads)
+    whole, split = regions, None
+    if not loads.isEmpty():
+        whole, split = regions.join(loads, "route", "left_anti"), regions.join(loads, "route", "left_semi")
+    total = whole.agg(F.sum(size)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     shard = F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard")
-    kept = cut(regions.select(shard, "id", "start", "units").groupBy("shard").applyInPandas(_shard(index), "id long, a int, c int"))
+    kept = whole.select(shard, "id", "start", "units").groupBy("shard").applyInPandas(_shard(index), "id long, a int, c int")
+    kept = cut(kept if split is None else kept.union(_new_by_window(split, units, slices, length)))
     drop_table(regions)
     kept = kept.groupBy("id").agg(F.collect_list(F.struct("a", "c")).alias("kept"))
     sent = runs.select("id", F.transform("runs", lambda r: F.struct(r["a"].alias("a"), r["c"].alias("c"))).alias("sent"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from depotlens.llm import automaton, chat, contamination, exact, html, jaccard, language, packing, registry, suffixes, toxicity
 from depotlens.llm.common import components
+from depotlens.llm.repeats import removed_units, repeat_windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,6 +76,28 @@ def test_bytes_that_repeat(spark, limits):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(u), sum(gone), spans, hashlib.sha256(left).hexdigest()), i
 
 
+def test_a_passage_in_ever_new_surroundings_fills_no_index(spark, tmp_path):
+    """The edges of a passage that all texts hold differ in each text; no shard gets them all."""
+    rng = np.random.default_rng(3)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage = word(300)
+    rows = [(i, word(150) + passage + word(150)) for i in range(300)]
+    most = 20_000
+
+    def index(regions):
+        (tmp_path / str(hash(tuple(regions)))).write_text(str(sum(map(len, regions))))
+        return suffixes.new_windows(regions, 100)
+
+    docs = spark.createDataFrame(rows, "id long, v0 string")
+    args = (lambda t: suffixes._BYTE[np.frombuffer(t, np.uint8)], lambda t: lambda a, b: t[a:b], index, 100, 32)
+    got = repeat_windows(docs, *args, shard_bytes=2000, heavy=5000).collect()
+    spans = lambda rows: (np.array([x.a for x in rows or []], int), np.array([x.c for x in rows or []], int))
+    gone = {r.id: int(removed_units(600, 100, spans(r.sent), spans(r.kept)).sum()) for r in got}
+    want = {i: sum(g) for i, (_, g) in repeats(rows, lambda t: t.encode(), 100).items()}
+    assert {i: gone.get(i, 0) for i in want} == want and sum(want.values()) >= 299 * 300
+    assert max([0, *(int(f.read_text()) for f in tmp_path.iterdir())]) < most
+
+
 def test_suffix_array_is_the_sorted_suffixes():
     rng = np.random.default_rng(0)
     for _ in range(100):
