@@ -133,15 +133,16 @@ def bucket_counts(df: DataFrame, features: Callable[[pa.RecordBatch], Iterator[t
 PARTS = 16
 
 
-def count_parts(count: np.ndarray) -> list[bytes]:
-    return [x.tobytes() for x in np.split(np.minimum(count, 2**31 - 1).astype(np.int32), PARTS)]
+def count_parts(count: np.ndarray, kind=np.int32) -> list[bytes]:
+    """A task's counters in PARTS pieces; what ``kind`` cannot hold counts as its greatest number."""
+    return [x.tobytes() for x in np.split(np.minimum(count, np.iinfo(kind).max).astype(kind), PARTS)]
 
 
-def sum_counts(rows: DataFrame, size: int) -> dict[str, np.ndarray]:
+def sum_counts(rows: DataFrame, size: int, kind=np.int32) -> dict[str, np.ndarray]:
     """Add up (key, part, counts) rows on the executors; the driver gets ``size`` numbers for each key."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["counts"])
+        total = sum(np.frombuffer(x, kind).astype(np.int64) for x in pdf["counts"])
         return pd.DataFrame({"key": pdf["key"].iloc[:1], "part": pdf["part"].iloc[:1], "counts": [total.tobytes()]})
 
     out: dict[str, np.ndarray] = {}

@@ -10,9 +10,14 @@
    prefix (the rarest tokens, as many as a partner cannot all miss). It bounds the
    overlap of a query set with any set of the group, and a group is opened only
    where the bound reaches the threshold.
-4. The pairs of opened groups are verified on whole sets. Every pair of sets above
-   the threshold shares a prefix token, so no link between groups is lost; links
-   inside a group add nothing to its component.
+4. Sets of opened groups, and sets without a group, meet the query set only where
+   their signatures allow it: a signature has the parity of the set's tokens in
+   each of SIGNATURE buckets, so two sets differ in at least as many tokens as
+   their signatures in bits. Sets around a large group that miss the threshold by
+   little share its tokens, and would else be paired with all of it.
+5. What is left is verified on whole sets. Every pair of sets above the threshold
+   shares a prefix token, so no link between groups is lost; links inside a group
+   add nothing to its component.
 
 The order of tokens comes from a counting sketch of fixed size over all texts.
 Any order is exact; a good one only makes prefixes rare.
@@ -25,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +39,14 @@ from .shingles import WordHashes, mix, shingle_set
 
 WORDS, PERCENT = 5, 75
 BANDS, WIDTH = 8, 2
-#: log2 of the sketch's counters: 1 MB, whatever the input.
-SKETCH_BITS = 18
+#: log2 of the sketch's counters: 1 MB for each task, whatever the input.
+SKETCH_BITS = 20
+#: Bits of a signature.
+SIGNATURE = 2048
 #: Rows of a table that may be broadcast (16 bytes each), checked by a count.
 BROADCAST_ROWS = 200_000
-#: Prefix tokens of a bucket in which tokens meet, and those a task gathers before it deals them out (16 bytes each).
-BUCKET_TOKENS, FLUSH = 2_000_000, 1_000_000
+#: Prefix tokens of a bucket in which tokens meet, and of a chunk that deals them out (16 bytes each).
+BUCKET_TOKENS, CHUNK = 2_000_000, 1_000_000
 
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, BANDS * WIDTH, dtype=np.uint64)
 
@@ -67,7 +75,7 @@ def describe(words: int = WORDS):
             none = pa.nulls(len(ns), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), long_lists(bands), none, pa.nulls(len(ns), pa.binary())], names=_DESCRIBED)
         null = pa.nulls(PARTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([null, null, pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.list_(pa.int64())), pa.array(range(PARTS), pa.int32()), pa.array(count_parts(count), pa.binary())], names=_DESCRIBED)
+        yield pa.RecordBatch.from_arrays([null, null, pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.list_(pa.int64())), pa.array(range(PARTS), pa.int32()), pa.array(count_parts(count, np.uint8), pa.binary())], names=_DESCRIBED)
 
     return run
 
@@ -76,12 +84,12 @@ _DESCRIBED = ["id", "n", "digest", "bands", "part", "counts"]
 
 
 def prefixes(counts, words: int = WORDS, percent: int = PERCENT):
-    """(id, text) to (id, n, tokens): the rarest tokens of a set, one more than a partner above the threshold may miss."""
+    """(id, text) to (id, n, tokens, bits): the rarest tokens of a set, one more than a partner above the threshold may miss, and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, shift, count = WordHashes(), np.uint64(64 - SKETCH_BITS), counts.value
         for b in batches:
-            ns, parts = [], []
+            ns, parts, bits = [], [], []
             for text in texts(b.column(1)):
                 s = shingle_set(text, words, hashes)
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
@@ -89,11 +97,19 @@ def prefixes(counts, words: int = WORDS, percent: int = PERCENT):
                 order = np.lexsort((s, rare))[:keep]
                 ns.append(len(s))
                 parts.append(s[order].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), long_lists(parts)], names=["id", "n", "tokens"])
+                odd = np.bincount((s % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), long_lists(parts), long_lists(bits)], names=["id", "n", "tokens", "bits"])
 
     return run
 
 
+def may_link(n: str, bits: str, m: str, other: str, percent: int):
+    """Whether two sets can reach the threshold: at most (100 - percent) / (100 + percent) of their sizes' sum may differ."""
+    apart = sum((F.bit_count(F.get(bits, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))) for k in range(SIGNATURE // 64)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m))
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -133,6 +149,8 @@ def group_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -
     ranked = inside.join(central, "id")
     leader = cut(ranked.groupBy("band", "key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("v")))
     pairs = cut(inside.join(leader, ["band", "key"]).select(F.col("id").alias("u"), "v").filter("u != v").distinct())
+    for t in (keys, full, inside, central, leader):
+        drop_table(t)
     return verified(pairs, docs, words, percent)
 
 
@@ -146,16 +164,30 @@ def _ends(tokens: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tokens[first], groups[first], groups[last]
 
 
-def meeting_tokens(prefix: DataFrame, buckets: int) -> DataFrame:
-    """The tokens that prefixes of at least two groups hold.
+def in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the sets by chunks of about CHUNK tokens, each of one task."""
+    task, chunk, held = TaskContext.get().partitionId(), 0, 0
+    for b in batches:
+        names = []
+        for size in np.diff(b.column(3).offsets.to_numpy()).tolist():
+            names.append(task << 32 | chunk)
+            held += size
+            if held >= CHUNK:
+                chunk, held = chunk + 1, 0
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *b.columns], names=["chunk", *b.schema.names])
+
+
+def shared_tokens(prefix: DataFrame, buckets: int) -> DataFrame:
+    """(token, id, grp, alone, n, p) for the tokens that prefixes of at least two groups hold, with their places p.
 
-    A task sends each token to its bucket once, or twice where its groups differ,
-    so a frequent token weighs no more than any other, and as plain arrays, since
-    nearly all tokens end here.
+    A chunk sends each token to the token's bucket once, or twice where its groups
+    differ, so a frequent token weighs no more than any other. The bucket tells a
+    chunk which of its tokens meet, and the chunk looks them up in its sets. All
+    this goes in plain arrays, since nearly all tokens end in the bucket.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, groups, held = [], [], 0
+        chunk, tokens, groups = None, [], []
 
         def flush() -> pa.RecordBatch:
             t, low, high = _ends(np.concatenate(tokens), np.concatenate(groups))
@@ -166,55 +198,87 @@ def meeting_tokens(prefix: DataFrame, buckets: int) -> DataFrame:
             t, g, to = t[order], g[order], to[order]
             cuts = np.flatnonzero(to[1:] != to[:-1]) + 1
             names = to[np.concatenate((np.zeros(1, np.int64), cuts))].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(names), *[pa.array([x.tobytes() for x in np.split(y, cuts)], pa.binary()) for y in (t, g)]], names=["bucket", "tokens", "grps"])
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([chunk] * len(names), pa.int64()), *[pa.array([x.tobytes() for x in np.split(y, cuts)], pa.binary()) for y in (t, g)]], names=["bucket", "chunk", "tokens", "grps"])
 
         for b in batches:
-            for grp, x in zip(b.column(0).to_pylist(), list_values(b.column(1)), strict=True):
-                if len(x):
-                    tokens.append(x)
-                    groups.append(np.full(len(x), grp, np.int64))
-                    held += len(x)
-                if held >= FLUSH:
+            for name, grp, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), list_values(b.column(2)), strict=True):
+                if name != chunk and tokens:
                     yield flush()
-                    tokens, groups, held = [], [], 0
-        if held:
+                    tokens, groups = [], []
+                chunk = name
+                tokens.append(x)
+                groups.append(np.full(len(x), grp, np.int64))
+        if tokens:
             yield flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        tokens, groups = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in ("tokens", "grps"))
-        token, low, high = _ends(tokens, groups)
-        return pa.table({"token": token[low != high]})
+        sent = [np.frombuffer(x, np.int64) for x in t.column("tokens").to_pylist()]
+        token, low, high = _ends(np.concatenate(sent), np.frombuffer(b"".join(t.column("grps").to_pylist()), np.int64))
+        token = token[low != high]
+        return pa.table({"chunk": t.column("chunk"), "tokens": pa.array([x[_among(x, token)].tobytes() for x in sent], pa.binary())})
+
+    def find(sets: pa.Table, met: pa.Table) -> pa.Table:
+        token = np.unique(np.frombuffer(b"".join(met.column("tokens").to_pylist()), np.int64))
+        out = []
+        for b in sets.combine_chunks().to_batches():
+            lists = b.column(5)
+            offsets = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            at = np.flatnonzero(_among(flat, token))
+            row = np.repeat(np.arange(len(b)), np.diff(offsets))[at]
+            out.append(pa.table([pa.array(flat[at]), *[c.take(pa.array(row)) for c in b.columns[1:5]], pa.array(at - (offsets[:-1] - offsets[0])[row])], schema=_SHARED))
+        return pa.concat_tables(out) if out else _SHARED.empty_table()
+
+    met = map_rows(prefix.select("chunk", "grp", "tokens"), spread, "bucket long, chunk long, tokens binary, grps binary").groupBy("bucket").applyInArrow(meet, "chunk long, tokens binary")
+    met = cut(met.filter(F.octet_length("tokens") > 0))
+    out = cut(prefix.select("chunk", "id", "grp", "alone", "n", "tokens").groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(find, "token long, id long, grp long, alone boolean, n long, p long"))
+    drop_table(met)
+    return out
+
+
+_SHARED = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("grp", pa.int64()), ("alone", pa.bool_()), ("n", pa.int64()), ("p", pa.int64())])
+
 
-    return map_rows(prefix.select("grp", "tokens"), spread, "bucket long, tokens binary, grps binary").groupBy("bucket").applyInArrow(meet, "token long")
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values of x are in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
 def cross_pairs(prefix: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """Pairs (u, v) from different groups that the token-group matrix cannot rule out.
+    """Pairs (u, v) from different groups that neither the token-group matrix nor the signatures can rule out.
 
-    prefix: id, grp, n, tokens. A set of n tokens that carries a token at place p
-    of its prefix has rest = n - p tokens left, so a partner m must satisfy
-    (100 + percent) * rest >= percent * (n + m): ``most`` is the largest such m.
+    prefix: chunk, id, grp, alone, n, tokens, bits. A set of n tokens that carries
+    a token at place p of its prefix has rest = n - p tokens left, so a partner m
+    must satisfy (100 + percent) * rest >= percent * (n + m): ``most`` is the
+    largest such m.
 
     Tokens that the same ids carry (the shingles of a passage) bring the same
     pairs, so one of them stands for all: the first in the order of tokens, whose
     bounds are the widest. Carriers are compared by a 128-bit digest and a count.
     """
-    each = prefix.select("id", F.posexplode("tokens").alias("p", "token"))
-    carried = each.join(cut(meeting_tokens(prefix, buckets)), "token")  # narrow rows: what belongs to the set is joined to the few that stay
-    full = cut(cut(carried).join(prefix.select("id", "grp", "n"), "id"))
+    full = shared_tokens(prefix, buckets)
     sign = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"s{k}") for k in range(2)]
     seen = full.groupBy("token").agg(F.min("n").alias("least"), F.count("*").alias("c"), *sign, F.min_by("p", "id").alias("place"))
     first = cut(seen.groupBy("c", "s0", "s1").agg(F.min_by("token", "place").alias("token"), F.min("least").alias("least")).select("token", "least"))
     rest = F.col("n") - F.col("p")
     most = F.call_function("div", (100 + percent) * rest - percent * F.col("n"), F.lit(percent))
-    rows = cut(full.join(first, "token").withColumn("most", most).filter("most >= least").select("token", "grp", "id", "n", "most"))
-    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("most").alias("reach")).withColumnRenamed("grp", "other")
-    matrix = cut(matrix)
-    fits = (F.col("other") > F.col("grp")) & (F.col("least") <= F.col("most")) & (F.col("n") <= F.col("reach"))
-    opened = rows.join(matrix, "token").filter(fits).select("token", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("most").alias("mu"), F.col("other").alias("grp"))
-    opened = cut(opened)
-    pair = opened.join(rows.select("token", "grp", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("most").alias("mv")), ["token", "grp"])
-    return cut(pair.filter("nu <= mv and nv <= mu").select("u", "v").distinct())
+    kept = cut(full.join(first, "token").withColumn("most", most).filter("most >= least").select("token", "grp", "alone", "id", "n", "most"))
+    rows = cut(kept.join(prefix.select("id", "bits"), "id"))
+    for t in (full, first, kept):
+        drop_table(t)
+    side = lambda df, a: df.select("token", F.col("grp").alias(f"g{a}"), F.col("alone").alias(f"a{a}"), F.col("id").alias(a), F.col("n").alias(f"n{a}"), F.col("most").alias(f"m{a}"), F.col("bits").alias(f"b{a}"))
+    fits = (F.col("nu") <= F.col("mv")) & (F.col("nv") <= F.col("mu")) & may_link("nu", "bu", "nv", "bv", percent)
+    singles, groups = rows.filter("alone"), rows.filter("not alone")
+    pairs = cut(side(singles, "u").join(side(singles, "v"), "token").filter((F.col("u") < F.col("v")) & fits).select("u", "v").distinct())
+    matrix = cut(groups.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("most").alias("reach")).withColumnRenamed("grp", "other"))
+    reaches = (F.col("au") | (F.col("other") > F.col("gu"))) & (F.col("least") <= F.col("mu")) & (F.col("nu") <= F.col("reach"))
+    opened = cut(side(rows, "u").join(matrix, "token").filter(reaches).drop("gu", "au", "least", "reach").withColumnRenamed("other", "gv"))
+    more = cut(opened.join(side(groups, "v"), ["token", "gv"]).filter(fits).select("u", "v").distinct())
+    for t in (rows, matrix, opened):
+        drop_table(t)
+    return pairs.union(more)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -226,15 +290,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = one_per_id(docs, id_col, text_col).select("id", "v0")
     all_rows = cut(map_rows(rows, describe(words), "id long, n long, digest binary, bands array<long>, part int, counts binary"))
-    counts = sum_counts(all_rows.filter("part is not null").select(F.lit("").alias("key"), "part", "counts"), 1 << SKETCH_BITS).get("", np.zeros(1 << SKETCH_BITS, np.int64))
+    counts = sum_counts(all_rows.filter("part is not null").select(F.lit("").alias("key"), "part", "counts"), 1 << SKETCH_BITS, np.uint8).get("", np.zeros(1 << SKETCH_BITS, np.int64))
     seen = all_rows.filter("part is null").select("id", "n", "digest", "bands")
     classes = cut(seen.filter("n > 0").groupBy("n", "digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     links = group_links(classes, rows, words, percent)
     roots = components(links)
-    counts = docs.sparkSession.sparkContext.broadcast(counts)
-    prefix = map_rows(rows, prefixes(counts, words, percent), "id long, n long, tokens array<long>")
-    grouped = classes.select("id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("grp"))
-    prefix = cut(prefix.join(grouped, "id"))
+    counts = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32))  # 4 MB
+    prefix = map_rows(rows, prefixes(counts, words, percent), "id long, n long, tokens array<long>, bits array<long>")
+    grouped = classes.select("id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("grp"), F.col("root").isNull().alias("alone"))
+    prefix = prefix.join(grouped, "id").select("id", "grp", "n", "tokens", "alone", "bits")
+    prefix = cut(map_rows(prefix, in_chunks, "chunk long, id long, grp long, n long, tokens array<long>, alone boolean, bits array<long>"))
     held = prefix.agg(F.sum(F.size("tokens"))).first()[0] or 0
     more = verified(cross_pairs(prefix, 1 + held // BUCKET_TOKENS, percent), rows, words, percent)
     drop_table(prefix)
