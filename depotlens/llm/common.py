@@ -171,11 +171,11 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating star contractions. Large stars link the greater neighbours of a
     vertex to its least one, small stars the lesser ones; every round keeps the
     components and shortens the trees, so the rounds grow with the logarithm of
-    the longest chain. No component is ever gathered in one place.
+    the longest chain. They end when stars are left: every vertex has one edge, to
+    a vertex that has none of its own. No component is ever gathered in one place.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
-    last = None
-    while True:
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -183,12 +183,13 @@ def components(edges: DataFrame) -> DataFrame:
         least2 = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         star = large.join(least2, "u")
         new = cut(star.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least2.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
-        state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         for t in (least, large, least2, e):
             drop_table(t)
         e = new
-        if state == last:
-            break
-        last = state
-    roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("v"), "root")
+    roots = e.select(F.col("u").alias("v"), F.col("v").alias("root"))
     return cut(roots.union(roots.select(F.col("root").alias("v"), "root").distinct()))
+
+
+def _stars(e: DataFrame) -> bool:
+    n, distinct = e.agg(F.count("*"), F.count_distinct("u")).first()
+    return n == distinct and e.join(e.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty()
