@@ -35,7 +35,7 @@ def page_paths(spark: SparkSession, d: str) -> DataFrame:
 def raw_messages(spark: SparkSession, d: str) -> DataFrame:
     """Conversation turns in the shape that the mail connector returns."""
     h = lambda k, v: F.struct(F.lit(k).alias("name"), v.alias("value"))
-    headers = F.array(h("From", F.lit("first")), h("From", F.col("role")), h("to", F.col("role")), h("Subject", F.left("text", F.lit(50))))
+    headers = F.array(h("From", F.lit("first")), h("From", F.col("role")), h("to", F.col("role")), h("Subject", F.col("text")))
     return table(spark, d, "conversations").select(
         F.col("turn").cast("string").alias("id"),
         F.col("conv_id").cast("string").alias("threadId"),
@@ -54,7 +54,7 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
         F.col("conv_id").cast("string").alias("thread_id"),
         F.lit("u").alias("username"),
         F.col("role").alias("mail_from"),
-        F.left("text", F.lit(50)).alias("subject"),
+        F.left("text", F.lit(2000)).alias("subject"),  # as wide as the store's column
         F.octet_length("text").cast("bigint").alias("size_estimate"),
         F.concat(F.lit("INBOX,"), F.upper("role")).alias("labels"),
         F.call_function("mod", F.col("conv_id"), F.lit(10)).alias("scan_id"),
@@ -88,11 +88,11 @@ def scans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """A scan's account is its customer; some scans have no metadata and some have two rows."""
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    m = o.join(c, o.o_custkey == c.c_custkey).filter("c_custkey % 7 != 0")
+    """A scan's account is its customer; scans that found nothing have no metadata and failed ones have two rows."""
+    o, c, found = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "lineitem")
+    m = o.join(c, o.o_custkey == c.c_custkey).join(found, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
     row = lambda df, path: df.select("o_orderkey", F.col("c_name").alias("name"), path.alias("search_path"), F.lit(None).cast("string").alias("search_filter"), F.col("o_orderkey").alias("scan_id"))
-    return row(m, F.col("c_mktsegment")).unionByName(row(m.filter("c_custkey % 11 = 0"), F.lit("second")))
+    return row(m, F.col("c_mktsegment")).unionByName(row(m.filter("o_orderstatus = 'F'"), F.lit("second")))
 
 
 def media(spark: SparkSession, d: str) -> DataFrame:

@@ -21,9 +21,9 @@ AS_OF = datetime(2024, 6, 1)
 
 # SQL of the fixtures, by the same names.
 FILES = "(SELECT doc_id AS id, 'doc_' || doc_id || '.txt' AS name, '/' || lang || '/' || source || '/doc_' || doc_id || '.txt' AS path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, md5(coalesce(text, '')) AS md5hash, false AS is_dir, CAST(substr(source, 4, 10) AS BIGINT) AS scan_id FROM documents)"
-MESSAGES = "(SELECT conv_id * 1000 + turn AS id, CAST(turn AS VARCHAR) AS message_id, CAST(conv_id AS VARCHAR) AS thread_id, 'u' AS username, role AS mail_from, left(text, 50) AS subject, CAST(octet_length(encode(text)) AS BIGINT) AS size_estimate, 'INBOX,' || upper(role) AS labels, conv_id % 10 AS scan_id FROM conversations)"
+MESSAGES = "(SELECT conv_id * 1000 + turn AS id, CAST(turn AS VARCHAR) AS message_id, CAST(conv_id AS VARCHAR) AS thread_id, 'u' AS username, role AS mail_from, left(text, 2000) AS subject, CAST(octet_length(encode(text)) AS BIGINT) AS size_estimate, 'INBOX,' || upper(role) AS labels, conv_id % 10 AS scan_id FROM conversations)"
 SCANS = "(SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'local' WHEN '2-HIGH' THEN 'google_drive' WHEN '3-MEDIUM' THEN 'gmail' ELSE 'photos' END AS scan_type, o_orderdate AS created_on, o_orderdate AS scan_start_time, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate + to_seconds(o_orderkey % 3600) END AS scan_end_time, CASE o_orderstatus WHEN 'F' THEN 'Failed' WHEN 'O' THEN 'Completed' END AS status FROM orders)"
-META = "(SELECT o_orderkey AS scan_id, c_name AS name, c_mktsegment AS search_path, CAST(NULL AS VARCHAR) AS search_filter FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 7 <> 0 UNION ALL SELECT o_orderkey, c_name, 'second', NULL FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 7 <> 0 AND c_custkey % 11 = 0)"
+META = "(SELECT o_orderkey AS scan_id, c_name AS name, c_mktsegment AS search_path, CAST(NULL AS VARCHAR) AS search_filter FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT o_orderkey, c_name, 'second', NULL FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderstatus = 'F')"
 MEDIA = "(SELECT p_partkey AS id, 'm' || p_partkey AS media_item_id, CASE WHEN p_type LIKE 'PROMO%' THEN 'image/jpeg' WHEN p_type LIKE 'STANDARD%' THEN 'video/mp4' ELSE 'text/plain' END AS mime_type, p_name AS filename, CAST(CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_size * 1000 END AS BIGINT) AS size, p_partkey % 4 AS scan_id, p_brand, p_type, p_size, p_retailprice FROM part)"
 MASK = "CASE WHEN instr(n, '@') - 1 >= 6 THEN left(n, 3) || '****' || substr(n, instr(n, '@') - 2, 2) || substr(n, instr(n, '@')) ELSE client_key END"
 TOKENS = "(SELECT CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) || '@example.org' ELSE 'abc@example.org' END AS n, 'key-' || s_suppkey AS client_key FROM supplier)"
@@ -136,7 +136,7 @@ def scan_stats(s, d):
     return A.scan_stats(X.files(s, d))
 
 
-@query("message_normalize", "SELECT CAST(turn AS VARCHAR) AS message_id, CAST(conv_id AS VARCHAR) AS thread_id, 'u' AS username, TIMESTAMP '2024-01-01' + to_seconds((123 + conv_id * 1000 + turn) // 1000) AS date, role AS mail_from, '' AS mail_to, left(text, 50) AS subject, CAST(octet_length(encode(text)) AS BIGINT) AS size_estimate, 'INBOX,' || upper(role) AS labels FROM conversations")
+@query("message_normalize", "SELECT CAST(turn AS VARCHAR) AS message_id, CAST(conv_id AS VARCHAR) AS thread_id, 'u' AS username, TIMESTAMP '2024-01-01' + to_seconds((123 + conv_id * 1000 + turn) // 1000) AS date, role AS mail_from, '' AS mail_to, left(text, 2000) AS subject, CAST(octet_length(encode(text)) AS BIGINT) AS size_estimate, 'INBOX,' || upper(role) AS labels FROM conversations")
 def message_normalize(s, d):
     return ingest.normalize_messages(remote.messages(X.raw_messages(s, d), "u"))
 
@@ -279,13 +279,13 @@ def size_collisions(s, d):
 
 
 def _pair(s, d):
-    """Two inventories by content hash: scans 1 and 2 under shared names."""
-    f = X.files(s, d).withColumn("name", F.concat(F.lit("f"), F.call_function("div", F.col("id"), F.lit(20)).cast("string")))
-    return f.filter("scan_id = 1"), f.filter("scan_id = 2 and id % 60 != 2")
+    """Every scan against the next one: all files, and all files again under the names of the scan before. Names are places in a scan."""
+    side = lambda scan: X.files(s, d).withColumn("name", F.concat(scan.cast("string"), F.lit("/f"), F.call_function("div", F.col("id"), F.lit(20)).cast("string")))
+    return side(F.col("scan_id")), side(F.col("scan_id") - 1)
 
 
-_L = f"(SELECT 'f' || (id // 20) AS name, size, md5hash FROM {FILES} WHERE scan_id = 1)"
-_R = f"(SELECT 'f' || (id // 20) AS name, size, md5hash FROM {FILES} WHERE scan_id = 2 AND id % 60 <> 2)"
+_L = f"(SELECT scan_id || '/f' || (id // 20) AS name, size, md5hash FROM {FILES})"
+_R = f"(SELECT (scan_id - 1) || '/f' || (id // 20) AS name, size, md5hash FROM {FILES})"
 _DIFF = f"SELECT name, l.size AS size_left, l.md5hash AS md5_left, r.size AS size_right, r.md5hash AS md5_right, CASE WHEN r.name IS NULL THEN 'ONLY_LEFT' WHEN l.name IS NULL THEN 'ONLY_RIGHT' WHEN l.size IS NOT DISTINCT FROM r.size AND l.md5hash IS NOT DISTINCT FROM r.md5hash THEN 'SAME' ELSE 'CHANGED' END AS state FROM {_L} l FULL JOIN {_R} r USING (name)"
 
 
