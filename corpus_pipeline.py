@@ -3,11 +3,11 @@
 Each stage gets all that its predecessor kept, and all but the last return the
 columns of ``documents``:
 
-1. language: documents without a letter, or without a main language of half their text, go;
+1. language: documents without a letter go;
 2. exact: of equal texts (A-Z folded) the largest doc_id stays;
 3. near: of each group of near duplicates (five-word shingles, similarity 0.75) the smallest doc_id stays;
 4. benchmark: documents of which at least a twentieth lies in benchmark windows go;
-5. pack: what is left is packed into sequences of 2048 tokens.
+5. pack: what is left is packed into sequences of 2048 tokens, whose ids are written.
 
 ORACLE_SQL is None: the mixture inference and the retrieval order have no SQL.
 """
@@ -39,7 +39,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, with_ids=False)
+    return packing.pack(docs)
 
 
 STAGES = [("language", language_stage), ("exact", exact_stage), ("near", near_stage), ("benchmark", benchmark_stage), ("pack", pack_stage)]

@@ -31,6 +31,9 @@ K1, B = 1.2, 0.75
 #: Distinct chunks whose ids a worker remembers.
 CACHE = 400_000
 
+#: ASCII signs that the tokenizer parts from letters before them; an apostrophe may begin a token with letters.
+SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+
 _HELD: dict[str, "Chunks"] = {}
 
 
@@ -53,6 +56,7 @@ class Chunks(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.again: set[bytes] = set()
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -63,11 +67,20 @@ class Chunks(dict):
             _HELD[path] = cls(path)
         return _HELD[path]
 
+    def _put(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Remember the ids of each word, which end at these places."""
+        flat, at = ids.astype("<u4").tobytes(), 0
+        for w, end in zip(words, (4 * ends).tolist(), strict=True):
+            self[w] = flat[at:end]
+            at = end
+
     def _plain(self, words: list[bytes]) -> None:
         """Encode words of a-z only: normaliser and splitter leave them whole, so the merges alone decide."""
-        merge = self.tokenizer.model.tokenize
+        merge, flat, ends = self.tokenizer.model.tokenize, [], []
         for w in words:
-            self[w] = np.array([t.id for t in merge(w.decode())], "<u4").tobytes()
+            flat += [t.id for t in merge(w.decode())]
+            ends.append(len(flat))
+        self._put(words, np.array(flat, np.int64), np.array(ends, np.int64))
 
     def _alike(self, words: list[bytes]) -> None:
         """Encode words of letters, a hundred as one text: each has one last piece, which the vocabulary marks."""
@@ -75,34 +88,45 @@ class Chunks(dict):
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int64)
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(group):
+            if len(ends) == len(group):
+                self._put(group, ids, ends)
+            else:
                 self._apart(group)
-                continue
-            for w, part in zip(group, np.split(ids, ends[:-1]), strict=True):
-                self[w] = part.astype("<u4").tobytes()
 
     def _apart(self, chunks: list[bytes]) -> None:
         for c, e in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
             self[c] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, many: list[list[bytes]]) -> None:
-        """Add the ids of new chunks. A letter and a full stop or comma behind it are never one token, so such chunks are put together from both."""
+        """Add the ids of new chunks. A word and the signs behind it are never one token, so such chunks are put together from both.
+
+        Where there is no room for them, only chunks that came again since the last time are kept.
+        """
         words = set().union(*many)
-        new = words - self.keys()
+        new = [c for c in words if c not in self]
+        met = words.difference(new)
+        self.again |= met
         if len(self) + 2 * len(new) > CACHE:
-            known = {c: self[c] for c in words - new}
+            if len(self.again) + 2 * len(new) > CACHE:
+                self.again = met
+            known = {c: self[c] for c in self.again if c in self}
             self.clear()
             self.update(known)
-        plain, alike, apart, both = set(), set(), set(), []
+            self.again = set()
+        plain = {c for c in new if c.isalpha() and c.islower()}
+        alike, apart, both = set(), set(), []
         for c in new:
-            word = c[:-1] if c[-1] in b".," else c
+            if c in plain:
+                continue
+            word = c.rstrip(SIGNS)
             if not (word.isalpha() or word.decode().isalpha()):
                 apart.add(c)
                 continue
-            if word is not c:
-                both.append(c)
-                if c[-1:] not in self:
-                    apart.add(c[-1:])
+            if len(word) < len(c):
+                signs = c[len(word) :]
+                both.append((c, word, signs))
+                if signs not in self:
+                    apart.add(signs)
             if word not in self:
                 (plain if word.isascii() and word.islower() else alike).add(word)
         self._plain(list(plain))
@@ -111,8 +135,8 @@ class Chunks(dict):
             self._alike(alike[i : i + 2000])
         for i in range(0, len(apart), 2000):
             self._apart(apart[i : i + 2000])
-        for c in both:
-            self[c] = self[c[:-1]] + self[c[-1:]]
+        for c, word, signs in both:
+            self[c] = self[word] + self[signs]
 
     def encode(self, chunks: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join([*map(self.__getitem__, chunks), _END]), "<u4")
@@ -147,13 +171,13 @@ class Bm25:
 
     def nearest(self, k: int, unused: np.ndarray) -> list[int]:
         """All unused documents that share a term with document k, best first; ties go to the earlier one."""
-        score = np.zeros(len(unused))
-        for t in self.queries[k].tolist():
-            a, b = self.starts[t], self.starts[t + 1]
-            score[self.rows[a:b]] += self.weights[a:b]
+        t = self.queries[k]
+        n = self.starts[t + 1] - self.starts[t]
+        at = np.arange(n.sum()) + np.repeat(self.starts[t] - np.cumsum(n) + n, n)  # the postings of all its terms
+        score = np.bincount(self.rows[at], self.weights[at], len(unused))
         score[~unused] = 0
         found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))].tolist()
+        return found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 class Deal:
@@ -168,11 +192,14 @@ class Deal:
         self.df, self.room = df, room
 
     def keys(self, terms: np.ndarray) -> tuple[int, int]:
-        """The rarest and the second rarest shared term; -1 for none."""
-        t = np.unique(terms)
-        t = t[self.df[t] > 1]
-        t = t[np.lexsort((t, self.df[t]))[:2]].tolist()
-        return (*t, -1, -1)[:2]
+        """The rarest and the second rarest shared term; -1 for none. Of equally rare ones the least term comes first."""
+        df = self.df[terms]
+        t, df = terms[df > 1], df[df > 1]
+        out = []
+        while len(out) < 2 and len(t):
+            out.append(int(t[df == df.min()].min()))
+            t, df = t[t != out[-1]], df[t != out[-1]]
+        return (*out, -1, -1)[:2]
 
     def plan(self, keys: DataFrame) -> None:
         """Lay out the shards for a table (t1, t2, size). The driver gets a number for each term, and one for each pair over ``room``."""
@@ -243,8 +270,8 @@ def pieces(lengths: list[int], order: list[int], window: int) -> list[tuple[int,
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, with_ids: bool = True) -> DataFrame:
-    """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if wanted.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per piece: id_col, start, length, doc_tokens, sequence_id, offset, and ids (little-endian unsigned 32-bit numbers).
 
     A null or blank text is its end id alone. Repeated ids count once, with their
     greatest text; rows without an id are left out; an empty table gives no
@@ -293,10 +320,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         source = [x for c in t.column("v0").chunks for x in texts(c)]
         many = [chunks_of(x) for x in source]
         chunks = Chunks.of(path)
-        ids = []
-        for i in range(0, len(many), 200):
-            chunks.learn(many[i : i + 200])
-            ids += [chunks.encode(c) for c in many[i : i + 200]]
+        chunks.learn(many)
+        ids = [chunks.encode(c) for c in many]
         index = Bm25([terms(x) for x in source], idf.value, mean)
         lengths = [len(x) for x in ids]
         got = pieces(lengths, arrange(lengths, index, window), window)
@@ -307,14 +332,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 pa.array([names[d] for d, *_ in got], pa.int64()),
                 pa.array([a for _, a, *_ in got], pa.int64()),
                 pa.array([c for _, _, c, *_ in got], pa.int64()),
-                pa.array([zlib.crc32(x.tobytes()) for x in parts], pa.int64()),
                 pa.array([lengths[d] for d, *_ in got], pa.int64()),
                 pa.array([base + s for *_, s, _ in got], pa.int64()),
                 pa.array([o for *_, o in got], pa.int64()),
-                *([pa.array([x.astype(np.int32) for x in parts], pa.list_(pa.int32()))] if with_ids else []),
+                pa.array([x.tobytes() for x in parts], pa.binary()),
             ],
-            names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])],
+            names=[id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
         )
 
-    schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return dealt.groupBy("shard").applyInArrow(run, schema)
+    return dealt.groupBy("shard").applyInArrow(run, f"{id_col} long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
