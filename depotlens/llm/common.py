@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,7 +78,23 @@ def one_per_id(df: DataFrame, id_col: str, *values: str) -> DataFrame:
     return out
 
 
-def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def by_row(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """docs with a number for each row in ROW, and whether that is its id.
+
+    Where ids are missing or repeat, it is the row's place in id order, rows
+    without an id first.
+    """
+    ids = docs.select(F.col(id_col).cast("long").alias(ROW))
+    if ids.groupBy(ROW).agg(F.count("*").alias("n")).filter(F.col(ROW).isNull() | (F.col("n") > 1)).isEmpty():
+        return docs.withColumn(ROW, F.col(id_col).cast("long")), True
+    placed = docs.orderBy(F.asc_nulls_first(F.col(id_col).cast("long")), F.xxhash64(text_col))
+    return cut(placed.withColumn(ROW, F.monotonically_increasing_id())), False
+
+
+ROW = "_row_number"
+
+
+def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches of at most BATCH rows where the session has Spark's default, since texts may be long."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(key) == "10000":

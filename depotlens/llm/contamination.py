@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, one_per_id, texts
+from .common import ROW, by_row, map_rows, one_per_id, texts
 from .shingles import FOLD
 
 WINDOW, SHINGLE = 13, 3
@@ -163,7 +163,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    stay = contamination(docs, benchmark).filter("not contaminated").select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns, also where ids are missing or repeat."""
+    rows, _ = by_row(docs, id_col, text_col)
+    stay = contamination(rows.select(ROW, F.col(text_col).alias("text")), benchmark, ROW).filter("not contaminated").select(F.col(ROW).alias("_stay"))
+    return rows.join(stay, F.col(ROW) == F.col("_stay"), "left_semi").select(*docs.columns)

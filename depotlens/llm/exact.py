@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, drop_table, one_per_id
+from .common import ROW, ascii_lower, by_row, cut, drop_table
 
 BLOCK = 4096
 
@@ -74,20 +74,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per id: id_col, keep_id, group_size, kept, text_sha256.
 
     Equal texts (A-Z folded; null equals empty) are one group and its largest id
-    stays. Repeated ids count once, with their greatest text; rows without an id
-    are left out; an empty table gives an empty result; other columns are ignored.
+    stays. Every row counts: of repeated ids, all rows are returned. Rows without
+    an id are kept last, and their ``kept`` is null. An empty table gives an empty
+    result; other columns are ignored.
     """
-    named = block_names(one_per_id(docs, id_col, text_col), block, fingerprint)
-    whole = cut(text_names(named))
-    groups = cut(whole.groupBy("n", "name").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")))
+    rows, plain = by_row(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("v0")), id_col, "v0")
+    named = block_names(rows.select(F.col(ROW).alias("id"), "v0"), block, fingerprint)
+    whole = text_names(named).withColumn("doc", F.col("id"))
+    if not plain:
+        whole = whole.drop("doc").join(rows.select(F.col(ROW).alias("id"), F.col(id_col).alias("doc")), "id")
+    whole = cut(whole)
+    groups = cut(whole.groupBy("n", "name").agg(F.max("doc").alias("keep_id"), F.count("*").alias("group_size")))
     digests = named.filter("pos = 0").select("id", "sha")
-    found = whole.join(groups, ["n", "name"]).select("id", "keep_id", "group_size")
+    found = whole.join(groups, ["n", "name"]).select("id", "doc", "keep_id", "group_size")
     return found.join(digests, "id").select(
-        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
+        F.col("doc").alias(id_col), "keep_id", "group_size", (F.col("doc") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_stay"))
-    return docs.join(stay, F.col(id_col) == F.col("_stay"), "left_semi")
+    """The rows of docs that stay, with all their columns: one of each group, also where ids are missing or repeat."""
+    rows, _ = by_row(docs, id_col, text_col)
+    stay = exact_groups(rows.select(ROW, text_col), ROW, text_col).filter("kept").select(F.col(ROW).alias("_stay"))
+    return rows.join(stay, F.col(ROW) == F.col("_stay"), "left_semi").select(*docs.columns)

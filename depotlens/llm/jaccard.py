@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PARTS, components, count_parts, cut, drop_table, list_values, long_lists, map_rows, one_per_id, small, sum_counts, texts
+from .common import PARTS, ROW, by_row, components, count_parts, cut, drop_table, list_values, long_lists, map_rows, one_per_id, small, sum_counts, texts
 from .shingles import WordHashes, mix, shingle_set
 
 WORDS, PERCENT = 5, 75
@@ -310,6 +310,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns."""
-    stay = near_groups(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stay"))
-    return docs.join(stay, F.col(id_col) == F.col("_stay"), "left_semi")
+    """The rows of docs whose id is the smallest of its component, with all their columns; one row of each, also where ids are missing or repeat."""
+    rows, _ = by_row(docs, id_col, text_col)
+    stay = near_groups(rows.select(ROW, text_col), ROW, text_col).filter(F.col(ROW) == F.col("component_id")).select(F.col(ROW).alias("_stay"))
+    return rows.join(stay, F.col(ROW) == F.col("_stay"), "left_semi").select(*docs.columns)

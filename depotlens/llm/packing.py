@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_counts, cut, drop_table, map_rows, one_per_id, texts
-from .shingles import word_numbers
+from .shingles import column_word_numbers, mix
 
 WINDOW, END_ID = 2048, 1
 #: Text bytes of a shard; terms are hashed to 2**TERM_BITS, which bounds the corpus counts.
@@ -37,14 +37,64 @@ SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 _HELD: dict[str, "Chunks"] = {}
 
 
-def chunks_of(text: bytes | None) -> list[bytes]:
-    """A text's chunks between ASCII blanks, A-Z folded.
+class Parts:
+    """The chunks between ASCII blanks of texts, A-Z folded, and which of them are the same.
 
     The tokenizer folds case, drops white space and looks at nothing across it, so
     the ids of a text are those of its chunks in order. Texts that may hold
     special tokens, which are told by case, are not folded.
+
+    ``words`` are the distinct chunks, ``at`` numbers the chunks of all texts by
+    them, and ``ends`` is where each text's chunks end. Chunks of up to 16 bytes
+    are told apart by two numbers, longer ones by a table.
     """
-    return (text if b"<|" in text else text.lower()).split() if text else []
+
+    def __init__(self, column: pa.Array):
+        folded = [x if b"<|" in x else x.lower() for x in (x or b"" for x in texts(column))]
+        joined = b" ".join([*folded, b" " * 16])
+        ends = np.cumsum([len(x) + 1 for x in folded])
+        ink = np.frombuffer(joined, np.uint8)
+        ink = np.concatenate(([False], (ink != 32) & ((ink < 9) | (ink > 13)), [False]))
+        edge = np.flatnonzero(ink[1:] != ink[:-1])
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        self.ends = np.searchsorted(start, ends)
+        eight = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))  # the number that begins at each byte
+        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        a = eight[start] & mask[np.minimum(size, 8)]
+        b = eight[np.minimum(start + 8, len(eight) - 1)] & mask[np.clip(size - 8, 0, 8)]
+        known: dict[bytes, int] = {}
+        for i in np.flatnonzero(size > 16).tolist():
+            a[i] = known.setdefault(joined[start[i] : start[i] + size[i]], len(known))
+            b[i] = size[i] = 0
+        h = mix(a * np.uint64(0x9E3779B97F4A7C15) + b + size.astype(np.uint64))
+        order = np.argsort(h)
+        alike = [(x[order[1:]] == x[order[:-1]]) for x in (h, a, b, size)]
+        if (alike[0] & ~(alike[1] & alike[2] & alike[3])).any():  # two chunks share a hash
+            order = np.lexsort((size, b, a))
+            alike = [(x[order[1:]] == x[order[:-1]]) for x in (a, b, size)]
+        first = np.concatenate((np.ones(min(1, len(order)), bool), ~np.logical_and.reduce(alike)))
+        self.at = np.empty(len(order), np.int64)
+        self.at[order] = np.cumsum(first) - 1
+        some = order[first]
+        stop = edge[1::2][some]
+        self.words = [joined[i:j] for i, j in zip(start[some].tolist(), stop.tolist(), strict=True)]
+
+
+def _shown_bytes() -> dict[int, int]:
+    """How the tokenizer's model spells bytes: printable ones as themselves, the others from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_SPELT = _shown_bytes()
+
+
+def _plain_latin(word: bytes) -> bool:
+    """Whether a word of letters has only lower-case ones below U+0250, which no normal form changes."""
+    if word.isascii():
+        return word.islower()
+    text = word.decode()
+    return max(text) < "\u0250" and text == text.lower()
 
 
 class Chunks(dict):
@@ -75,10 +125,10 @@ class Chunks(dict):
             at = end
 
     def _plain(self, words: list[bytes]) -> None:
-        """Encode words of a-z only: normaliser and splitter leave them whole, so the merges alone decide."""
+        """Encode lower-case words of Latin letters: normaliser and splitter leave them whole, so the merges alone decide."""
         merge, flat, ends = self.tokenizer.model.tokenize, [], []
         for w in words:
-            flat += [t.id for t in merge(w.decode())]
+            flat += [t.id for t in merge(w.decode() if w.isascii() else w.decode("latin-1").translate(_SPELT))]
             ends.append(len(flat))
         self._put(words, np.array(flat, np.int64), np.array(ends, np.int64))
 
@@ -97,14 +147,13 @@ class Chunks(dict):
         for c, e in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
             self[c] = np.array(e.ids, "<u4").tobytes()
 
-    def learn(self, many: list[list[bytes]]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Add the ids of new chunks. A word and the signs behind it are never one token, so such chunks are put together from both.
 
         Where there is no room for them, only chunks that came again since the last time are kept.
         """
-        words = set().union(*many)
         new = [c for c in words if c not in self]
-        met = words.difference(new)
+        met = set(words).difference(new)
         self.again |= met
         if len(self) + 2 * len(new) > CACHE:
             if len(self.again) + 2 * len(new) > CACHE:
@@ -128,7 +177,7 @@ class Chunks(dict):
                 if signs not in self:
                     apart.add(signs)
             if word not in self:
-                (plain if word.isascii() and word.islower() else alike).add(word)
+                (plain if _plain_latin(word) else alike).add(word)
         self._plain(list(plain))
         alike, apart = list(alike), list(apart)
         for i in range(0, len(alike), 2000):
@@ -138,11 +187,16 @@ class Chunks(dict):
         for c, word, signs in both:
             self[c] = self[word] + self[signs]
 
-    def encode(self, chunks: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join([*map(self.__getitem__, chunks), _END]), "<u4")
-
-
-_END = np.array([END_ID], "<u4").tobytes()
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a column, with the end id."""
+        parts = Parts(column)
+        self.learn(parts.words)
+        ids = [*map(self.__getitem__, parts.words), np.array([END_ID], "<u4").tobytes()]
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) >> 2 for x in ids])
+        at = np.insert(parts.at, parts.ends, len(parts.words))  # an end behind the chunks of each text
+        take = sizes[at]
+        place = np.arange(take.sum()) + np.repeat((np.cumsum(sizes) - sizes)[at] - np.cumsum(take) + take, take)
+        return np.split(flat[place], np.cumsum(take)[np.flatnonzero(at == len(parts.words))[:-1]])
 
 
 def default_tokenizer() -> str:
@@ -155,18 +209,13 @@ class Bm25:
     """An inverted index over hashed terms; ``idf`` and ``mean`` come from the whole corpus."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.queries = []
-        rows, terms, weights = [], [], []
-        for k, d in enumerate(docs):
-            t, tf = np.unique(d, return_counts=True)
-            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / mean))
-            self.queries.append(t)
-            rows.append(np.full(len(t), k))
-            terms.append(t)
-            weights.append(w)
-        term = np.concatenate(terms)
+        sizes = np.array([len(d) for d in docs])
+        both, tf = np.unique(np.repeat(np.arange(len(docs)), sizes) * len(idf) + np.concatenate(docs), return_counts=True)
+        row, term = both // len(idf), both % len(idf)
+        self.queries = np.split(term, np.searchsorted(row, np.arange(1, len(docs))))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[row] / mean))
         order = np.argsort(term, kind="stable")
-        self.rows, self.weights = np.concatenate(rows)[order], np.concatenate(weights)[order]
+        self.rows, self.weights = row[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
     def nearest(self, k: int, unused: np.ndarray) -> list[int]:
@@ -180,6 +229,10 @@ class Bm25:
         return found[np.argsort(-score[found], kind="stable")].tolist()
 
 
+#: The rank of terms that do not count.
+NEVER = np.iinfo(np.int64).max
+
+
 class Deal:
     """Which shard a document goes to: that of its rarest shared term.
 
@@ -191,15 +244,19 @@ class Deal:
     def __init__(self, df: np.ndarray, room: int):
         self.df, self.room = df, room
 
-    def keys(self, terms: np.ndarray) -> tuple[int, int]:
-        """The rarest and the second rarest shared term; -1 for none. Of equally rare ones the least term comes first."""
+    def keys(self, terms: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rarest and the second rarest shared term of each text; -1 for none. Of equally rare ones the least term comes first."""
         df = self.df[terms]
-        t, df = terms[df > 1], df[df > 1]
+        rank = np.where(df > 1, df * len(self.df) + terms, NEVER)
+        some, sizes = np.diff(ends) > 0, np.diff(ends)
         out = []
-        while len(out) < 2 and len(t):
-            out.append(int(t[df == df.min()].min()))
-            t, df = t[t != out[-1]], df[t != out[-1]]
-        return (*out, -1, -1)[:2]
+        for _ in range(2):
+            least = np.full(len(sizes), NEVER)
+            if some.any():
+                least[some] = np.minimum.reduceat(rank, ends[:-1][some])
+            rank[rank == np.repeat(least, sizes)] = NEVER
+            out.append(np.where(least < NEVER, least % len(self.df), -1))
+        return out[0], out[1]
 
     def plan(self, keys: DataFrame) -> None:
         """Lay out the shards for a table (t1, t2, size). The driver gets a number for each term, and one for each pair over ``room``."""
@@ -280,13 +337,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """
     path = tokenizer or default_tokenizer()
     rows = one_per_id(docs, id_col, text_col)
-    shift = np.uint64(64 - TERM_BITS)
-    terms = lambda text: (word_numbers(text) >> shift).astype(np.int64)
+
+    def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        numbers, ends = column_word_numbers(column)
+        return (numbers >> np.uint64(64 - TERM_BITS)).astype(np.int64), ends
 
     def count(b: pa.RecordBatch):
-        found = [terms(x) for x in texts(b.column(0))]
-        yield "df", np.concatenate([np.unique(x) for x in found] or [np.empty(0, np.int64)])
-        yield "words", np.concatenate(found or [np.empty(0, np.int64)])
+        found, ends = terms(b.column(0))
+        last, place = np.zeros(1 << TERM_BITS, np.int64), np.arange(len(found))
+        once = np.zeros(len(found), bool)
+        for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            last[found[x:y]] = place[x:y]
+            once[x:y] = last[found[x:y]] == place[x:y]  # a term's last place in its text
+        yield "df", found[once]
+        yield "words", found
 
     n, size = rows.agg(F.count("*"), F.sum(F.octet_length("v0").cast("long"))).first()
     counts = bucket_counts(rows.select("v0"), count, TERM_BITS)
@@ -300,8 +364,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                both = [held.value.keys(terms(x)) for x in texts(b.column(0))]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.int32()), pa.array([y for _, y in both], pa.int32()), b.column(1)], names=["t1", "t2", "size"])
+                t1, t2 = held.value.keys(*terms(b.column(0)))
+                yield pa.RecordBatch.from_arrays([pa.array(t1, pa.int32()), pa.array(t2, pa.int32()), b.column(1)], names=["t1", "t2", "size"])
 
         keys = cut(map_rows(rows.select("v0", F.coalesce(F.octet_length("v0"), F.lit(0)).cast("long").alias("size")), keyed, "t1 int, t2 int, size long"))
         deal.plan(keys)
@@ -310,19 +374,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = [planned.value.shard(i, *planned.value.keys(terms(x))) for i, x in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True)]
+                t1, t2 = planned.value.keys(*terms(b.column(1)))
+                at = [planned.value.shard(*x) for x in zip(b.column(0).to_pylist(), t1.tolist(), t2.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *b.columns], names=["shard", "id", "v0"])
 
         dealt = map_rows(rows.select("id", "v0"), place, "shard long, id long, v0 string")
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        source = [x for c in t.column("v0").chunks for x in texts(c)]
-        many = [chunks_of(x) for x in source]
-        chunks = Chunks.of(path)
-        chunks.learn(many)
-        ids = [chunks.encode(c) for c in many]
-        index = Bm25([terms(x) for x in source], idf.value, mean)
+        t = t.sort_by("id").combine_chunks()
+        column = t.column("v0").chunk(0)
+        ids = Chunks.of(path).encode(column)
+        found, ends = terms(column)
+        index = Bm25(np.split(found, ends[1:-1]), idf.value, mean)
         lengths = [len(x) for x in ids]
         got = pieces(lengths, arrange(lengths, index, window), window)
         names, base = t.column("id").to_pylist(), t.column("shard")[0].as_py() << 32

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -87,3 +88,37 @@ def word_numbers(text: bytes | None) -> np.ndarray:
         out.append(mix((total[stop] - total[start]) * down[start]))
         at = end
     return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def column_word_numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """word_numbers() of a text column's rows, one after the other, and the n + 1 places where rows begin and end.
+
+    Rows are taken together up to a segment's length, longer ones alone.
+    """
+    if not len(column):
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    column = column.cast(pa.binary())
+    column = column.fill_null(b"") if column.null_count else column
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    up, down = _powers()
+    out, sizes, a = [], [], 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + _SEGMENT, "right")) - 1)
+        if ends[b] - ends[a] > _SEGMENT:
+            out.append(word_numbers(column[a].as_py()))
+            sizes.append(np.array([len(out[-1])]))
+            a = b
+            continue
+        n = int(ends[b] - ends[a])
+        folded = column.buffers()[2].slice(int(ends[a]), n).to_pybytes().translate(FOLD) if n else b""
+        part, begin = np.frombuffer(folded, np.uint8), ends[a : b + 1] - ends[a]
+        word, border = np.zeros(n + 2, bool), np.zeros(n + 1, bool)
+        word[1:-1] = part != 32
+        border[begin] = True
+        start = np.flatnonzero(word[1:-1] & (~word[:-2] | border[:-1]))
+        stop = np.flatnonzero(word[1:-1] & (~word[2:] | border[1:])) + 1
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up[:n], dtype=np.uint64)))
+        out.append(mix((total[stop] - total[start]) * down[start]))
+        sizes.append(np.diff(np.searchsorted(start, begin)))
+        a = b
+    return np.concatenate(out), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))

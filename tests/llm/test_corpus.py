@@ -1,7 +1,7 @@
 import hashlib
-import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge import FOLD, benchmark_hits, documents, frame, near_components, repeats
 from oracle import compare, connect
@@ -146,10 +146,12 @@ def test_chunks_have_the_ids_of_the_whole_text(monkeypatch):
     monkeypatch.setattr(packing, "CACHE", 12)
     rows = ["", " ", "<|endoftext|> Hi", "İstanbul ΣΑΣ ς", "שׁ x", "don't it's I'LL", "a.b, c., 3.14, ..", "été. ſtraße ǅ", "wo.$$$ x'y' it's, e\u0301!! a<|b|> l'\u00e9t\u00e9&&& 'tis don't.. co-op-", "\u00a0nbsp\u2003em", "𝒜bc 漢字 가각", "a\x1cb\x85c", "plain words, and plain words again."]
     chunks = packing.Chunks(packing.default_tokenizer())
-    for text in rows * 2:
-        parts = packing.chunks_of(text.encode())
-        chunks.learn([parts])
-        assert chunks.encode(parts).tolist() == [*chunks.tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+    rows += ["seventeen-letters-and-more " * 3 + "sevent" + "e" * 60, "a\x00 a \x00a ab\x00", "x" * 16 + " " + "x" * 17]
+    want = [[*chunks.tokenizer.encode(text, add_special_tokens=False).ids, 1] for text in rows]
+    assert [x.tolist() for text in rows * 2 for x in chunks.encode(pa.array([text]))] == want * 2
+    assert [x.tolist() for x in chunks.encode(pa.array([None, *rows, *rows, ""]))] == [[1], *want, *want, [1]]
+    monkeypatch.setattr(packing, "mix", lambda h: h % np.uint64(3))  # where hashes of chunks collide
+    assert [x.tolist() for x in chunks.encode(pa.array(rows))] == want
 
 
 def test_neighbours_follow_their_seed():
