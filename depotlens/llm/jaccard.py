@@ -10,8 +10,9 @@
    prefix (the rarest tokens, as many as a partner cannot all miss). It bounds the
    overlap of a query set with any set of the group, and a group is opened only
    where the bound reaches the threshold.
-4. Sets of opened groups, and sets without a group, meet the query set only where
-   their signatures allow it: a signature has the parity of the set's tokens in
+4. The query set meets the center of an opened group first; groups joined by that
+   are done with each other. Sets of the other opened groups, and sets without a
+   group, meet the query set only where their signatures allow it: a signature has the parity of the set's tokens in
    each of SIGNATURE buckets, so two sets differ in at least as many tokens as
    their signatures in bits. Sets around a large group that miss the threshold by
    little share its tokens, and would else be paired with all of it.
@@ -41,8 +42,8 @@ WORDS, PERCENT = 5, 75
 BANDS, WIDTH = 8, 2
 #: log2 of the sketch's counters: 1 MB for each task, whatever the input.
 SKETCH_BITS = 20
-#: Bits of a signature.
-SIGNATURE = 2048
+#: Bits of a signature, and sets of a group that its center is judged by.
+SIGNATURE, PICKS = 2048, 16
 #: Rows of a table that may be broadcast (16 bytes each), checked by a count.
 BROADCAST_ROWS = 200_000
 #: Prefix tokens of a bucket in which tokens meet, and of a chunk that deals them out (16 bytes each).
@@ -104,10 +105,14 @@ def prefixes(counts, words: int = WORDS, percent: int = PERCENT):
     return run
 
 
+def apart(bits, other):
+    """In how many bits two signatures differ."""
+    return sum((F.bit_count(F.get(bits, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))) for k in range(SIGNATURE // 64)), F.lit(0))
+
+
 def may_link(n: str, bits: str, m: str, other: str, percent: int):
     """Whether two sets can reach the threshold: at most (100 - percent) / (100 + percent) of their sizes' sum may differ."""
-    apart = sum((F.bit_count(F.get(bits, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))) for k in range(SIGNATURE // 64)), F.lit(0))
-    return (100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m))
+    return (100 + percent) * apart(bits, other) <= (100 - percent) * (F.col(n) + F.col(m))
 
 
 def _sets(words: int):
@@ -246,10 +251,24 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def cross_pairs(prefix: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """Pairs (u, v) from different groups that neither the token-group matrix nor the signatures can rule out.
+def group_centers(prefix: DataFrame) -> DataFrame:
+    """(grp, center): the set of each group whose signature is nearest to those of PICKS sets picked by hash; ties go to the least id."""
+    members = prefix.filter("not alone").select("grp", "id", "bits")
+    picks = members.groupBy("grp", F.pmod(F.xxhash64("id"), F.lit(PICKS)).alias("k")).agg(F.min_by("bits", F.xxhash64("id")).alias("pick"))
+    picks = picks.groupBy("grp").agg(F.collect_list("pick").alias("picks"))  # at most PICKS
+    far = F.aggregate("picks", F.lit(0), lambda total, pick: total + apart("bits", pick))
+    return cut(members.join(picks, "grp").select("grp", "id", far.alias("far")).groupBy("grp").agg(F.min_by("id", F.struct("far", "id")).alias("center")))
+
+
+def cross_links(prefix: DataFrame, centers: DataFrame, docs: DataFrame, buckets: int, words: int, percent: int) -> DataFrame:
+    """Verified links (u, v) between groups: enough of them to join all groups between which there is any.
+
+    prefix: chunk, id, grp, alone, n, tokens, bits; centers: grp, center. Query
+    sets are compared with the center of the groups they open first. Groups that
+    this joins are not opened for each other any more, so two large groups of one
+    cluster don't meet member by member.
 
-    prefix: chunk, id, grp, alone, n, tokens, bits. A set of n tokens that carries
+    A set of n tokens that carries
     a token at place p of its prefix has rest = n - p tokens left, so a partner m
     must satisfy (100 + percent) * rest >= percent * (n + m): ``most`` is the
     largest such m.
@@ -274,11 +293,19 @@ def cross_pairs(prefix: DataFrame, buckets: int, percent: int) -> DataFrame:
     pairs = cut(side(singles, "u").join(side(singles, "v"), "token").filter((F.col("u") < F.col("v")) & fits).select("u", "v").distinct())
     matrix = cut(groups.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("most").alias("reach")).withColumnRenamed("grp", "other"))
     reaches = (F.col("au") | (F.col("other") > F.col("gu"))) & (F.col("least") <= F.col("mu")) & (F.col("nu") <= F.col("reach"))
-    opened = cut(side(rows, "u").join(matrix, "token").filter(reaches).drop("gu", "au", "least", "reach").withColumnRenamed("other", "gv"))
-    more = cut(opened.join(side(groups, "v"), ["token", "gv"]).filter(fits).select("u", "v").distinct())
-    for t in (rows, matrix, opened):
+    opened = cut(side(rows, "u").join(matrix, "token").filter(reaches).drop("au", "least", "reach").withColumnRenamed("other", "gv"))
+    middle = prefix.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv")).join(centers, F.col("v") == F.col("center"))
+    asked = opened.dropDuplicates(["u", "gv"]).join(middle.withColumnRenamed("grp", "gv"), "gv").filter(may_link("nu", "bu", "nv", "bv", percent))
+    asked = cut(asked.select("u", "v", "gu", "gv"))
+    links = verified(asked.select("u", "v"), docs, words, percent)
+    joined = components(asked.join(links, ["u", "v"]).select(F.col("gu").alias("u"), F.col("gv").alias("v")))
+    name = lambda g: joined.select(F.col("v").alias(g), F.col("root").alias(f"r{g}"))
+    apart = F.coalesce("rgu", "gu") != F.coalesce("rgv", "gv")
+    opened_yet = cut(opened.join(name("gu"), "gu", "left").join(name("gv"), "gv", "left").filter(apart).drop("gu", "rgu", "rgv"))
+    more = cut(opened_yet.join(side(groups, "v"), ["token", "gv"]).filter(fits).select("u", "v").distinct())
+    for t in (rows, matrix, opened, opened_yet, asked):
         drop_table(t)
-    return pairs.union(more)
+    return links.union(verified(cut(pairs.union(more)), docs, words, percent))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -301,7 +328,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefix = prefix.join(grouped, "id").select("id", "grp", "n", "tokens", "alone", "bits")
     prefix = cut(map_rows(prefix, in_chunks, "chunk long, id long, grp long, n long, tokens array<long>, alone boolean, bits array<long>"))
     held = prefix.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    more = verified(cross_pairs(prefix, 1 + held // BUCKET_TOKENS, percent), rows, words, percent)
+    more = cross_links(prefix, group_centers(prefix), rows, 1 + held // BUCKET_TOKENS, words, percent)
     drop_table(prefix)
     roots = components(links.union(more))
     named = classes.select("n", "digest", "id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("n", "digest", F.coalesce("root", "id").alias("root"))

@@ -7,7 +7,7 @@ from edge import FOLD, benchmark_hits, documents, frame, near_components, repeat
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
-from depotlens.llm import automaton, chat, contamination, exact, html, jaccard, language, packing, registry, suffixes, toxicity
+from depotlens.llm import automaton, chat, contamination, exact, html, jaccard, language, packing, registry, shingles, suffixes, toxicity
 from depotlens.llm.common import components
 from depotlens.llm.repeats import removed_units, repeat_windows
 
@@ -40,6 +40,21 @@ def test_exact_groups(spark, block, mask):
             assert got[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_rows_without_ids_and_with_repeated_ones(spark):
+    """Every row is read, and each stage keeps one row of what it takes for the same."""
+    rows = [(1, "Aa b c d e f g"), (1, "aa b c d e f g"), (1, "other text here"), (None, "aa b c d e f g"), (None, None), (5, ""), (7, "12 3"), (None, "lonely text of no id"), (9, "one two three four five six seven"), (None, "one two three four five six seven")]
+    df = spark.createDataFrame([(i, x, None, "x", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    got = order((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(df).collect())
+    assert got == order([(1, 1, 3, True), (1, 1, 3, True), (1, 1, 1, True), (None, 1, 3, None), (None, 5, 2, None), (5, 5, 2, True), (7, 7, 1, True), (9, 9, 2, True), (None, 9, 2, None), (None, None, 1, None)])
+    left = lambda d: order((r.doc_id, (r.text or "").lower()) for r in d.select(*df.columns).collect())
+    assert left(exact.drop_exact(df)) == order([(1, "aa b c d e f g"), (1, "other text here"), (5, ""), (7, "12 3"), (9, rows[8][1]), (None, rows[7][1])])
+    assert left(jaccard.drop_near(df)) == order([(None, rows[3][1]), (1, "other text here"), (None, ""), (5, ""), (7, "12 3"), (None, rows[8][1]), (None, rows[7][1])])
+    items = spark.createDataFrame([(1, rows[7][1])], "item_id long, text string")
+    assert left(contamination.drop_contaminated(df, items)) == order((i, (x or "").lower()) for i, x in rows if i or x != rows[7][1])
+    assert left(language.keep_identified(df)) == order((i, x.lower()) for i, x in rows if x and x != "12 3")  # also where no lang is known
+
+
 # near duplicates
 
 
@@ -48,6 +63,33 @@ def test_near_groups(spark):
     assert got == near_components(documents())
 
 
+def test_near_groups_around_a_large_one(spark):
+    """Copies of one text with more and more changes: those that miss the threshold by little stay apart, and no link is lost."""
+    rng = np.random.default_rng(2)
+    base = [f"w{k}" for k in range(90)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 240):
+        w = list(base)
+        for k in rng.choice(90, i % 8, replace=False):
+            w[k] = f"z{rng.integers(300)}"
+        rows.append((i, " ".join(w[: 90 - i % 5])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = near_components(rows)
+    assert got == want and 20 < len({c for _, c in want.values()}) < 230
+
+
+def test_signatures_never_rule_out_a_link(spark):
+    rng = np.random.default_rng(4)
+    sets = [set(rng.integers(0, 400, rng.integers(1, 300)).tolist()) for _ in range(60)]
+    sets += [s ^ set(rng.integers(0, 400, 20).tolist()) for s in sets]
+    odd = lambda s: np.packbits((np.bincount([x * 7919 % jaccard.SIGNATURE for x in s], minlength=jaccard.SIGNATURE) & 1).astype(np.uint8)).view(np.int64).tolist()
+    df = spark.createDataFrame([(i, len(s), odd(s)) for i, s in enumerate(sets)], "u long, nu long, bu array<long>")
+    other = df.toDF("v", "nv", "bv")
+    kept = {(r.u, r.v) for r in df.join(other, F.col("u") < F.col("v")).filter(jaccard.may_link("nu", "bu", "nv", "bv", 75)).select("u", "v").collect()}
+    links = {(i, k) for i in range(120) for k in range(i + 1, 120) if 100 * len(sets[i] & sets[k]) >= 75 * len(sets[i] | sets[k])}
+    assert links and links <= kept and len(kept) < 120 * 119 // 4
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 99), (7, 7)]
     got = {r.v: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -154,6 +196,22 @@ def test_chunks_have_the_ids_of_the_whole_text(monkeypatch):
     assert [x.tolist() for x in chunks.encode(pa.array(rows))] == want
 
 
+def test_words_of_a_column():
+    rows = [None, "", "a", "b c", "x" * 2_100_000 + " y", "d e f", "é ü", "ab", "cd ef", " g ", "A B", None]
+    for column in (pa.array(rows), pa.array(["zz", *rows, "q"]).slice(1, len(rows))):
+        numbers, ends = shingles.column_word_numbers(column)
+        assert [numbers[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [shingles.word_numbers(r and r.encode()).tolist() for r in rows]
+
+
+def test_the_rarest_shared_terms():
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 30, n) for n in (5, 0, 1, 9, 0, 3)]
+    df = rng.integers(0, 4, 30)
+    want = [(*sorted({(df[t], t) for t in d if df[t] > 1})[:2], (0, -1), (0, -1))[:2] for d in docs]
+    t1, t2 = packing.Deal(df, 10).keys(np.concatenate(docs), np.cumsum([0, *map(len, docs)]))
+    assert list(zip(t1.tolist(), t2.tolist(), strict=True)) == [(a[1], b[1]) for a, b in want]
+
+
 def test_neighbours_follow_their_seed():
     docs = [np.array(x) for x in ([1, 2, 3], [7, 8, 9], [1, 2, 4], [7, 8, 5])]
     index = packing.Bm25(docs, np.ones(16), 3.0)
@@ -196,6 +254,14 @@ def test_language_mixture_and_edges(spark):
     assert (got[2].lang_pred, got[3].lang_pred, got[4].lang_pred) == ("und", "und", "aa") and got[2].score == 0
 
 
+def test_mixtures_are_not_rejected(spark):
+    """A text in three languages, none with half of it, stays in the pipeline."""
+    say = {"aa": "abc abd ", "bb": "xyz xyw ", "cc": "mno mnp "}
+    rows = [(i, say[k] * 50, k, "s") for i, k in enumerate(list(say) * 8)] + [(100, say["aa"] * 20 + say["bb"] * 18 + say["cc"] * 16, None, "s"), (101, "12 3", "aa", "s")]
+    got = language.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert sorted(r.doc_id for r in got) == [*range(24), 100] and got[0].source == "s"
+
+
 def test_toxicity_learns_and_restores(spark):
     base = [f"the plain words of text number {i} go on and on in the plain way of words" for i in range(300)]
     rows = [(i, t + (" you idiot moron" if i % 3 == 0 else ""), int(i % 3 == 0)) for i, t in enumerate(base)]
