@@ -20,10 +20,19 @@ def page_of(df: DataFrame, order: str, page: int) -> DataFrame:
 
 
 def list_scans(scans: DataFrame, meta: DataFrame, page: int, as_of: datetime) -> DataFrame:
-    """Scans with their metadata; a scan of several metadata rows is listed once for each."""
+    """Scans with their metadata; a scan of several metadata rows is listed once for each.
+
+    Every scan has at least one line, so a page lies within as many first scans as
+    it and the pages before it have lines: only these meet their metadata, and only
+    the page's own lines are put into form.
+    """
+    if page < 1:
+        raise ValueError(f"pages start at 1, not {page}")
+    first = scans.orderBy(F.col("id").asc_nulls_last()).limit(page * PAGE_SIZE)
     m = meta.select(F.col("scan_id").alias("_scan"), "name", "search_path", "search_filter")
+    m = m.join(first.select(F.col("id").alias("_id")), F.col("_scan") == F.col("_id"), "left_semi")
     end = F.coalesce("scan_end_time", F.lit(as_of).cast("timestamp_ntz"))
-    rows = scans.join(m, F.col("id") == F.col("_scan"), "left").select(
+    return page_of(first.join(m, F.col("id") == F.col("_scan"), "left"), "id", page).select(
         "id",
         "scan_type",
         C.utc_to_local("created_on").alias("created_on"),
@@ -32,7 +41,6 @@ def list_scans(scans: DataFrame, meta: DataFrame, page: int, as_of: datetime) ->
         C.concat_skip_null("search_path", "search_filter").alias("metadata"),
         C.duration_millis(F.col("scan_start_time"), end).alias("duration_ms"),
     )
-    return page_of(rows, "id", page)
 
 
 def scan_requests(scans: DataFrame, meta: DataFrame, account: str | None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -53,6 +54,16 @@ class Inventory:
 
     # sinks
 
+    def _carry_out(self, scan_id: int, now: datetime, work: Callable[[], DataFrame]) -> tuple[int, DataFrame]:
+        """Do a scan's work and complete the scan, or mark it failed and pass the error on."""
+        try:
+            bad = work()
+        except Exception as e:
+            self.fail(scan_id, now, str(e).split("\n", 1)[0])
+            raise
+        self.complete(scan_id, now)
+        return scan_id, bad
+
     def _save(self, table: str, rows: DataFrame, order: list[str]) -> DataFrame:
         good, bad = ingest.quarantine(rows, table)
         self.store.append({table: ingest.with_ids(good, self.store.next_id(table), order)})
@@ -62,37 +73,39 @@ class Inventory:
         """Scan a file tree; returns the scan's id and the rejected rows."""
         scan_id = self.start_scan("Local", now, path=root)
         rows = rollup.scan_entries(read_tree(self.spark, root, md5), root).withColumn("scan_id", F.lit(scan_id))
-        bad = self._save("scandata", rows, ["path"])
-        self.complete(scan_id, now)
-        return scan_id, bad
+        return self._carry_out(scan_id, now, lambda: self._save("scandata", rows, ["path"]))
 
     def scan_drive(self, pages: DataFrame, now: datetime, query: str = "") -> tuple[int, DataFrame]:
+        """Files of recorded listing pages; a page of an incomplete search fails the scan."""
         scan_id = self.start_scan("GDrive", now, search_filter=query)
-        bad = self._save("scandata", remote.drive_files(pages).withColumn("scan_id", F.lit(scan_id)), ["path"])
-        self.complete(scan_id, now)
-        return scan_id, bad
+        return self._carry_out(scan_id, now, lambda: self._save("scandata", remote.drive_files(pages).withColumn("scan_id", F.lit(scan_id)), ["path"]))
 
     def scan_mail(self, raw: DataFrame, username: str, now: datetime, search_filter: str = "") -> tuple[int, DataFrame]:
         """Messages that no scan of the account has stored before."""
         from ..functions import mail_filter
 
         scan_id = self.start_scan("GMail", now, name=username, search_filter=search_filter)
-        rows = remote.messages(raw, username).filter(mail_filter(search_filter)).withColumn("scan_id", F.lit(scan_id))
-        rows = ingest.dedupe_messages(ingest.normalize_messages(rows), self.store.read("messagemetadata"), ("date", "message_id"))
-        bad = self._save("messagemetadata", rows, ["date", "message_id"])
-        self.complete(scan_id, now)
-        return scan_id, bad
+
+        def work() -> DataFrame:
+            rows = remote.messages(raw, username).filter(mail_filter(search_filter)).withColumn("scan_id", F.lit(scan_id))
+            rows = ingest.dedupe_messages(ingest.normalize_messages(rows), self.store.read("messagemetadata"), ("date", "message_id"))
+            return self._save("messagemetadata", rows, ["date", "message_id"])
+
+        return self._carry_out(scan_id, now, work)
 
     def scan_photos(self, raw: DataFrame, now: datetime, contents: DataFrame | None = None, fetch_size: bool = False, fetch_md5: bool = False) -> tuple[int, DataFrame]:
         """Media items with their children, published together."""
         scan_id = self.start_scan("GPhotos", now)
-        items = remote.media_items(raw, contents, fetch_size, fetch_md5).withColumn("scan_id", F.lit(scan_id))
-        good, bad = ingest.quarantine(items, "photosmediaitem")
-        parents, photos, videos = ingest.split_media(ingest.with_ids(good, self.store.next_id("photosmediaitem"), ["media_item_id"]))
-        child = lambda df, t: ingest.with_ids(df, self.store.next_id(t), ["photos_media_item_id"])
-        self.store.append({"photosmediaitem": parents, "photometadata": child(photos, "photometadata"), "videometadata": child(videos, "videometadata")})
-        self.complete(scan_id, now)
-        return scan_id, bad
+
+        def work() -> DataFrame:
+            items = remote.media_items(raw, contents, fetch_size, fetch_md5).withColumn("scan_id", F.lit(scan_id))
+            good, bad = ingest.quarantine(items, "photosmediaitem")
+            parents, photos, videos = ingest.split_media(ingest.with_ids(good, self.store.next_id("photosmediaitem"), ["media_item_id"]))
+            child = lambda df, t: ingest.with_ids(df, self.store.next_id(t), ["photos_media_item_id"])
+            self.store.append({"photosmediaitem": parents, "photometadata": child(photos, "photometadata"), "videometadata": child(videos, "videometadata")})
+            return bad
+
+        return self._carry_out(scan_id, now, work)
 
     def save_token(self, **token) -> None:
         if self.store.read("privatetokens").filter(F.col("client_key") == token["client_key"]).take(1):

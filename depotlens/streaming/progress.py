@@ -33,8 +33,8 @@ def for_client(events: DataFrame, client_key: str) -> DataFrame:
     return events if client_key == ALL else events.filter(F.col("client_key") == client_key)
 
 
-def fan_out(events: DataFrame, keyed_path: str, all_path: str, checkpoint: str) -> StreamingQuery:
-    """Every event to its client's folder and to the folder of all.
+def fan_out(events: DataFrame, keyed_path: str, all_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Every event to its client's folder and to the folder of all, ``every`` so often ("5 seconds"), or once for all that is there.
 
     A batch's folder is named by its number and overwritten, so a repeated
     batch gives no second copy.
@@ -46,7 +46,8 @@ def fan_out(events: DataFrame, keyed_path: str, all_path: str, checkpoint: str)
         batch.write.mode("overwrite").parquet(f"{all_path}/batch={number}")
         batch.unpersist()
 
-    return events.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return events.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def stream_dedupe(messages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from depotlens import schemas
 from depotlens.operators import analytics, ingest, queries, rollup
 from depotlens.plans import Inventory
 from depotlens.sources import read_tree, remote
+from depotlens.sources import tree as tree_source
 
 NOW = datetime(2024, 1, 1)
 
@@ -120,6 +121,28 @@ def test_drive_incomplete_search_fails(spark):
         remote.drive_files(pages).collect()
 
 
+def test_a_failed_collection_fails_its_scan(inventory, spark):
+    pages = remote.decode(spark.createDataFrame([('{"files":[{"id":"a","name":"n","mimeType":"x"}],"incompleteSearch":true}',)], "j string"), "j", schemas.DRIVE_PAGE)
+    with pytest.raises(Exception, match="incomplete search"):
+        inventory.scan_drive(pages, NOW)
+    scan = inventory.list_scans(1, NOW)[0].first()
+    found = inventory.scan(scan.id)
+    assert found.status == "Failed" and found.error_msg and inventory.list_files(scan.id)[1] == 0
+
+
+def test_a_deep_tree_is_dealt_to_many_partitions(tmp_path):
+    paths = {f"top/d{i}/e{k}/f" for i in range(20) for k in range(3)} | {"top/.hid/x", "one"}
+    for p in paths:
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"x")
+    for enough in (1, 2, 5, 30, 1000):
+        found, opened = tree_source.subtrees(str(tmp_path), enough)
+        rows = [r for x in opened for r in tree_source.walk(x, False, deep=False)] + [r for x in found for r in tree_source.walk(x, False)]
+        names = sorted(r[1].removeprefix(f"{tmp_path}/") for r in rows if r[1] != str(tmp_path))
+        dirs = {"top", *(f"top/d{i}" for i in range(20)), *(f"top/d{i}/e{k}" for i in range(20) for k in range(3))}
+        assert names == sorted(paths | dirs) and len(found) >= min(enough, 20)
+
+
 def test_diff_with_itself_is_same(spark):
     df = spark.createDataFrame([("a", 1, None), ("b", 2, "h")], "name string, size bigint, md5hash string")
     assert {r.state for r in analytics.full_diff(df, df).collect()} == {"SAME"}
