@@ -74,11 +74,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per id: id_col, keep_id, group_size, kept, text_sha256.
 
     Equal texts (A-Z folded; null equals empty) are one group and its largest id
-    stays. Every row counts: of repeated ids, all rows are returned. Rows without
-    an id are kept last, and their ``kept`` is null. An empty table gives an empty
-    result; other columns are ignored.
+    stays. All texts of a repeated id are returned, each with its own row; rows that
+    repeat both id and text are one document. Rows without an id are read too, and
+    their ``kept`` is null. An empty table gives an empty result; other columns are
+    ignored.
     """
-    rows, plain = by_row(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("v0")), id_col, "v0")
+    rows, plain = by_row(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("v0")), id_col, "v0", once=True)
     named = block_names(rows.select(F.col(ROW).alias("id"), "v0"), block, fingerprint)
     whole = text_names(named).withColumn("doc", F.col("id"))
     if not plain:
