@@ -78,7 +78,7 @@ def one_per_id(df: DataFrame, id_col: str, *values: str) -> DataFrame:
     return out
 
 
-def by_row(docs: DataFrame, id_col: str, text_col: str, once: bool = False) -> tuple[DataFrame, bool]:
+def by_row(docs: DataFrame, id_col: str, text_col: str, also: tuple[str, ...] = (), once: bool = False) -> tuple[DataFrame, bool]:
     """docs with a number for each row in ROW, and whether that is its id.
 
     Where ids are missing or repeat, it is the row's place in id order, rows
@@ -87,7 +87,7 @@ def by_row(docs: DataFrame, id_col: str, text_col: str, once: bool = False) -> t
     ids = docs.select(F.col(id_col).cast("long").alias(ROW))
     if ids.groupBy(ROW).agg(F.count("*").alias("n")).filter(F.col(ROW).isNull() | (F.col("n") > 1)).isEmpty():
         return docs.withColumn(ROW, F.col(id_col).cast("long")), True
-    placed = (docs.distinct() if once else docs).orderBy(F.asc_nulls_first(F.col(id_col).cast("long")), F.xxhash64(text_col))
+    placed = (docs.distinct() if once else docs).orderBy(F.asc_nulls_first(F.col(id_col).cast("long")), F.xxhash64(text_col), *also)
     return cut(placed.withColumn(ROW, F.monotonically_increasing_id())), False
 
 
