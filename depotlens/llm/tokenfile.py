@@ -2,9 +2,10 @@
 
 A store is a folder with ``shards`` and ``manifest``. A shard is one file:
 
-    ids      unsigned 32-bit little-endian, documents in ascending order, END_ID behind each
+    ids      unsigned little-endian, of 16 bits where the vocabulary allows it, else of 32;
+             documents in ascending order, END_ID behind each
     index    bits and ranks of the perfect hash, one SLOT for each document, one DOC for each document
-    trailer  TRAILER, 44 bytes and the separator
+    trailer  TRAILER and the separator
 
 Shards follow each other in document order, so their ids together are one
 gapless array over the corpus. A slot holds a fingerprint of the key and where its ids
@@ -13,7 +14,7 @@ the ids, however large the shard is. The manifest has one row for each shard: th
 range of its keys, its tokens and the tokens before it.
 
 Shards are written by Spark's text writer, one record to a document: its record
-separator, four zero bytes, *is* END_ID. So any file system that Spark can write to
+separator, zero bytes, *is* END_ID. So any file system that Spark can write to
 holds the raw bytes, and the commit protocol keeps what a lost or repeated task
 wrote out of the store. Texts are dealt by ranges of the key, so no table is
 gathered anywhere; a shard should stay below 2 GB, which Spark can read as one file.
@@ -34,24 +35,24 @@ from pyspark.sql import functions as F
 from .common import ROW, by_row, map_rows
 from .shingles import mix
 
-END_ID, SEPARATOR = 0, "\0\0\0\0"
+END_ID = 0
 #: Bytes of text to a shard, about.
 SHARD_BYTES = 32_000_000
-#: Units whose ids a worker remembers, and the longest one, in characters.
-CACHE, LONGEST = 400_000, 48
+#: Units whose ids a worker remembers (twice as many for a while), and the longest one, in characters.
+CACHE, LONGEST = 300_000, 48
 
 SLOT = np.dtype([("mark", "<u4"), ("n", "<u4"), ("at", "<u8")])
 DOC = np.dtype([("key", "<i8"), ("doc_id", "<i8"), ("known", "<u4")])
-#: Magic, bytes of ids, bytes of the index, documents, first and last key; the separator follows.
-TRAILER = ">4s q q q q q"
-MAGIC, TAIL = b"DTOK", struct.calcsize(TRAILER) + 4
+#: Magic, bytes of an id, bytes of all ids, bytes of the index, documents, first and last key.
+TRAILER = ">4s i q q q q q"
+MAGIC, TAIL = b"DTOK", struct.calcsize(TRAILER)
 
 
 # ids of texts
 
-#: Unicode's white space, as the splitter takes it.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Unicode's white space, as the splitter takes it, and Latin letters.
+WHITE, LETTER = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+UNIT = re.compile(f" ?[{LETTER}]+(?=[{WHITE}.,;:!?])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _HELD: dict[str, "UnitIds"] = {}
 
 
@@ -61,26 +62,34 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class UnitIds:
+def id_bytes(vocabulary: int) -> int:
+    """Bytes of an id in a shard: two, where all ids fit."""
+    return 2 if vocabulary <= 1 << 16 else 4
+
+
+class UnitIds(dict):
     """Ids of texts by a byte-level tokenizer; those of words that come again are remembered.
 
-    The tokenizer's splitter never joins what a single blank or a run of white
-    space parts, so a text is cut into units (a word with its blank, or a run of white
-    space), whose ids are independent. Unknown units are encoded together, one to
-    a line. Texts with the string of a special token are encoded whole, and so is every
-    text where the tokenizer has a normaliser or another splitter.
+    The tokenizer's splitter never joins what a single blank, a run of white space
+    or the end of a word of letters parts, so a text is cut into units there, whose
+    ids are independent. Words of Latin letters go to the model without the
+    splitter. Texts with the string of a special token are encoded whole, and so is
+    every text where the tokenizer has a normaliser or another splitter.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = t = Tokenizer.from_file(path)
+        self.width = id_bytes(t.get_vocab_size(with_added_tokens=True))
+        self.kind = f"<u{self.width}"
         self.special = [a.content for a in t.get_added_tokens_decoder().values()]
         splitter = t.pre_tokenizer
         self.by_unit = t.normalizer is None and type(splitter).__name__ == "ByteLevel" and splitter.use_regex and not splitter.add_prefix_space
-        self.line = t.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.spelt = {b: 256 + k for k, b in enumerate(hidden)}  # how the model spells bytes that are not printable
         self.older: dict[str, bytes] = {}
 
     @classmethod
@@ -89,42 +98,30 @@ class UnitIds:
             _HELD[path] = cls(path)
         return _HELD[path]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _lines(self, units: list[str]) -> list[bytes]:
-        """Units without line breaks, as the lines of one text."""
-        if not units:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(units)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
-        if len(ends) != len(units):
-            return self.whole(units)
-        flat, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
-        return [flat[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-    def learn(self, units: set[str]) -> dict[str, bytes]:
-        """The ids of units that are too long to remember; all others are known afterwards."""
-        if len(self.known) + len(units) > CACHE:
-            self.known, self.older = {}, self.known
-        new = units.difference(self.known)
-        back = {u: self.older[u] for u in new if u in self.older}
-        self.known |= back
-        new = [u for u in new if u not in back]
-        blank, words = [u for u in new if u.isspace() or "\n" in u], [u for u in new if not (u.isspace() or "\n" in u)]
-        found = dict(zip(blank, self.whole(blank), strict=True)) | dict(zip(words, self._lines(words), strict=True))
-        rare = {u: x for u, x in found.items() if len(u) > LONGEST}
-        self.known |= {u: x for u, x in found.items() if len(u) <= LONGEST} if rare else found
-        return rare
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            word = unit[1:] if unit[0] == " " else unit
+            if word.isalpha() and max(word) < "\u0250" and "\xaa" not in word and "\xb5" not in word and "\xba" not in word:
+                spelt = unit.encode().decode("latin-1").translate(self.spelt)
+                ids = b"".join([t.id.to_bytes(self.width, "little") for t in self.tokenizer.model.tokenize(spelt)])
+            else:
+                ids = self.whole(unit)
+        if len(unit) <= LONGEST:
+            self[unit] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes, without the end id."""
-        apart = [i for i, x in enumerate(texts) if not self.by_unit or any(s in x for s in self.special)]
-        out = dict(zip(apart, self.whole([texts[i] for i in apart]), strict=True))
-        units = [[] if i in out else UNIT.findall(x) for i, x in enumerate(texts)]
-        rare = self.learn(set().union(*units))
-        get = self.known.__getitem__ if not rare else lambda u: self.known[u] if u in self.known else rare[u]
-        return [out[i] if i in out else b"".join(map(get, u)) for i, u in enumerate(units)]
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+        ids = self.__getitem__
+        plain = lambda x: self.by_unit and not any(s in x for s in self.special)
+        return [b"".join(map(ids, UNIT.findall(x))) if plain(x) else self.whole(x) for x in texts]
 
 
 # the index
@@ -197,14 +194,21 @@ def pack_index(keys: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray) -
     return b"".join(x.tobytes() for x in (head, table.words, table.ranks, slots, docs))
 
 
+def read_trailer(tail: bytes) -> tuple[int, int, int]:
+    """(bytes of an id, bytes of all ids, documents) from the last TAIL + 4 bytes of a shard; how long its separator is shows in it."""
+    for width in (2, 4):
+        magic, found, size, _, n, _, _ = struct.unpack_from(TRAILER, tail, len(tail) - TAIL - width)
+        if (magic, found) == (MAGIC, width):
+            return width, size, n
+    raise ValueError("not a token shard")
+
+
 class Shard:
     """The bytes of one shard file."""
 
     def __init__(self, content: bytes):
         self.content = memoryview(content)
-        magic, self.size, index, n, _, _ = struct.unpack_from(TRAILER, content, len(content) - TAIL)
-        if magic != MAGIC:
-            raise ValueError("not a token shard")
+        self.width, self.size, n = read_trailer(content[-TAIL - 4 :])
         at = self.size
         levels, words = np.frombuffer(content, "<i8", 2, at).tolist()
         sizes = np.frombuffer(content, "<i8", levels, at + 16)
@@ -226,7 +230,8 @@ class Shard:
         return np.where(ok, slot["at"].astype(np.int64), -1), np.where(ok, slot["n"].astype(np.int64), 0)
 
     def ids(self, at: int, n: int) -> bytes:
-        return bytes(self.content[4 * at : 4 * (at + n)])
+        """As unsigned 32-bit little-endian numbers."""
+        return np.frombuffer(self.content, f"<u{self.width}", n, self.width * at).astype("<u4").tobytes()
 
 
 # writing and reading
@@ -245,6 +250,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rows, _ = by_row(known, "doc_id", "text")
     spark = docs.sparkSession
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    width = UnitIds.of(place).width
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,28 +260,30 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             values = encoder.encode([x or "" for x in b["text"].to_pylist()])
             keys += b[ROW].to_pylist()
             ids += b["doc_id"].to_pylist()
-            sizes += [len(v) // 4 + 1 for v in values]
+            sizes += [len(v) // width + 1 for v in values]
             yield give(values)
         if keys:
             index = pack_index(np.array(keys, np.int64), ids, np.array(sizes, np.int64))
-            yield give([index, struct.pack(TRAILER, MAGIC, 4 * sum(sizes), len(index), len(keys), keys[0], keys[-1])])
+            yield give([index, struct.pack(TRAILER, MAGIC, width, width * sum(sizes), len(index), len(keys), keys[0], keys[-1])])
 
     ranged = rows.select(ROW, "doc_id", "text").repartitionByRange(shards, ROW).sortWithinPartitions(ROW)
     out = map_rows(ranged, run, "value binary")
-    out.select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).text(f"{path}/shards")
+    out.select(F.col("value").cast("string")).write.option("lineSep", "\0" * width).text(f"{path}/shards")
     _write_manifest(spark, path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """(shard, path, content): shards are numbered by the writer's partitions."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards")
-    return files.filter(F.col("length") > TAIL).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "path", "content")
+    return files.filter(F.col("length") > TAIL + 4).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "path", "content")
 
 
 def _write_manifest(spark: SparkSession, path: str) -> None:
-    tail = _files(spark, path).select("shard", "path", F.substring("content", -TAIL, TAIL).alias("tail"))
-    number = lambda k: F.conv(F.hex(F.substring("tail", 5 + 8 * k, 8)), 16, -10).cast("long")
-    rows = tail.select("shard", "path", (number(0) / 4).cast("long").alias("tokens"), number(2).alias("docs"), number(3).alias("first_key"), number(4).alias("last_key"))
+    tail = _files(spark, path).select("shard", "path", F.substring("content", -TAIL - 4, TAIL + 4).alias("tail"))
+    skip = F.when(F.substring("tail", 3, 4) == F.lit(MAGIC), 2).otherwise(0)  # the separator is as long as an id
+    number = lambda at, n=8: F.conv(F.hex(F.substr("tail", skip + at, F.lit(n))), 16, -10).cast("long")
+    rows = tail.select("shard", "path", number(5, 4).alias("width"), number(9).alias("size"), number(25).alias("docs"), number(33).alias("first_key"), number(41).alias("last_key"))
+    rows = rows.withColumn("tokens", F.call_function("div", "size", "width")).drop("size")
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each shard
     rows.withColumn("before", before).write.parquet(f"{path}/manifest")
 
@@ -359,7 +367,7 @@ class Reader:
         end = fs.getFileStatus(place).getLen()
         stream = fs.open(place)
         try:
-            _, base, _, n, _, _ = struct.unpack(TRAILER, self._at(stream, end - TAIL, TAIL - 4))
+            width, base, _ = read_trailer(self._at(stream, end - TAIL - 4, TAIL + 4))
             levels, words = np.frombuffer(self._at(stream, base, 16), "<i8").tolist()
             sizes = np.frombuffer(self._at(stream, base + 16, 8 * levels), "<i8")
             bits = base + 16 + 8 * levels
@@ -371,7 +379,7 @@ class Reader:
                     rank = int.from_bytes(self._at(stream, bits + 8 * words + 4 * (bit // 64), 4), "little")
                     slot = rank + (word & (1 << bit % 64) - 1).bit_count()
                     mark, size_, at = np.frombuffer(self._at(stream, bits + 12 * words + SLOT.itemsize * slot, SLOT.itemsize), SLOT)[0].tolist()
-                    return np.frombuffer(self._at(stream, 4 * at, 4 * size_), "<u4") if mark == fingerprint(one)[0] else None
+                    return np.frombuffer(self._at(stream, width * at, width * size_), f"<u{width}").astype("<u4") if mark == fingerprint(one)[0] else None
                 start += size
             return None
         finally:
