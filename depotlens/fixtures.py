@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -133,3 +133,44 @@ def item_events(spark: SparkSession, d: str, events: DataFrame | None = None) ->
     """Events as the items of running scans."""
     e = table(spark, d, "events") if events is None else events
     return e.select(F.col("user_id").alias("scan_id"), (F.col("event_type") != "error").alias("done"), "ts")
+
+
+def listing_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as recorded listing pages: a source's documents by twenties of ids, in no order.
+
+    A page with a text of under 5 characters is of an incomplete search, one with a text of over
+    50,000 wasn't recorded, and the last page of an odd source leads back to its second.
+    """
+    number = F.call_function("div", F.col("doc_id"), F.lit(20))
+    size = F.length("text")
+    cut = table(spark, d, "documents").groupBy(F.col("source").alias("listing"), number.alias("p")).agg(
+        F.sort_array(F.collect_list("doc_id")).alias("files"), F.coalesce(F.bool_or(size < 5), F.lit(False)).alias("incompleteSearch"), F.coalesce(F.bool_or(size > 50_000), F.lit(False)).alias("lost")
+    )
+    w = Window.partitionBy("listing").orderBy("p")
+    token = lambda p: F.md5(F.concat_ws("/", F.col("listing"), p.cast("string")).cast("binary"))
+    ranked = cut.withColumns({"n": F.row_number().over(w), "after": F.lead("p").over(w)})
+    second = ranked.filter("n = 2").select(F.col("listing").alias("l"), F.col("p").alias("second"))
+    odd = F.substring("listing", 4, 10).cast("int") % 2 == 1
+    back = F.when(odd & (F.col("n") > 1), F.col("second"))
+    linked = ranked.join(second, F.col("listing") == F.col("l"), "left").withColumn("to", F.coalesce("after", back)).filter("NOT lost")
+    return linked.select("listing", F.when(F.col("n") > 1, token(F.col("p"))).alias("pageToken"), F.when(F.col("to").isNotNull(), token(F.col("to"))).alias("nextPageToken"), "files", "incompleteSearch")
+
+
+def attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Events as answers to a connector: a user is a listing, a quarter of its keys an item."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    code = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "signup", 403).when(F.col("event_type") == "click", F.when(k < 20, 500).otherwise(200)).otherwise(200)
+    reason = F.when(F.col("event_type") == "signup", F.when(k < 80, "rateLimitExceeded").otherwise("forbidden"))
+    return table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("listing"), F.call_function("div", k, F.lit(25)).cast("string").alias("item"), F.col("event_id").alias("attempt"), code.alias("code"), reason.alias("reason"))
+
+
+def album_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as albums of the parts they delivered: a page for each way of shipping, all in one chain."""
+    item = F.struct(F.concat(F.lit("m"), "l_partkey").alias("id"))
+    return table(spark, d, "lineitem").groupBy(F.concat(F.lit("s"), "l_suppkey").alias("albumId"), F.col("l_linenumber").alias("page")).agg(F.collect_list(item).alias("mediaItems"))
+
+
+def counter_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events of scans: a signup lists as many items as its key says, errors are skipped items, all others are items done."""
+    listed = F.when(F.col("event_type") == "signup", F.get_json_object("props", "$.k").cast("bigint"))
+    return table(spark, d, "events").select(F.col("user_id").alias("scan_id"), "event_id", listed.alias("listed"), F.col("event_type").isin("view", "click", "purchase").alias("done"))

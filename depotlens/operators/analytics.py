@@ -103,6 +103,12 @@ def largest_per_scan(df: DataFrame, k: int, size: str = "size") -> DataFrame:
     return df.filter(F.col(size) >= 0).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def album_sizes(media: DataFrame, members: DataFrame) -> DataFrame:
+    """Items and fetched bytes of each album (album, id); an item counts in every album it is in."""
+    there = members.join(media.select(F.col("media_item_id").alias("id"), "size"), "id")
+    return there.groupBy("album").agg(F.count("*").alias("items"), F.sum(F.when(F.col("size") >= 0, F.col("size"))).alias("bytes"))
+
+
 def scan_stats(files: DataFrame) -> DataFrame:
     is_dir = F.col("is_dir")
     return files.groupBy("scan_id").agg(

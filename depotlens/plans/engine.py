@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import SCAN_TYPES
-from ..operators import analytics, ingest, queries, rollup
+from ..operators import analytics, ingest, paging, queries, retries, rollup
 from ..schemas import CASCADE, TABLES, ddl
 from ..sources import read_tree, remote
 from .store import Store
 
 
+def _listing_went_through(report: DataFrame) -> None:
+    """Raise for the first listing that failed; a scan has a few listings at most."""
+    failed = report.filter("failed_at IS NOT NULL").orderBy("listing").first()
+    if failed:
+        raise paging.ListingError(f"listing gave up at attempt {failed.failed_at} after {failed.failures} failures")
+
+
 class Inventory:
     """Scan lifecycle and listings. ``now`` is passed in, so that runs repeat."""
 
@@ -76,29 +83,58 @@ class Inventory:
         return self._carry_out(scan_id, now, lambda: self._save("scandata", rows, ["path"]))
 
     def scan_drive(self, pages: DataFrame, now: datetime, query: str = "") -> tuple[int, DataFrame]:
-        """Files of recorded listing pages; a page of an incomplete search fails the scan."""
+        """Files of recorded listing pages in any order; a missing page, a loop or an incomplete search fails the scan."""
         scan_id = self.start_scan("GDrive", now, search_filter=query)
-        return self._carry_out(scan_id, now, lambda: self._save("scandata", remote.drive_files(pages).withColumn("scan_id", F.lit(scan_id)), ["path"]))
 
-    def scan_mail(self, raw: DataFrame, username: str, now: datetime, search_filter: str = "") -> tuple[int, DataFrame]:
-        """Messages that no scan of the account has stored before."""
+        def work() -> DataFrame:
+            whole = remote.in_order(pages, "incompleteSearch")
+            return self._save("scandata", remote.drive_files(whole).withColumn("scan_id", F.lit(scan_id)), ["path"])
+
+        return self._carry_out(scan_id, now, work)
+
+    def scan_mail(self, raw: DataFrame, username: str, now: datetime, search_filter: str = "", listing: DataFrame | None = None, attempts: DataFrame | None = None) -> tuple[int, DataFrame]:
+        """Messages that no scan of the account has stored before.
+
+        With the pages of a ``listing`` only messages on its chain are stored. With an
+        ``attempts`` log (rows without an item are those of the listing) a listing that used up its
+        tries fails the scan, and messages that did not get through are skipped.
+        """
         from ..functions import mail_filter
 
         scan_id = self.start_scan("GMail", now, name=username, search_filter=search_filter)
 
         def work() -> DataFrame:
-            rows = remote.messages(raw, username).filter(mail_filter(search_filter)).withColumn("scan_id", F.lit(scan_id))
+            wanted = raw
+            if attempts is not None:
+                _listing_went_through(retries.listings_in_a_row(attempts.filter("item IS NULL")))
+                lost = retries.item_outcomes(attempts.filter("item IS NOT NULL"), ("item",)).filter("outcome <> 'stored'")
+                wanted = wanted.join(lost.select(F.col("item").alias("id")), "id", "left_anti")
+            if listing is not None:
+                wanted = wanted.join(remote.listed_messages(listing).select("id"), "id", "left_semi")
+            rows = remote.messages(wanted, username).filter(mail_filter(search_filter)).withColumn("scan_id", F.lit(scan_id))
             rows = ingest.dedupe_messages(ingest.normalize_messages(rows), self.store.read("messagemetadata"), ("date", "message_id"))
             return self._save("messagemetadata", rows, ["date", "message_id"])
 
         return self._carry_out(scan_id, now, work)
 
-    def scan_photos(self, raw: DataFrame, now: datetime, contents: DataFrame | None = None, fetch_size: bool = False, fetch_md5: bool = False) -> tuple[int, DataFrame]:
-        """Media items with their children, published together."""
+    def scan_photos(
+        self, raw: DataFrame, now: datetime, contents: DataFrame | None = None, fetch_size: bool = False, fetch_md5: bool = False, album: str = "", search: DataFrame | None = None, attempts: DataFrame | None = None
+    ) -> tuple[int, DataFrame]:
+        """Media items with their children, published together.
+
+        With an ``album`` only the items that its ``search`` pages name are stored, each
+        once; without one all are (or those on the full listing's pages, which have no album).
+        A listing whose ``attempts`` used up the budget that its pages share fails the scan.
+        """
         scan_id = self.start_scan("GPhotos", now)
 
         def work() -> DataFrame:
-            items = remote.media_items(raw, contents, fetch_size, fetch_md5).withColumn("scan_id", F.lit(scan_id))
+            if attempts is not None:
+                _listing_went_through(retries.listings_by_budget(attempts))
+            if album and search is None:
+                raise ValueError("an album needs the pages of its search")
+            wanted = raw if search is None else remote.album_items(raw, search, album)
+            items = remote.media_items(wanted, contents, fetch_size, fetch_md5).withColumn("scan_id", F.lit(scan_id))
             good, bad = ingest.quarantine(items, "photosmediaitem")
             parents, photos, videos = ingest.split_media(ingest.with_ids(good, self.store.next_id("photosmediaitem"), ["media_item_id"]))
             child = lambda df, t: ingest.with_ids(df, self.store.next_id(t), ["photos_media_item_id"])
@@ -107,6 +143,11 @@ class Inventory:
 
         return self._carry_out(scan_id, now, work)
 
+    def list_albums(self, pages: DataFrame) -> tuple[DataFrame, str | None]:
+        """Albums on recorded listing pages, and what ended the listing early; albums before that are returned all the same."""
+        whole, fault = paging.chain_until_fault(pages)
+        return remote.albums(whole), fault
+
     def save_token(self, **token) -> None:
         if self.store.read("privatetokens").filter(F.col("client_key") == token["client_key"]).take(1):
             raise ValueError("client_key exists")

@@ -13,7 +13,7 @@ from . import fixtures as X
 from .functions import columns as C
 from .functions import mail_filter
 from .operators import analytics as A
-from .operators import ingest, queries as Q, rollup
+from .operators import ingest, paging, queries as Q, retries, rollup, running
 from .sources import remote
 from .streaming import progress as P
 
@@ -219,6 +219,58 @@ def album_listing(s, d):
     return remote.albums(X.table(s, d, "nation").groupBy("n_regionkey").agg(F.collect_list(entry).alias("albums"))).select("id", "title")
 
 
+# pages, albums, retries
+
+PAGES = "(WITH c AS (SELECT source AS listing, doc_id // 20 AS p, list(doc_id ORDER BY doc_id) AS files, coalesce(bool_or(length(text) < 5), false) AS bad, coalesce(bool_or(length(text) > 50000), false) AS lost FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w AS n, lead(p) OVER w AS after, nth_value(p, 2) OVER (PARTITION BY listing ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM c WINDOW w AS (PARTITION BY listing ORDER BY p)) SELECT listing, CASE WHEN n > 1 THEN md5(listing || '/' || p) ELSE '' END AS token, coalesce(md5(listing || '/' || coalesce(after, CASE WHEN CAST(substr(listing, 4) AS INTEGER) % 2 = 1 AND n > 1 THEN second END)), '') AS next, files, bad FROM r WHERE NOT lost)"
+_WALK = f"WITH RECURSIVE pages AS MATERIALIZED (SELECT * FROM {PAGES}), walk AS (SELECT listing, token, next, files, bad, 0::BIGINT AS position, [token] AS seen FROM pages WHERE token = '' UNION ALL SELECT p.listing, p.token, p.next, p.files, p.bad, w.position + 1, list_append(w.seen, p.token) FROM walk w JOIN pages p ON p.listing = w.listing AND p.token = w.next WHERE w.next <> '' AND NOT w.bad AND NOT list_contains(w.seen, w.next)), ends AS (SELECT w.listing, CASE WHEN w.bad THEN 'incomplete search' WHEN w.next <> '' AND p.token IS NULL THEN 'missing page' WHEN w.next <> '' THEN 'loop' END AS fault, w.position FROM walk w LEFT JOIN pages p ON p.listing = w.listing AND p.token = w.next QUALIFY row_number() OVER (PARTITION BY w.listing ORDER BY w.position DESC) = 1)"
+
+
+@query("page_chains", f"{_WALK} SELECT l.listing, coalesce(position + CASE fault WHEN 'incomplete search' THEN 0 ELSE 1 END, 0)::BIGINT AS pages, CASE WHEN position IS NULL THEN 'no first page' ELSE fault END AS fault, CASE WHEN fault IS NOT NULL THEN position END AS fault_at FROM (SELECT DISTINCT listing FROM pages) l LEFT JOIN ends USING (listing)")
+def page_chains(s, d):
+    return paging.follow(X.listing_pages(s, d), incomplete="incompleteSearch").report
+
+
+@query("page_sequence", f"{_WALK} SELECT listing, position, len(files) AS files, files[1] AS first_id FROM walk WHERE NOT bad")
+def page_sequence(s, d):
+    pages = paging.follow(X.listing_pages(s, d), incomplete="incompleteSearch").sequence
+    return pages.select("listing", "position", F.size("files").cast("bigint").alias("files"), F.get("files", F.lit(0)).alias("first_id"))
+
+
+@query("album_scan", f"SELECT media_item_id, mime_type, filename FROM {MEDIA} WHERE media_item_id IN (SELECT 'm' || l_partkey FROM lineitem WHERE l_suppkey = 7)")
+def album_scan(s, d):
+    raw = X.media(s, d).select(F.col("media_item_id").alias("id"), "mime_type", "filename")
+    return remote.album_items(raw, X.album_pages(s, d), "s7").select(F.col("id").alias("media_item_id"), "mime_type", "filename")
+
+
+@query("album_sizes", f"SELECT album, count(*) AS items, CAST(sum(size) FILTER (WHERE size >= 0) AS BIGINT) AS bytes FROM (SELECT DISTINCT 's' || l_suppkey AS album, 'm' || l_partkey AS media_item_id FROM lineitem) JOIN {MEDIA} USING (media_item_id) GROUP BY 1")
+def album_sizes(s, d):
+    return A.album_sizes(X.media(s, d), remote.album_members(X.album_pages(s, d)))
+
+
+ATTEMPTS = "(SELECT *, code >= 400 AS failed, code = 429 OR (code = 403 AND coalesce(reason = 'rateLimitExceeded', false)) AS again FROM (SELECT 'u' || user_id AS listing, CAST(k // 25 AS VARCHAR) AS item, event_id AS attempt, CASE event_type WHEN 'error' THEN 429 WHEN 'signup' THEN 403 WHEN 'click' THEN CASE WHEN k < 20 THEN 500 ELSE 200 END ELSE 200 END AS code, CASE WHEN event_type = 'signup' THEN CASE WHEN k < 80 THEN 'rateLimitExceeded' ELSE 'forbidden' END END AS reason FROM (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events)))"
+_ENDED = "SELECT listing, count(*) AS attempts, count(*) FILTER (WHERE failed) AS failures, first_end AS failed_at, {fatal} AS fatal FROM (SELECT *, min(attempt) FILTER (WHERE ends) OVER (PARTITION BY listing) AS first_end, min(attempt) FILTER (WHERE failed AND NOT again) OVER (PARTITION BY listing) AS first_fatal FROM ({ran})) WHERE first_end IS NULL OR attempt <= first_end GROUP BY listing, first_end, first_fatal"
+
+
+@query("message_outcomes", f"SELECT listing, item, coalesce(arg_min(e, n) FILTER (WHERE e IS NOT NULL), 'open') AS outcome, coalesce(min(n) FILTER (WHERE e IS NOT NULL), max(n)) AS tries FROM (SELECT *, CASE WHEN NOT failed THEN 'stored' WHEN NOT again OR n = 4 THEN 'skipped' END AS e FROM (SELECT *, row_number() OVER (PARTITION BY listing, item ORDER BY attempt) AS n FROM {ATTEMPTS}) WHERE n <= 4) GROUP BY 1, 2")
+def message_outcomes(s, d):
+    return retries.item_outcomes(X.attempts(s, d))
+
+
+@query("mail_listings", _ENDED.format(fatal="coalesce(first_end = first_fatal, false)", ran=f"SELECT *, failed AND (NOT again OR count(*) OVER (PARTITION BY listing, resets ORDER BY attempt) - CASE WHEN resets > 0 THEN 1 ELSE 0 END >= 3) AS ends FROM (SELECT *, count(*) FILTER (WHERE NOT failed) OVER (PARTITION BY listing ORDER BY attempt) AS resets FROM {ATTEMPTS})"))
+def mail_listings(s, d):
+    return retries.listings_in_a_row(X.attempts(s, d))
+
+
+@query("media_listings", _ENDED.format(fatal="false", ran=f"SELECT *, failed AND count(*) FILTER (WHERE failed) OVER (PARTITION BY listing ORDER BY attempt) > 25 AS ends FROM {ATTEMPTS}"))
+def media_listings(s, d):
+    return retries.listings_by_budget(X.attempts(s, d))
+
+
+@query("running_counters", "SELECT scan_id, event_id, CAST(sum(d) OVER w AS BIGINT) AS processed_count, CAST(sum(l - d) OVER w AS BIGINT) AS pending_count FROM (SELECT user_id AS scan_id, event_id, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 1 ELSE 0 END AS d, CASE WHEN event_type = 'signup' THEN CAST(props->>'$.k' AS BIGINT) ELSE 0 END AS l FROM events) WINDOW w AS (PARTITION BY scan_id ORDER BY event_id)")
+def running_counters(s, d):
+    return running.scan_counters(X.counter_events(s, d)).select("scan_id", "event_id", "processed_count", "pending_count")
+
+
 # functions
 
 

@@ -51,10 +51,15 @@ CASCADE = ("photometadata", "videometadata", "photosmediaitem", "messagemetadata
 
 SCHEMA_VERSION = 4
 
-DRIVE_PAGE = "files array<struct<size:bigint, id:string, name:string, mimeType:string, parents:array<string>, modifiedTime:string, md5Checksum:string>>, nextPageToken string, incompleteSearch boolean"
+DRIVE_PAGE = "files array<struct<size:bigint, id:string, name:string, mimeType:string, parents:array<string>, modifiedTime:string, md5Checksum:string>>, nextPageToken string, incompleteSearch boolean, pageToken string"
 MESSAGE = "id string, threadId string, labelIds array<string>, internalDate bigint, sizeEstimate bigint, payload struct<headers: array<struct<name:string, value:string>>>"
 MEDIA_ITEM = "id string, description string, productUrl string, baseUrl string, mimeType string, filename string, mediaMetadata struct<creationTime:string, width:string, height:string, photo:struct<cameraMake:string, cameraModel:string, focalLength:double, apertureFNumber:double, isoEquivalent:int, exposureTime:string>, video:struct<cameraMake:string, cameraModel:string, fps:double>>, contributorInfo struct<profilePictureBaseUrl:string, displayName:string>"
-ALBUM_PAGE = "albums array<struct<id:string, title:string, productUrl:string, mediaItemsCount:string, coverPhotoBaseUrl:string, coverPhotoMediaItemId:string>>, nextPageToken string"
+ALBUM_PAGE = "albums array<struct<id:string, title:string, productUrl:string, mediaItemsCount:string, coverPhotoBaseUrl:string, coverPhotoMediaItemId:string>>, nextPageToken string, pageToken string"
+#: Recorded pages of a mail listing, and of a search for the media items of an album.
+MESSAGE_PAGE = "messages array<struct<id:string, threadId:string>>, nextPageToken string, pageToken string"
+SEARCH_PAGE = "albumId string, mediaItems array<struct<id:string>>, nextPageToken string, pageToken string"
+#: One answer of a connector: which listing and item was asked, when, and the HTTP status with its reason.
+ATTEMPT = "listing string, item string, attempt bigint, code int, reason string"
 PROGRESS = "client_key string, processed_count int, active_count int, completion_pct float, elapsed_in_sec int, eta_in_sec int, scan_id int"
 
 

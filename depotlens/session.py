@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Applied only where the caller has not set the key: a cluster's own settings win.
 DEFAULTS = {
@@ -22,3 +25,25 @@ def get_spark(app: str = "depotlens", master: str | None = None, **conf: str) ->
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, a session that runs on one machine gets a local folder; on a
+    cluster that is an error, as executors would not see each other's files.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='depotlens-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: the lineage ends there, and a lost executor costs one step."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import columns as C
+from ..operators import paging
 
 FOLDER = "application/vnd.google-apps.folder"
 
@@ -21,6 +22,36 @@ def decode(df: DataFrame, column: str, schema) -> DataFrame:
     return df.select(F.from_json(F.col(column), schema).alias("_j")).select("_j.*")
 
 
+def paged(pages: DataFrame) -> bool:
+    """Whether recorded pages know the token they were asked by."""
+    return {"pageToken", "nextPageToken"} <= set(pages.columns)
+
+
+def in_order(pages: DataFrame, incomplete: str | None = None) -> DataFrame:
+    """The pages of one listing along their tokens, a fault raising ListingError; pages without tokens are taken as they are."""
+    return paging.whole_chain(pages, incomplete=incomplete) if paged(pages) else pages
+
+
+def listed_messages(pages: DataFrame) -> DataFrame:
+    """Ids (id, threadId) on the pages of a mail listing."""
+    return in_order(pages).select(F.explode("messages").alias("m")).select("m.id", "m.threadId").distinct()
+
+
+def album_members(pages: DataFrame) -> DataFrame:
+    """(album, id) once each, from all pages of album searches; an item may be in several albums."""
+    return pages.select(F.coalesce("albumId", F.lit("")).alias("album"), F.explode("mediaItems").alias("i")).select("album", "i.id").distinct()
+
+
+def album_items(raw: DataFrame, pages: DataFrame, album: str = "") -> DataFrame:
+    """The media items of one album's search, or, with no album, of the full listing (pages without an album).
+
+    Items are chosen by a semi-join before anything of them is probed, so one that is on several pages comes once.
+    An album that no page answers is unknown: ListingError. One with empty pages has no items.
+    """
+    own = pages.filter(F.coalesce("albumId", F.lit("")) == (album or ""))
+    return raw.join(album_members(in_order(own)).select("id"), "id", "left_semi")
+
+
 def drive_files(pages: DataFrame) -> DataFrame:
     """Files of listing pages; folders are left out and the path is the file's id.
 
@@ -63,7 +94,8 @@ def media_items(raw: DataFrame, contents: DataFrame | None = None, fetch_size: b
     kind = F.substring("mimeType", 1, 5)
     photo, video = F.col("mediaMetadata.photo"), F.col("mediaMetadata.video")
     if contents is not None and (fetch_size or fetch_md5):
-        probe = contents.select(F.col("id"), F.length("content").cast("bigint").alias("_size"), F.md5("content").alias("_md5"))
+        probe = contents.join(raw.select("id"), "id", "left_semi")  # only what is wanted is hashed
+        probe = probe.select(F.col("id"), F.length("content").cast("bigint").alias("_size"), F.md5("content").alias("_md5"))
         raw = raw.join(probe, "id", "left")
     else:
         raw = raw.withColumns({"_size": F.lit(None).cast("bigint"), "_md5": F.lit(None).cast("string")})
@@ -90,4 +122,5 @@ def media_items(raw: DataFrame, contents: DataFrame | None = None, fetch_size: b
 
 
 def albums(pages: DataFrame) -> DataFrame:
+    """Albums on listing pages, one row for each."""
     return pages.select(F.explode("albums").alias("a")).select("a.*")
