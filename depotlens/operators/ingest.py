@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schemas import LIMITS, REQUIRED
+from ..session import staged
 
 MESSAGE_KEY = ("username", "message_id", "thread_id")
 
@@ -62,16 +63,25 @@ def split_media(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return parents, photos, videos
 
 
-def with_ids(df: DataFrame, start: int, order: list[str], column: str = "id") -> DataFrame:
-    """Dense ids from ``start`` in the given order, without moving all rows to one task.
+def placed(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """The rows with ``_offset``, their place in this order from 0, and how many there are; no task gets them all.
 
-    Rows are range-partitioned; only the row count of each partition is
-    gathered, and its running sum is the partition's offset.
+    Rows are dealt by ranges and written once, so that each keeps its place; only the row count of
+    each range is gathered, and its running sum is the range's offset.
     """
-    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order])
-    ranged = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).persist()
+    by = [F.col(c).asc_nulls_last() for c in order]
+    ranged = staged(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    offsets = sizes.withColumn("_o", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
+    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = F.col("_i") - F.shiftleft(F.col("_p").cast("bigint"), 33)
-    joined = ranged.join(F.broadcast(offsets.select("_p", "_o")), "_p")  # one row for each partition
-    return joined.withColumn(column, F.lit(start) + F.coalesce("_o", F.lit(0)) + local).drop("_p", "_i", "_o")
+    joined = ranged.join(F.broadcast(offsets.select("_p", "_o")), "_p")  # one row for each range
+    return joined.withColumn("_offset", F.col("_o") + local).drop("_p", "_i", "_o"), sizes.agg(F.sum("_n")).first()[0] or 0
+
+
+def numbered(rows: DataFrame, start: int, column: str = "id") -> DataFrame:
+    return rows.withColumn(column, F.lit(start) + F.col("_offset")).drop("_offset")
+
+
+def with_ids(df: DataFrame, start: int, order: list[str], column: str = "id") -> DataFrame:
+    """Dense ids from ``start`` in the given order."""
+    return numbered(placed(df, order)[0], start, column)

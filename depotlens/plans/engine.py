@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import SCAN_TYPES
-from ..operators import analytics, ingest, paging, queries, retries, rollup
+from ..operators import ingest, paging, queries, retries, rollup
 from ..schemas import CASCADE, TABLES, ddl
 from ..sources import read_tree, remote
 from .store import Store
@@ -35,18 +35,18 @@ class Inventory:
         """Log a scan and its metadata; a scan is born Completed without an end, as its table's default says."""
         if kind not in SCAN_TYPES:
             raise ValueError(f"unknown scan type: {kind}")
-        scan_id = self.store.next_id("scans")
+        scan_id = self.store.reserve("scans")
         scan = self.spark.createDataFrame([(scan_id, SCAN_TYPES[kind], now, now, None, "Completed", None, None)], ddl("scans"))
-        meta = self.spark.createDataFrame([(self.store.next_id("scanmetadata"), name, path, search_filter, scan_id)], ddl("scanmetadata"))
-        self.store.append({"scans": scan, "scanmetadata": meta})
+        meta = self.spark.createDataFrame([(self.store.reserve("scanmetadata"), name, path, search_filter, scan_id)], ddl("scanmetadata"))
+        self.store.append({"scans": scan, "scanmetadata": meta}, scan_id)
         return scan_id
 
     def _set(self, scan_id: int, **values) -> None:
-        hit = F.col("id") == scan_id
+        hit = F.lit(True)
         if "status" in values and values["status"] != "Failed":
-            hit &= ~F.col("status").eqNullSafe(F.lit("Failed"))  # failed stays failed
-        scans = self.store.read("scans")
-        self.store.replace({"scans": scans.withColumns({k: F.when(hit, F.lit(v).cast(TABLES["scans"][k])).otherwise(F.col(k)) for k, v in values.items()})})
+            hit = ~F.col("status").eqNullSafe(F.lit("Failed"))  # failed stays failed
+        change = {k: F.when(hit, F.lit(v).cast(TABLES["scans"][k])).otherwise(F.col(k)) for k, v in values.items()}
+        self.store.rewrite("scans", scan_id, lambda scans: scans.withColumns(change))
 
     def complete(self, scan_id: int, now: datetime) -> None:
         self._set(scan_id, scan_end_time=now, status="Completed")
@@ -55,9 +55,8 @@ class Inventory:
         self._set(scan_id, scan_end_time=now, status="Failed", error_msg=why)
 
     def delete_scan(self, scan_id: int) -> None:
-        """Delete a scan and all that hangs on it, in one published change; an unknown id changes nothing."""
-        kept = analytics.survivors({t: self.store.read(t) for t in CASCADE}, scan_id)
-        self.store.replace(kept)
+        """Delete a scan and all that hangs on it, in one published change that writes no rows; an unknown id changes nothing."""
+        self.store.drop_scan(CASCADE, scan_id)
 
     # sinks
 
@@ -71,16 +70,21 @@ class Inventory:
         self.complete(scan_id, now)
         return scan_id, bad
 
-    def _save(self, table: str, rows: DataFrame, order: list[str]) -> DataFrame:
+    def _numbered(self, table: str, rows: DataFrame, order: list[str]) -> DataFrame:
+        """Rows with ids that no other writer gets."""
+        placed, n = ingest.placed(rows, order)
+        return ingest.numbered(placed, self.store.reserve(table, n))
+
+    def _save(self, table: str, rows: DataFrame, order: list[str], scan_id: int) -> DataFrame:
         good, bad = ingest.quarantine(rows, table)
-        self.store.append({table: ingest.with_ids(good, self.store.next_id(table), order)})
+        self.store.append({table: self._numbered(table, good, order)}, scan_id)
         return bad
 
     def scan_local(self, root: str, now: datetime, md5: bool = True) -> tuple[int, DataFrame]:
         """Scan a file tree; returns the scan's id and the rejected rows."""
         scan_id = self.start_scan("Local", now, path=root)
         rows = rollup.scan_entries(read_tree(self.spark, root, md5), root).withColumn("scan_id", F.lit(scan_id))
-        return self._carry_out(scan_id, now, lambda: self._save("scandata", rows, ["path"]))
+        return self._carry_out(scan_id, now, lambda: self._save("scandata", rows, ["path"], scan_id))
 
     def scan_drive(self, pages: DataFrame, now: datetime, query: str = "") -> tuple[int, DataFrame]:
         """Files of recorded listing pages in any order; a missing page, a loop or an incomplete search fails the scan."""
@@ -88,7 +92,7 @@ class Inventory:
 
         def work() -> DataFrame:
             whole = remote.in_order(pages, "incompleteSearch")
-            return self._save("scandata", remote.drive_files(whole).withColumn("scan_id", F.lit(scan_id)), ["path"])
+            return self._save("scandata", remote.drive_files(whole).withColumn("scan_id", F.lit(scan_id)), ["path"], scan_id)
 
         return self._carry_out(scan_id, now, work)
 
@@ -113,7 +117,7 @@ class Inventory:
                 wanted = wanted.join(remote.listed_messages(listing).select("id"), "id", "left_semi")
             rows = remote.messages(wanted, username).filter(mail_filter(search_filter)).withColumn("scan_id", F.lit(scan_id))
             rows = ingest.dedupe_messages(ingest.normalize_messages(rows), self.store.read("messagemetadata"), ("date", "message_id"))
-            return self._save("messagemetadata", rows, ["date", "message_id"])
+            return self._save("messagemetadata", rows, ["date", "message_id"], scan_id)
 
         return self._carry_out(scan_id, now, work)
 
@@ -136,9 +140,9 @@ class Inventory:
             wanted = raw if search is None else remote.album_items(raw, search, album)
             items = remote.media_items(wanted, contents, fetch_size, fetch_md5).withColumn("scan_id", F.lit(scan_id))
             good, bad = ingest.quarantine(items, "photosmediaitem")
-            parents, photos, videos = ingest.split_media(ingest.with_ids(good, self.store.next_id("photosmediaitem"), ["media_item_id"]))
-            child = lambda df, t: ingest.with_ids(df, self.store.next_id(t), ["photos_media_item_id"])
-            self.store.append({"photosmediaitem": parents, "photometadata": child(photos, "photometadata"), "videometadata": child(videos, "videometadata")})
+            parents, photos, videos = ingest.split_media(self._numbered("photosmediaitem", good, ["media_item_id"]))
+            child = lambda df, t: self._numbered(t, df, ["photos_media_item_id"])
+            self.store.append({"photosmediaitem": parents, "photometadata": child(photos, "photometadata"), "videometadata": child(videos, "videometadata")}, scan_id)
             return bad
 
         return self._carry_out(scan_id, now, work)
@@ -149,10 +153,16 @@ class Inventory:
         return remote.albums(whole), fault
 
     def save_token(self, **token) -> None:
-        if self.store.read("privatetokens").filter(F.col("client_key") == token["client_key"]).take(1):
-            raise ValueError("client_key exists")
-        row = {c: token.get(c) for c in TABLES["privatetokens"]} | {"id": self.store.next_id("privatetokens")}
-        self.store.append({"privatetokens": self.spark.createDataFrame([tuple(row.values())], ddl("privatetokens"))})
+        """Store an account's token; its client_key must be new at the moment of publishing, also when two writers store it."""
+        row = {c: token.get(c) for c in TABLES["privatetokens"]} | {"id": self.store.reserve("privatetokens")}
+        path = self.store.write("privatetokens", self.spark.createDataFrame([tuple(row.values())], ddl("privatetokens")))
+
+        def change(m, base):
+            if self.store.read("privatetokens", base).filter(F.col("client_key") == token["client_key"]).take(1):
+                raise ValueError("client_key exists")
+            return {**m, "privatetokens": [*m.get("privatetokens", []), path]}
+
+        self.store.edit(change)
 
     def token(self, client_key: str) -> Row:
         found = queries.token_for(self.store.read("privatetokens"), client_key).take(1)
@@ -168,7 +178,7 @@ class Inventory:
         return queries.list_scans(scans, self.store.read("scanmetadata", v), page, as_of), scans.count()
 
     def _list(self, table: str, scan_id: int, page: int) -> tuple[DataFrame, int]:
-        df = self.store.read(table, self.store.version())
+        df = self.store.read(table, self.store.version(), scan_id)
         return queries.list_of_scan(df, scan_id, page), queries.count_of_scan(df, scan_id)
 
     def list_files(self, scan_id: int, page: int = 1) -> tuple[DataFrame, int]:
@@ -190,7 +200,7 @@ class Inventory:
         return queries.linked_accounts(self.store.read("privatetokens"))
 
     def scan(self, scan_id: int) -> Row:
-        found = queries.scan_by_id(self.store.read("scans"), scan_id).take(1)
+        found = queries.scan_by_id(self.store.read("scans", scan_id=scan_id), scan_id).take(1)
         if not found:
             raise KeyError(f"no scan {scan_id}")
         return found[0]

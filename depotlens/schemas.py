@@ -51,6 +51,9 @@ CASCADE = ("photometadata", "videometadata", "photosmediaitem", "messagemetadata
 
 SCHEMA_VERSION = 4
 
+#: Columns that a later version added to a table, with the value that older rows have.
+ADDED: dict[str, dict[str, str | None]] = {"scans": {"status": "Completed", "error_msg": None, "completed_at": None}}
+
 DRIVE_PAGE = "files array<struct<size:bigint, id:string, name:string, mimeType:string, parents:array<string>, modifiedTime:string, md5Checksum:string>>, nextPageToken string, incompleteSearch boolean, pageToken string"
 MESSAGE = "id string, threadId string, labelIds array<string>, internalDate bigint, sizeEstimate bigint, payload struct<headers: array<struct<name:string, value:string>>>"
 MEDIA_ITEM = "id string, description string, productUrl string, baseUrl string, mimeType string, filename string, mediaMetadata struct<creationTime:string, width:string, height:string, photo:struct<cameraMake:string, cameraModel:string, focalLength:double, apertureFNumber:double, isoEquivalent:int, exposureTime:string>, video:struct<cameraMake:string, cameraModel:string, fps:double>>, contributorInfo struct<profilePictureBaseUrl:string, displayName:string>"

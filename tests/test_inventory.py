@@ -1,4 +1,5 @@
 import json
+import pathlib
 from datetime import datetime
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from depotlens import schemas
 from depotlens.operators import analytics, ingest, queries, rollup
 from depotlens.plans import Inventory
+from depotlens.plans.store import Conflict, Store
 from depotlens.sources import read_tree, remote
 from depotlens.sources import tree as tree_source
 
@@ -97,10 +99,87 @@ def test_photos_publish_parents_with_children(inventory, spark):
 def test_a_second_publisher_fails(inventory):
     base = inventory.store.version()
     inventory.start_scan("Local", NOW)
-    with pytest.raises(RuntimeError):
+    with pytest.raises(Conflict):
         inventory.store.publish({}, base)
 
 
+def test_two_writers_get_different_ids_and_lose_nothing(inventory, spark, monkeypatch):
+    """A second writer publishes between any two steps of the first."""
+    other, publish, turns = Inventory(spark, inventory.store.root), Store.publish, []
+
+    def slow(store, manifest, base):
+        if store is inventory.store:
+            turns.append(1)
+            if len(turns) % 2:
+                other.start_scan("GMail", NOW, name="other")
+        return publish(store, manifest, base)
+
+    monkeypatch.setattr(Store, "publish", slow)
+    ids = [inventory.start_scan("Local", NOW, name="mine") for _ in range(2)]
+    monkeypatch.setattr(Store, "publish", publish)
+    scans = [r.id for r in inventory.store.read("scans").collect()]
+    meta = [(r.id, r.scan_id, r.name) for r in inventory.store.read("scanmetadata").collect()]
+    assert len(set(scans)) == len(scans) and set(ids) < set(scans) and len(scans) > 4
+    assert len({i for i, _, _ in meta}) == len(meta) == len(scans) and {s for _, s, n in meta if n == "mine"} == set(ids)
+    inventory.fail(ids[0], NOW, "why")
+    assert [inventory.scan(i).status for i in ids] == ["Failed", "Completed"]
+
+
+def test_a_client_key_is_stored_once_also_by_two_writers(inventory, spark, monkeypatch):
+    other, publish = Inventory(spark, inventory.store.root), Store.publish
+    inventory.save_token(client_key="a", created_on=NOW)
+    with pytest.raises(ValueError, match="exists"):
+        inventory.save_token(client_key="a", created_on=NOW)
+
+    def slow(store, manifest, base):
+        if store is inventory.store and manifest["privatetokens"] != inventory.store.manifest(base)["privatetokens"]:
+            other.save_token(client_key="b", created_on=NOW)
+        return publish(store, manifest, base)
+
+    monkeypatch.setattr(Store, "publish", slow)
+    with pytest.raises(ValueError, match="exists"):
+        inventory.save_token(client_key="b", created_on=NOW, access_token="late")
+    assert sorted(r.client_key for r in inventory.store.read("privatetokens").collect()) == ["a", "b"] and inventory.token("b").access_token is None
+
+
+def test_deleting_and_completing_touch_no_other_scan(inventory, spark, tree):
+    first, _ = inventory.scan_local(str(tree), NOW)
+    second, _ = inventory.scan_local(str(tree), NOW)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in pathlib.Path(inventory.store.root).rglob("*.parquet")}
+    before, kept = files(), inventory.store.manifest()
+    inventory.delete_scan(first)
+    assert files() == before  # no file written
+    assert [d for d in inventory.store.manifest()["scandata"]] == [d for d in kept["scandata"] if f"scan_id={second}/" in d]
+    inventory.fail(second, NOW, "late")
+    new = set(files()) - set(before)
+    assert new and all(f"/scans/scan_id={second}/" in p for p in new)
+    plan = inventory.list_files(second)[0]._jdf.queryExecution().toString()
+    assert f"scan_id={first}/" not in plan
+    assert inventory.store.vacuum() >= 3 and not [p for p in files() if f"scan_id={first}/" in p]
+    assert inventory.list_files(second)[1] == 12 and inventory.scan(second).status == "Failed"
+
+
+def test_an_older_store_is_brought_up_step_by_step(spark, tmp_path):
+    """Files from before the status columns are read with their defaults, and ids go on behind theirs."""
+    store = Store(spark, str(tmp_path / "old"))
+    old = spark.createDataFrame([(7, "local", NOW, NOW, None)], "id bigint, scan_type string, created_on timestamp_ntz, scan_start_time timestamp_ntz, scan_end_time timestamp_ntz")
+    old.write.parquet(f"{store.root}/scans/first")
+    store.publish({"scans": [f"{store.root}/scans/first"]}, 0)
+    inventory = Inventory(spark, store.root)
+    assert inventory.scan(7).status == "Completed" and inventory.scan(7).error_msg is None
+    assert inventory.start_scan("Local", NOW) == 8
+    inventory.fail(7, NOW, "late")
+    assert (inventory.scan(7).status, inventory.scan(7).error_msg, inventory.scan(8).status) == ("Failed", "late", "Completed")
+    inventory.delete_scan(7)
+    assert [r.id for r in store.read("scans").collect()] == [8]
+    version = store.version()
+    Inventory(spark, store.root)
+    assert store.version() == version  # a current store is left alone
+    store.edit(lambda m, base: {**m, "_version": 99})
+    with pytest.raises(ValueError, match="99"):
+        Inventory(spark, store.root)
+
+
 def test_quarantine_keeps_the_scan_going(spark):
     df = spark.createDataFrame([("ok", 1), ("x" * 201, 1), ("n", None)], "name string, scan_id bigint")
     good, bad = ingest.quarantine(df, "scandata")
