@@ -46,9 +46,10 @@ def raw_messages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def messages(spark: SparkSession, d: str) -> DataFrame:
+def messages(spark: SparkSession, d: str, turns: DataFrame | None = None) -> DataFrame:
     """Stored messages: a scan for each tenth of the conversations."""
-    return table(spark, d, "conversations").select(
+    rows = table(spark, d, "conversations") if turns is None else turns
+    return rows.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         F.col("turn").cast("string").alias("message_id"),
         F.col("conv_id").cast("string").alias("thread_id"),
@@ -61,9 +62,9 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def repeated_messages(spark: SparkSession, d: str) -> DataFrame:
+def repeated_messages(spark: SparkSession, d: str, turns: DataFrame | None = None) -> DataFrame:
     """The messages twice: as they are, and seen again by a later scan."""
-    m = messages(spark, d)
+    m = messages(spark, d, turns)
     return m.unionByName(m.withColumns({"scan_id": F.col("scan_id") + 100, "id": F.col("id") + 10**9}))
 
 
@@ -174,3 +175,20 @@ def counter_events(spark: SparkSession, d: str) -> DataFrame:
     """Events of scans: a signup lists as many items as its key says, errors are skipped items, all others are items done."""
     listed = F.when(F.col("event_type") == "signup", F.get_json_object("props", "$.k").cast("bigint"))
     return table(spark, d, "events").select(F.col("user_id").alias("scan_id"), "event_id", listed.alias("listed"), F.col("event_type").isin("view", "click", "purchase").alias("done"))
+
+
+def client_events(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    """Events as those of clients' scans: a user is a client, a week a scan that ends at its last event."""
+    still = table(spark, d, "events")
+    week = F.call_function("div", F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(7 * 86400))
+    last = still.groupBy(F.col("user_id").alias("u"), week.alias("w")).agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("last"))
+    e = still if events is None else events
+    signup = F.when(F.col("event_type") == "signup", F.get_json_object("props", "$.k").cast("bigint"))
+    rows = e.select("event_id", "user_id", "ts", week.alias("scan_id"), signup.alias("listed"), F.col("event_type").isin("view", "click", "purchase").alias("done"))
+    joined = rows.join(last, (F.col("user_id") == F.col("u")) & (F.col("scan_id") == F.col("w")), "left")
+    return joined.select(F.concat(F.lit("u"), "user_id").alias("client_key"), "scan_id", "ts", "listed", "done", (F.col("event_id") == F.col("last")).alias("ended"))
+
+
+def mail_columns(m: DataFrame) -> DataFrame:
+    """Fixture messages as the store's columns, in order of their ids."""
+    return m.select("username", "message_id", "thread_id", "mail_from", "subject", "size_estimate", "labels", F.timestamp_seconds("id").cast("timestamp_ntz").alias("date"))

@@ -121,6 +121,26 @@ class Inventory:
 
         return self._carry_out(scan_id, now, work)
 
+    def stream_mail(self, raw: DataFrame, username: str, now: datetime, checkpoint: str, search_filter: str = "", scan_id: int | None = None) -> int:
+        """A stream of raw messages, stored batch by batch until all that is there is read; with the ``scan_id`` of a scan that was cut short it goes on from the checkpoint."""
+        from ..functions import mail_filter
+        from ..streaming import sinks
+
+        scan_id = self.start_scan("GMail", now, name=username, search_filter=search_filter) if scan_id is None else scan_id
+
+        def work() -> None:
+            rows = ingest.normalize_messages(remote.messages(raw, username).filter(mail_filter(search_filter)))
+            sinks.mail_sink(rows, self.store, scan_id, checkpoint, f"mail-{scan_id}").awaitTermination()
+
+        return self._carry_out(scan_id, now, work)[0]
+
+    def progress_stream(self, events: DataFrame, path: str, checkpoint: str, every: int = 5, late: str = "10 minutes", **trigger):
+        """Snapshots of running scans (client_key, scan_id, ts, listed, done, ended) to files at ``path``, every so many seconds and at each scan's end."""
+        from ..streaming import sinks, ticker
+
+        with sinks.state_store(self.spark, sinks.state_store.ROCKSDB):
+            return sinks.append_files(ticker.ticks(events, every, late), path, checkpoint, **trigger)
+
     def scan_photos(
         self, raw: DataFrame, now: datetime, contents: DataFrame | None = None, fetch_size: bool = False, fetch_md5: bool = False, album: str = "", search: DataFrame | None = None, attempts: DataFrame | None = None
     ) -> tuple[int, DataFrame]:

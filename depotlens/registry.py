@@ -14,8 +14,11 @@ from .functions import columns as C
 from .functions import mail_filter
 from .operators import analytics as A
 from .operators import ingest, paging, queries as Q, retries, rollup, running
+from .plans import Store
+from .session import shared_folder
 from .sources import remote
 from .streaming import progress as P
+from .streaming import sinks, ticker
 
 AS_OF = datetime(2024, 6, 1)
 
@@ -406,31 +409,48 @@ def progress_batch(s, d):
     return P.progress(X.item_events(s, d))
 
 
-def _event_stream(s, d):
-    schema = X.table(s, d, "events").schema
-    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-
-
-def _run(df, mode: str) -> DataFrame:
-    name = f"s{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+def _stream(s, d, name):
+    """A table as a stream of its files."""
+    schema = X.table(s, d, name).schema
+    part = sinks.files_of(s, f"{d}/{name}.parquet")
+    return s.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(part) if part.endswith("/") else s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 @query("progress_stream", PROGRESS)
 def progress_stream(s, d):
-    return _run(P.progress(X.item_events(s, d, _event_stream(s, d))), "complete")
+    return sinks.run(P.progress(X.item_events(s, d, _stream(s, d, "events"))), "complete")
 
 
 @query("windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_counts(s, d):
-    return _run(P.windowed_counts(_event_stream(s, d), "ts", "1 day", "2 days"), "complete")
+    return sinks.run(P.windowed_counts(_stream(s, d, "events"), "ts", "1 day", "2 days"), "complete")
 
 
 @query("stream_dedupe", "SELECT DISTINCT 'u' AS username, event_type AS message_id, CAST(user_id AS VARCHAR) AS thread_id FROM events")
 def stream_dedupe(s, d):
-    e = _event_stream(s, d).select(F.lit("u").alias("username"), F.col("event_type").alias("message_id"), F.col("user_id").cast("string").alias("thread_id"))
-    return _run(P.stream_dedupe(e), "append")
+    e = _stream(s, d, "events").select(F.lit("u").alias("username"), F.col("event_type").alias("message_id"), F.col("user_id").cast("string").alias("thread_id"))
+    return sinks.run(P.stream_dedupe(e))
+
+
+_TICKS = "WITH e AS MATERIALIZED (SELECT 'u' || user_id AS client_key, epoch_us(ts) // 1000000 // 604800 AS scan_id, epoch_us(ts) // 1000 AS ms, event_id, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 1 ELSE 0 END AS done, CASE WHEN event_type = 'signup' THEN CAST(props->>'$.k' AS BIGINT) ELSE 0 END AS listed FROM events), s AS MATERIALIZED (SELECT client_key, scan_id, min(ms) AS start, max(ms) AS stop, (SELECT max(ms) - 600000 FROM e) AS now FROM e GROUP BY 1, 2), m AS (SELECT client_key, scan_id, start, start + 86400000 * k AS due, false AS final FROM (SELECT *, unnest(generate_series(1, (least(stop, now) - 1 - start) // 86400000)) AS k FROM s WHERE least(stop, now) > start) UNION ALL SELECT client_key, scan_id, start, stop, true FROM s WHERE stop < now)"
+
+
+@query("progress_ticks", f"{_TICKS} SELECT client_key, scan_id, make_timestamp(due * 1000) AS ts, CAST(sum(done) AS BIGINT) AS processed_count, CAST(sum(listed - done) AS BIGINT) AS active_count, (due - start) // 1000 AS elapsed_in_sec, final FROM m JOIN e USING (client_key, scan_id) WHERE ms <= due GROUP BY client_key, scan_id, due, start, final")
+def progress_ticks(s, d):
+    """A snapshot a day for each client and scan, and one at the scan's end, from the stream's state and timers."""
+    out = sinks.run(ticker.ticks(X.client_events(s, d, _stream(s, d, "events")), 86_400), state=sinks.state_store.ROCKSDB)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stream_mail_sink", f"SELECT username, message_id, thread_id, mail_from, subject, size_estimate, labels, 1::BIGINT AS scan_id FROM {MESSAGES}")
+def stream_mail_sink(s, d):
+    """Conversations as a mail stream that sees every message twice, stored batch by batch."""
+    root = f"{shared_folder(s)}/mail-{uuid.uuid4().hex}"
+    store = Store(s, f"{root}/store")
+    store.ensure()
+    stream = X.mail_columns(X.repeated_messages(s, d, _stream(s, d, "conversations")))
+    sinks.mail_sink(stream, store, 1, f"{root}/checkpoint").awaitTermination()
+    return store.read("messagemetadata").select("username", "message_id", "thread_id", "mail_from", "subject", "size_estimate", "labels", "scan_id")
 
 
 @query("client_progress", "SELECT event_id FROM events WHERE event_type = 'view'")
