@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.contents import StoredContents
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,6 +28,23 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def entries(spark: SparkSession, d: str) -> DataFrame:
+    """Files as a scan stores them: those over 20,000 bytes were not read, of those under 60 the hash is missing, and every language is a folder."""
+    f = files(spark, d).withColumn("md5hash", F.when(F.col("size") > 20_000, F.lit("")).when(F.col("size") >= 60, F.col("md5hash")))
+    place = F.regexp_extract("path", "^/([^/]*)/", 1)
+    dirs = f.groupBy("scan_id", place.alias("name")).agg((F.min("id") + 10**9).alias("id"), F.count("*").cast("int").alias("file_count"))
+    rows = dirs.select("id", "name", F.concat(F.lit("/"), "name").alias("path"), F.lit(4096).cast("bigint").alias("size"), F.lit("").alias("md5hash"), F.lit(True).alias("is_dir"), "file_count", "scan_id")
+    return f.unionByName(rows)
+
+
+def spelled_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of pages whose folders are spelled in several ways: hosts of plain http and languages of pages with parameters in capitals."""
+    part = lambda k: F.regexp_extract("url", "^[a-z]+://([^/]*)/([^/]*)/([^?#]*)", k)
+    host = F.when(F.startswith("url", F.lit("http:")), F.upper(part(1))).otherwise(part(1))
+    lang = F.when(F.contains("url", F.lit("?")), F.upper(part(2))).otherwise(part(2))
+    return table(spark, d, "pages").select(F.lit(1).cast("bigint").alias("scan_id"), F.concat_ws("/", F.lit(""), host, lang, F.regexp_replace(part(3), "/", "")).alias("path"))
+
+
 def page_paths(spark: SparkSession, d: str) -> DataFrame:
     """Pages as files of one scan, by the path of their address."""
     bare = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+:/", "")
@@ -192,3 +211,9 @@ def client_events(spark: SparkSession, d: str, events: DataFrame | None = None)
 def mail_columns(m: DataFrame) -> DataFrame:
     """Fixture messages as the store's columns, in order of their ids."""
     return m.select("username", "message_id", "thread_id", "mail_from", "subject", "size_estimate", "labels", F.timestamp_seconds("id").cast("timestamp_ntz").alias("date"))
+
+
+def contents(spark: SparkSession, d: str) -> tuple[DataFrame, StoredContents]:
+    """Documents as files of known size, and what hashes their contents."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return rows.select("id", F.octet_length("content").alias("size")), StoredContents(rows)

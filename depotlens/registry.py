@@ -13,7 +13,7 @@ from . import fixtures as X
 from .functions import columns as C
 from .functions import mail_filter
 from .operators import analytics as A
-from .operators import ingest, paging, queries as Q, retries, rollup, running
+from .operators import contents, ingest, paging, queries as Q, renames, retries, rollup, running
 from .plans import Store
 from .session import shared_folder
 from .sources import remote
@@ -24,6 +24,8 @@ AS_OF = datetime(2024, 6, 1)
 
 # SQL of the fixtures, by the same names.
 FILES = "(SELECT doc_id AS id, 'doc_' || doc_id || '.txt' AS name, '/' || lang || '/' || source || '/doc_' || doc_id || '.txt' AS path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, md5(coalesce(text, '')) AS md5hash, false AS is_dir, CAST(substr(source, 4, 10) AS BIGINT) AS scan_id FROM documents)"
+ENTRIES = f"(SELECT * REPLACE (CASE WHEN size > 20000 THEN '' WHEN size >= 60 THEN md5hash END AS md5hash) FROM {FILES} UNION ALL SELECT min(id) + 1000000000, split_part(path, '/', 2), '/' || split_part(path, '/', 2), 4096, '', true, scan_id FROM {FILES} GROUP BY scan_id, 2, 3)"
+KNOWN = f"(SELECT * FROM {ENTRIES} WHERE NOT is_dir AND coalesce(md5hash, '') <> '')"
 MESSAGES = "(SELECT conv_id * 1000 + turn AS id, CAST(turn AS VARCHAR) AS message_id, CAST(conv_id AS VARCHAR) AS thread_id, 'u' AS username, role AS mail_from, left(text, 2000) AS subject, CAST(octet_length(encode(text)) AS BIGINT) AS size_estimate, 'INBOX,' || upper(role) AS labels, conv_id % 10 AS scan_id FROM conversations)"
 SCANS = "(SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'local' WHEN '2-HIGH' THEN 'google_drive' WHEN '3-MEDIUM' THEN 'gmail' ELSE 'photos' END AS scan_type, o_orderdate AS created_on, o_orderdate AS scan_start_time, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate + to_seconds(o_orderkey % 3600) END AS scan_end_time, CASE o_orderstatus WHEN 'F' THEN 'Failed' WHEN 'O' THEN 'Completed' END AS status FROM orders)"
 META = "(SELECT o_orderkey AS scan_id, c_name AS name, c_mktsegment AS search_path, CAST(NULL AS VARCHAR) AS search_filter FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT o_orderkey, c_name, 'second', NULL FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderstatus = 'F')"
@@ -318,14 +320,14 @@ def nullable_json(s, d):
 # analytics
 
 
-@query("dup_within_scan", f"SELECT scan_id, md5hash, size, count(*) AS copies, min(id) AS first_id, (count(*) - 1) * size AS wasted FROM {FILES} GROUP BY 1, 2, 3 HAVING count(*) > 1")
+@query("dup_within_scan", f"SELECT scan_id, md5hash, size, count(*) AS copies, min(id) AS first_id, (count(*) - 1) * size AS wasted FROM {KNOWN} GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def dup_within_scan(s, d):
-    return A.duplicates_within(X.files(s, d))
+    return A.duplicates_within(X.entries(s, d))
 
 
-@query("dup_across_scans", f"SELECT md5hash, size, count(DISTINCT scan_id) AS scans, count(*) AS copies FROM {FILES} GROUP BY 1, 2 HAVING count(DISTINCT scan_id) > 1")
+@query("dup_across_scans", f"SELECT md5hash, size, count(DISTINCT scan_id) AS scans, count(*) AS copies FROM {KNOWN} GROUP BY 1, 2 HAVING count(DISTINCT scan_id) > 1")
 def dup_across_scans(s, d):
-    return A.duplicates_across(X.files(s, d))
+    return A.duplicates_across(X.entries(s, d))
 
 
 @query("size_collisions", f"SELECT id, size FROM {FILES} WHERE size IN (SELECT size FROM {FILES} GROUP BY size HAVING count(*) > 1)")
@@ -334,19 +336,20 @@ def size_collisions(s, d):
 
 
 def _pair(s, d):
-    """Every scan against the next one: all files, and all files again under the names of the scan before. Names are places in a scan."""
-    side = lambda scan: X.files(s, d).withColumn("name", F.concat(scan.cast("string"), F.lit("/f"), F.call_function("div", F.col("id"), F.lit(20)).cast("string")))
+    """Every scan against the next one: all entries, and all again at the places of the scan before. A place is taken by the entry of the smallest id."""
+    side = lambda scan: X.entries(s, d).withColumn("path", F.concat(scan.cast("string"), F.lit("/f"), F.call_function("div", F.col("id"), F.lit(20)).cast("string")))
     return side(F.col("scan_id")), side(F.col("scan_id") - 1)
 
 
-_L = f"(SELECT scan_id || '/f' || (id // 20) AS name, size, md5hash FROM {FILES})"
-_R = f"(SELECT (scan_id - 1) || '/f' || (id // 20) AS name, size, md5hash FROM {FILES})"
-_DIFF = f"SELECT name, l.size AS size_left, l.md5hash AS md5_left, r.size AS size_right, r.md5hash AS md5_right, CASE WHEN r.name IS NULL THEN 'ONLY_LEFT' WHEN l.name IS NULL THEN 'ONLY_RIGHT' WHEN l.size IS NOT DISTINCT FROM r.size AND l.md5hash IS NOT DISTINCT FROM r.md5hash THEN 'SAME' ELSE 'CHANGED' END AS state FROM {_L} l FULL JOIN {_R} r USING (name)"
+_SIDE = f"(SELECT path, f.size, f.md5hash FROM (SELECT path, arg_min({{{{'size': size, 'md5hash': md5hash}}}}, id) AS f FROM (SELECT ({{}}) || '/f' || (id // 20) AS path, id, size, md5hash FROM {ENTRIES} WHERE NOT is_dir) GROUP BY path))"
+_L, _R = _SIDE.format("scan_id"), _SIDE.format("scan_id - 1")
+_ALL_LEFT, _ALL_RIGHT = (f"(SELECT ({x}) || '/f' || (id // 20) AS path, size FROM {ENTRIES})" for x in ("scan_id", "scan_id - 1"))
+_DIFF = f"SELECT path, l.size AS size_left, l.md5hash AS md5_left, r.size AS size_right, r.md5hash AS md5_right, CASE WHEN r.path IS NULL THEN 'ONLY_LEFT' WHEN l.path IS NULL THEN 'ONLY_RIGHT' WHEN l.size IS NOT DISTINCT FROM r.size AND l.md5hash IS NOT DISTINCT FROM r.md5hash THEN 'SAME' ELSE 'CHANGED' END AS state FROM {_L} l FULL JOIN {_R} r USING (path)"
 
 
-@query("scan_only_left", f"SELECT name, size FROM {_L} WHERE name NOT IN (SELECT name FROM {_R})")
+@query("scan_only_left", f"SELECT path, size FROM {_ALL_LEFT} WHERE path NOT IN (SELECT path FROM {_ALL_RIGHT})")
 def scan_only_left(s, d):
-    return A.only_left(*_pair(s, d)).select("name", "size")
+    return A.only_left(*_pair(s, d)).select("path", "size")
 
 
 @query("scan_changed", f"SELECT * EXCLUDE (state) FROM ({_DIFF}) WHERE state = 'CHANGED'")
@@ -359,14 +362,54 @@ def scan_full_diff(s, d):
     return A.full_diff(*_pair(s, d))
 
 
-@query("sync_plan", f"SELECT *, CASE state WHEN 'ONLY_LEFT' THEN 'COPY' WHEN 'CHANGED' THEN 'UPDATE' ELSE 'NOOP' END AS action FROM ({_DIFF})")
+def _lagged(s, d):
+    """Every scan against the next one, names kept: files at their own places and, on the other side, one place on."""
+    f = X.entries(s, d)
+    at = lambda n: f.withColumn("path", F.concat(F.lit("/"), F.call_function("div", F.col("id") + n, F.lit(3)).cast("string"), F.lit("/"), (F.col("id") % 3).cast("string")))
+    return at(0).filter("scan_id < 10"), at(1).filter("scan_id >= 5")
+
+
+_PLACED = f"(SELECT path, f.size, f.md5hash FROM (SELECT path, arg_min({{{{'size': size, 'md5hash': md5hash}}}}, id) AS f FROM (SELECT '/' || ((id + {{}}) // 3) || '/' || (id % 3) AS path, id, size, md5hash FROM {ENTRIES} WHERE NOT is_dir AND {{}}) GROUP BY path))"
+_SYNC = _DIFF.replace(_L, _PLACED.format(0, "scan_id < 10")).replace(_R, _PLACED.format(1, "scan_id >= 5"))
+
+
+@query("sync_plan", f"WITH d AS MATERIALIZED ({_SYNC}), l AS (SELECT path, md5_left AS m, size_left AS z, row_number() OVER (PARTITION BY md5_left, size_left ORDER BY path) AS k FROM d WHERE state = 'ONLY_LEFT' AND coalesce(md5_left, '') <> ''), r AS (SELECT path, md5_right AS m, size_right AS z, row_number() OVER (PARTITION BY md5_right, size_right ORDER BY path) AS k FROM d WHERE state = 'ONLY_RIGHT' AND coalesce(md5_right, '') <> ''), p AS (SELECT l.path AS a, r.path AS b FROM l JOIN r USING (m, z, k)) SELECT d.*, other, CASE state WHEN 'CHANGED' THEN 'UPDATE' WHEN 'SAME' THEN 'NOOP' WHEN 'ONLY_LEFT' THEN CASE WHEN other IS NULL THEN 'COPY' ELSE 'MOVE' END ELSE CASE WHEN other IS NULL THEN 'NOOP' ELSE 'MOVED' END END AS action FROM d LEFT JOIN (SELECT a AS path, b AS other FROM p UNION ALL SELECT b, a FROM p) USING (path)")
 def sync_plan(s, d):
-    return A.sync_plan(*_pair(s, d))
+    return A.sync_plan(*_lagged(s, d))
+
+
+_TEXTS = "(SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)"
+
+
+@query("staged_duplicates", f"SELECT octet_length(b)::BIGINT AS size, md5(b) AS md5hash, count(*) AS copies FROM {_TEXTS} GROUP BY 1, 2 HAVING count(*) > 1")
+def staged_duplicates(s, d):
+    out = contents.staged_hashes(*X.contents(s, d), block=512).filter("md5hash <> ''")
+    return out.groupBy("size", "md5hash").agg(F.count("*").alias("copies")).filter("copies > 1")
+
+
+@query("staged_hash_cost", f"WITH t AS (SELECT doc_id, octet_length(b) AS n, b FROM {_TEXTS}), e AS (SELECT *, n > 0 AND count(*) OVER (PARTITION BY n) > 1 AS met FROM t), w AS (SELECT *, met AND n > 1024 AND count(*) OVER (PARTITION BY n, met, CASE WHEN n > 1024 THEN md5(b[1:512] || b[n-511:n]) ELSE md5(b) END) > 1 AS twice FROM e) SELECT CASE WHEN NOT met THEN 'size' WHEN NOT twice THEN 'edges' ELSE 'whole' END AS stage, count(*) AS files, CAST(sum(CASE WHEN NOT met THEN 0 ELSE least(n, 1024) END + CASE WHEN twice THEN n ELSE 0 END) AS BIGINT) AS bytes_read FROM w GROUP BY 1")
+def staged_hash_cost(s, d):
+    """How many files each stage settles, and what it reads for them."""
+    return contents.staged_hashes(*X.contents(s, d), block=512).groupBy("stage").agg(F.count("*").alias("files"), F.sum("bytes_read").alias("bytes_read"))
+
 
+_SPELLED = "(SELECT DISTINCT '/' || CASE WHEN starts_with(url, 'http:') THEN upper(h) ELSE h END || '/' || CASE WHEN contains(url, '?') THEN upper(l) ELSE l END AS folder, '/' || CASE WHEN starts_with(url, 'http:') THEN upper(h) ELSE h END || '/' || CASE WHEN contains(url, '?') THEN upper(l) ELSE l END || '/' || replace(r, '/', '') AS path FROM (SELECT url, regexp_extract(url, '^[a-z]+://([^/]*)/([^/]*)/([^?#]*)', 1) AS h, regexp_extract(url, '^[a-z]+://([^/]*)/([^/]*)/([^?#]*)', 2) AS l, regexp_extract(url, '^[a-z]+://([^/]*)/([^/]*)/([^?#]*)', 3) AS r FROM pages))"
+_NAMES = f"f AS MATERIALIZED (SELECT * FROM {_SPELLED}), d AS (SELECT DISTINCT folder FROM f UNION SELECT DISTINCT '/' || split_part(folder, '/', 2) FROM f), c AS (SELECT lower(trim(name)) AS norm, name, count(*) AS n FROM (SELECT string_split(folder, '/')[-1] AS name FROM d) GROUP BY 1, 2), b AS (SELECT norm, arg_min(name, (-n, name)) AS new_name FROM c GROUP BY 1), m AS (SELECT name, new_name FROM c JOIN b USING (norm))"
 
-@query("keeper_plan", f"SELECT id, scan_id, md5hash, size, min(id) OVER w AS keep_id, count(*) OVER w AS copies, CASE WHEN id = min(id) OVER w THEN 'KEEP' ELSE 'DELETE' END AS action FROM {FILES} WINDOW w AS (PARTITION BY md5hash, size) QUALIFY count(*) OVER w > 1")
+
+@query("folder_rename_paths", f"WITH {_NAMES}, o AS (SELECT path, '/' || a.new_name || '/' || z.new_name || '/' || split_part(path, '/', 4) AS new_path FROM f JOIN m a ON a.name = split_part(path, '/', 2) JOIN m z ON z.name = split_part(path, '/', 3)) SELECT 1::BIGINT AS scan_id, path, new_path, count(*) OVER (PARTITION BY new_path) > 1 AS conflict FROM o")
+def folder_rename_paths(s, d):
+    return renames.renamed_paths(X.spelled_paths(s, d))
+
+
+@query("folder_rename_steps", f"WITH {_NAMES}, g AS (SELECT folder, len(string_split(folder, '/')) - 1 AS depth, a.new_name AS top, z.new_name AS low, split_part(folder, '/', 2) AS t, split_part(folder, '/', 3) AS l FROM d JOIN m a ON a.name = split_part(folder, '/', 2) LEFT JOIN m z ON z.name = split_part(folder, '/', 3)), w AS (SELECT *, '/' || top || CASE WHEN depth = 2 THEN '/' || low ELSE '' END AS new_path FROM g), x AS (SELECT *, count(*) OVER (PARTITION BY new_path) > 1 AS merges FROM w) SELECT 1::BIGINT AS scan_id, CAST(depth AS INTEGER) AS depth, folder, CASE WHEN depth = 2 THEN '/' || top || '/' || l ELSE folder END AS path_then, new_path, merges FROM x WHERE CASE WHEN depth = 2 THEN l <> low ELSE t <> top END")
+def folder_rename_steps(s, d):
+    return renames.rename_steps(X.spelled_paths(s, d))
+
+
+@query("keeper_plan", f"SELECT id, scan_id, md5hash, size, min(id) OVER w AS keep_id, count(*) OVER w AS copies, CASE WHEN id = min(id) OVER w THEN 'KEEP' ELSE 'DELETE' END AS action FROM {KNOWN} WINDOW w AS (PARTITION BY md5hash, size) QUALIFY count(*) OVER w > 1")
 def keeper_plan(s, d):
-    return A.keeper_plan(X.files(s, d))
+    return A.keeper_plan(X.entries(s, d))
 
 
 @query("folder_name_plan", "SELECT id, scan_id, name AS old_name, new_name FROM (SELECT c_custkey AS id, 1::BIGINT AS scan_id, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE lower(c_mktsegment) END AS name, lower(c_mktsegment) AS norm FROM customer) JOIN (SELECT norm, arg_min(name, (-n, name)) AS new_name FROM (SELECT lower(c_mktsegment) AS norm, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE lower(c_mktsegment) END AS name, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1 HAVING count(*) > 1) USING (norm) WHERE name <> new_name")
@@ -381,6 +424,21 @@ def top_senders(s, d):
     return A.space_by(X.messages(s, d), "mail_from")
 
 
+@query("largest_threads", f"SELECT thread_id, count(*) AS messages, CAST(sum(size_estimate) AS BIGINT) AS bytes FROM {MESSAGES} GROUP BY 1 ORDER BY bytes DESC, messages DESC, thread_id LIMIT 15")
+def largest_threads(s, d):
+    return A.largest_groups(A.space_by(X.messages(s, d), "thread_id"), "thread_id", 15)
+
+
+@query("largest_senders", f"SELECT mail_from, count(*) AS messages, CAST(sum(size_estimate) AS BIGINT) AS bytes FROM {MESSAGES} GROUP BY 1 ORDER BY bytes DESC, messages DESC, mail_from LIMIT 2")
+def largest_senders(s, d):
+    return A.largest_groups(A.space_by(X.messages(s, d), "mail_from"), "mail_from", 2)
+
+
+@query("largest_labels", f"SELECT label, count(*) AS messages, CAST(sum(size_estimate) AS BIGINT) AS bytes FROM (SELECT size_estimate, unnest(string_split(labels, ',')) AS label FROM {MESSAGES}) GROUP BY 1 ORDER BY bytes DESC, messages DESC, label LIMIT 3")
+def largest_labels(s, d):
+    return A.largest_groups(A.space_by_label(X.messages(s, d)), "label", 3)
+
+
 @query("space_by_thread", f"SELECT thread_id, count(*) AS messages, CAST(sum(size_estimate) AS BIGINT) AS bytes FROM {MESSAGES} GROUP BY 1")
 def space_by_thread(s, d):
     return A.space_by(X.messages(s, d), "thread_id")
@@ -396,9 +454,9 @@ def largest_photos(s, d):
     return A.largest(X.media(s, d), 20).select("id", "size")
 
 
-@query("top_items_per_scan", f"SELECT scan_id, id, size, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY size DESC, id) AS INTEGER) AS rank FROM {FILES} QUALIFY rank <= 5")
+@query("top_items_per_scan", f"SELECT scan_id, id, size, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY size DESC, id) AS INTEGER) AS rank FROM {ENTRIES} WHERE NOT is_dir QUALIFY rank <= 5")
 def top_items_per_scan(s, d):
-    return A.largest_per_scan(X.files(s, d), 5).select("scan_id", "id", "size", "rank")
+    return A.largest_per_scan(X.entries(s, d), 5).select("scan_id", "id", "size", "rank")
 
 
 # progress
