@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows, one_per_id, struct_lists, texts
+from .common import map_rows, named, numbered, struct_lists, texts
 from .repeats import removed_units, repeat_windows
 from .shingles import WordHashes
 
@@ -94,13 +94,14 @@ def _slices(text: bytes):
 
 
 def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, **limits) -> DataFrame:
-    """One row per id: id_col, n_words, n_removed, kept (the words that stay, joined by one space), kept_sha256.
+    """One row per row of docs: id_col, n_words, n_removed, kept (the words that stay, joined by one space), kept_sha256.
 
     Words end at ASCII white space and are compared as they are. Null and blank
-    texts have no words. Repeated ids count once, with their greatest text; rows
-    without an id are left out; an empty table gives an empty result.
+    texts have no words. Rows of one id are documents of their own, in the
+    order of their texts' hashes; rows without an id come first; an empty table gives an
+    empty result.
     """
-    rows = one_per_id(docs, id_col, text_col).select("id", "v0")
+    rows, names = numbered(docs, id_col, text_col)
     hashes = WordHashes()
     info = repeat_windows(rows, lambda t: hashes.of(t.split()), _slices, _index(length), length, gram, **limits)
 
@@ -121,4 +122,5 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays = [out[id_col], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.binary()).cast(pa.string()), pa.array(out["kept_sha256"])]
             yield pa.RecordBatch.from_arrays(arrays, names=list(out))
 
-    return map_rows(rows.join(info, "id", "left").select("id", "v0", "sent", "kept"), run, f"{id_col} long, n_words long, n_removed long, kept string, kept_sha256 string")
+    out = map_rows(rows.join(info, "id", "left").select("id", "v0", "sent", "kept"), run, f"{id_col} long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return named(out, names, id_col)

@@ -20,10 +20,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def scratch(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
-    Where it is unset, as in tests, one local folder is made for the session.
+    Where it is unset, as in tests, one local folder is made for a session on one machine; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='depotlens-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -63,35 +65,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def one_per_id(df: DataFrame, id_col: str, *values: str) -> DataFrame:
-    """(id, values) with one row for each id; rows without an id are left out.
-
-    Ids are checked by a count over the id column alone. Only where some id
-    repeats are the rows themselves grouped: the row with the greatest values
-    stays, a null counting as less than any text.
-    """
-    out = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)]).filter(F.col("id").isNotNull())
-    repeated = out.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
-    if not repeated.isEmpty():
-        kept = out.groupBy("id").agg(F.max(F.struct(*[f"v{i}" for i in range(len(values))])).alias("v"))
-        out = kept.select("id", *[F.col(f"v.v{i}").alias(f"v{i}") for i in range(len(values))])
-    return out
-
-
-def by_row(docs: DataFrame, id_col: str, text_col: str, also: tuple[str, ...] = (), once: bool = False) -> tuple[DataFrame, bool]:
+def by_row(docs: DataFrame, id_col: str, text_col: str, also: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
     """docs with a number for each row in ROW, and whether that is its id.
 
-    Where ids are missing or repeat, it is the row's place in id order, rows
-    without an id first; with ``once``, rows that are the same are then one.
+    Where ids are missing or repeat, it is the row's place in id order, rows without an id first. A
+    column of docs that has ROW's name is kept as OWN (see ``as_they_were``).
     """
+    docs = docs.withColumnRenamed(ROW, OWN) if ROW in docs.columns and ROW != id_col else docs
     ids = docs.select(F.col(id_col).cast("long").alias(ROW))
     if ids.groupBy(ROW).agg(F.count("*").alias("n")).filter(F.col(ROW).isNull() | (F.col("n") > 1)).isEmpty():
         return docs.withColumn(ROW, F.col(id_col).cast("long")), True
-    placed = (docs.distinct() if once else docs).orderBy(F.asc_nulls_first(F.col(id_col).cast("long")), F.xxhash64(text_col), *also)
+    placed = docs.orderBy(F.asc_nulls_first(F.col(id_col).cast("long")), F.xxhash64(text_col), *also)
     return cut(placed.withColumn(ROW, F.monotonically_increasing_id())), False
 
 
-ROW = "_row_number"
+def as_they_were(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``by_row`` with the columns of docs."""
+    return rows.select(*[F.col(OWN).alias(c) if c == ROW and OWN in rows.columns else F.col(c) for c in docs.columns])
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(id, v0) of every row, and the ids of the rows (_row, _name) where they are not the numbers themselves."""
+    rows, plain = by_row(docs.select(F.col(id_col).cast("long").alias("_name"), F.col(text_col).alias("v0")), "_name", "v0")
+    return rows.select(F.col(ROW).alias("id"), "v0"), None if plain else rows.select(F.col(ROW).alias("_row"), "_name")
+
+
+def named(out: DataFrame, names: DataFrame | None, id_col: str) -> DataFrame:
+    """Results by row number with the rows' ids."""
+    if names is None:
+        return out
+    met = out.join(names, F.col(id_col) == F.col("_row"))
+    return met.select(*[F.col("_name").alias(c) if c == id_col else F.col(c) for c in out.columns])
+
+
+ROW, OWN = "_row_number", "_own_row_number"
 
 
 def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, by_row, map_rows, one_per_id, texts
+from .common import ROW, as_they_were, by_row, map_rows, named, numbered, texts
 from .shingles import FOLD
 
 WINDOW, SHINGLE = 13, 3
@@ -129,15 +129,15 @@ def _matches(index):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per id: id_col, n_words, n_hit, n_items, items (as sorted strings), spans (hit word ranges), contaminated.
+    """One row per row of docs: id_col, n_words, n_hit, n_items, items (as sorted strings), spans (hit word ranges), contaminated.
 
     Null texts have no words. An item without words or without an id has no
-    windows; items of one id are taken together. Repeated ids of documents count
-    once, with their greatest text; rows without an id are left out; empty tables
-    give no rows or no hits.
+    windows; items of one id are taken together. Every document row is
+    judged by itself, also where ids are missing or repeat; empty tables give no rows or
+    no hits.
     """
     spark = docs.sparkSession
-    rows = one_per_id(docs, id_col, text_col)
+    rows, names = numbered(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).filter("item is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -160,11 +160,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         lambda acc: acc["n"],
     )
     out = found.select(F.col("id").alias(id_col), "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), F.array_sort("hit").alias("spans"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+    return named(out, names, id_col).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns, also where ids are missing or repeat."""
     rows, _ = by_row(docs, id_col, text_col)
     stay = contamination(rows.select(ROW, F.col(text_col).alias("text")), benchmark, ROW).filter("not contaminated").select(F.col(ROW).alias("_stay"))
-    return rows.join(stay, F.col(ROW) == F.col("_stay"), "left_semi").select(*docs.columns)
+    return rows.join(stay, F.col(ROW) == F.col("_stay"), "left_semi").transform(as_they_were, docs)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, ascii_lower, by_row, cut, drop_table
+from .common import ROW, as_they_were, ascii_lower, by_row, cut, drop_table
 
 BLOCK = 4096
 
@@ -71,15 +71,14 @@ def text_names(named: DataFrame) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, fingerprint=_fingerprint) -> DataFrame:
-    """One row per id: id_col, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
     Equal texts (A-Z folded; null equals empty) are one group and its largest id
-    stays. All texts of a repeated id are returned, each with its own row; rows that
-    repeat both id and text are one document. Rows without an id are read too, and
-    their ``kept`` is null. An empty table gives an empty result; other columns are
+    stays. Rows of a repeated id are returned and counted each, also where they
+    repeat the text. Rows without an id are read too, and their ``kept`` is null. An empty table gives an empty result; other columns are
     ignored.
     """
-    rows, plain = by_row(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("v0")), id_col, "v0", once=True)
+    rows, plain = by_row(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("v0")), id_col, "v0")
     named = block_names(rows.select(F.col(ROW).alias("id"), "v0"), block, fingerprint)
     whole = text_names(named).withColumn("doc", F.col("id"))
     if not plain:
@@ -97,4 +96,4 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs that stay, with all their columns: one of each group, also where ids are missing or repeat."""
     rows, _ = by_row(docs, id_col, text_col)
     stay = exact_groups(rows.select(ROW, text_col), ROW, text_col).filter("kept").select(F.col(ROW).alias("_stay"))
-    return rows.join(stay, F.col(ROW) == F.col("_stay"), "left_semi").select(*docs.columns)
+    return rows.join(stay, F.col(ROW) == F.col("_stay"), "left_semi").transform(as_they_were, docs)

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PARTS, ROW, by_row, components, count_parts, cut, drop_table, list_values, long_lists, map_rows, one_per_id, small, sum_counts, texts
+from .common import PARTS, ROW, as_they_were, by_row, components, count_parts, cut, drop_table, list_values, long_lists, map_rows, named, numbered, small, sum_counts, texts
 from .shingles import WordHashes, mix, shingle_set
 
 WORDS, PERCENT = 5, 75
@@ -309,13 +309,13 @@ def cross_links(prefix: DataFrame, centers: DataFrame, docs: DataFrame, buckets:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per id: id_col, n_shingles, component_id (the smallest id reachable by links of at least the threshold).
+    """One row per row of docs: id_col, n_shingles, component_id (the smallest id reachable by links of at least the threshold).
 
-    Null and blank texts have no shingles and stand alone. Repeated ids count
-    once, with their greatest text; rows without an id are left out; an empty
-    table gives an empty result; other columns are ignored.
+    Null and blank texts have no shingles and stand alone. Every row is
+    a document, also where ids are missing or repeat; a component without any id has a
+    null component_id; an empty table gives an empty result; other columns are ignored.
     """
-    rows = one_per_id(docs, id_col, text_col).select("id", "v0")
+    rows, names = numbered(docs, id_col, text_col)
     all_rows = cut(map_rows(rows, describe(words), "id long, n long, digest binary, bands array<long>, part int, counts binary"))
     counts = sum_counts(all_rows.filter("part is not null").select(F.lit("").alias("key"), "part", "counts"), 1 << SKETCH_BITS, np.uint8).get("", np.zeros(1 << SKETCH_BITS, np.int64))
     seen = all_rows.filter("part is null").select("id", "n", "digest", "bands")
@@ -331,13 +331,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = cross_links(prefix, group_centers(prefix), rows, 1 + held // BUCKET_TOKENS, words, percent)
     drop_table(prefix)
     roots = components(links.union(more))
-    named = classes.select("n", "digest", "id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("n", "digest", F.coalesce("root", "id").alias("root"))
-    out = seen.select("id", "n", "digest").join(cut(named), ["n", "digest"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+    by_class = classes.select("n", "digest", "id").join(roots.withColumnRenamed("v", "id"), "id", "left").select("n", "digest", F.coalesce("root", "id").alias("root"))
+    out = seen.select("id", "n", "digest").join(cut(by_class), ["n", "digest"], "left")
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+    if names is None:
+        return out
+    out = cut(named(out.withColumn("_in", F.col("component_id")), names, id_col))
+    least = out.groupBy("_in").agg(F.min(id_col).alias("component_id"))  # an id, where any row of the component has one
+    return out.drop("component_id").join(least, "_in").select(id_col, "n_shingles", "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with all their columns; one row of each, also where ids are missing or repeat."""
     rows, _ = by_row(docs, id_col, text_col)
     stay = near_groups(rows.select(ROW, text_col), ROW, text_col).filter(F.col(ROW) == F.col("component_id")).select(F.col(ROW).alias("_stay"))
-    return rows.join(stay, F.col(ROW) == F.col("_stay"), "left_semi").select(*docs.columns)
+    return rows.join(stay, F.col(ROW) == F.col("_stay"), "left_semi").transform(as_they_were, docs)

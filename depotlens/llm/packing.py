@@ -13,6 +13,7 @@ last is cut into powers of two, which need no padding.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_counts, cut, drop_table, map_rows, one_per_id, texts
+from .common import bucket_counts, cut, drop_table, map_rows, named, numbered, texts
 from .shingles import column_word_numbers, mix
 
 WINDOW, END_ID = 2048, 1
@@ -97,6 +98,11 @@ def _plain_latin(word: bytes) -> bool:
     return max(text) < "\u0250" and text == text.lower()
 
 
+def _letters_alone(word: str) -> bool:
+    """Whether a word has letters alone, also as the tokenizer normalises it: a capital may become a letter and a mark, which goes with the signs behind."""
+    return word.isalpha() and unicodedata.normalize("NFC", word.lower()).isalpha()
+
+
 class Chunks(dict):
     """Token ids by chunk; what a worker has not seen is encoded in bulk."""
 
@@ -168,7 +174,7 @@ class Chunks(dict):
             if c in plain:
                 continue
             word = c.rstrip(SIGNS)
-            if not (word.isalpha() or word.decode().isalpha()):
+            if not (word.isalpha() or _letters_alone(word.decode())):
                 apart.add(c)
                 continue
             if len(word) < len(c):
@@ -330,13 +336,12 @@ def pieces(lengths: list[int], order: list[int], window: int) -> list[tuple[int,
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per piece: id_col, start, length, doc_tokens, sequence_id, offset, and ids (little-endian unsigned 32-bit numbers).
 
-    A null or blank text is its end id alone. Repeated ids count once, with their
-    greatest text; rows without an id are left out; an empty table gives no
-    pieces; other columns are ignored. ``tokenizer`` is a file's path that every
+    A null or blank text is its end id alone. Every row is packed, also where ids
+    are missing or repeat; an empty table gives no pieces; other columns are ignored. ``tokenizer`` is a file's path that every
     executor can read (by default the installed package's).
     """
     path = tokenizer or default_tokenizer()
-    rows = one_per_id(docs, id_col, text_col)
+    rows, named_rows = numbered(docs, id_col, text_col)
 
     def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         numbers, ends = column_word_numbers(column)
@@ -403,4 +408,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             names=[id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
         )
 
-    return dealt.groupBy("shard").applyInArrow(run, f"{id_col} long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    out = dealt.groupBy("shard").applyInArrow(run, f"{id_col} long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return named(out, named_rows, id_col)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows, one_per_id, struct_lists, texts
+from .common import map_rows, named, numbered, struct_lists, texts
 from .repeats import removed_units, repeat_windows
 from .shingles import mix
 
@@ -176,13 +176,13 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, **limits) -> DataFrame:
-    """One row per id: id_col, n_bytes, n_removed, n_spans, kept (binary, the bytes that stay), kept_sha256.
+    """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept (binary, the bytes that stay), kept_sha256.
 
-    Texts are UTF-8 bytes; null is empty. Repeated ids count once, with their
-    greatest text; rows without an id are left out; an empty table gives an empty
-    result.
+    Texts are UTF-8 bytes; null is empty. Rows of one id are documents of
+    their own, in the order of their texts' hashes; rows without an id come first;
+    an empty table gives an empty result.
     """
-    rows = one_per_id(docs, id_col, text_col).select("id", "v0")
+    rows, names = numbered(docs, id_col, text_col)
     index = lambda regions: new_windows(regions, length)
     info = repeat_windows(rows, lambda t: _BYTE[np.frombuffer(t, np.uint8)], lambda t: lambda a, b: t[a:b], index, length, gram, **limits)
 
@@ -200,4 +200,5 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kinds = (None, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([v if kind is None else pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return map_rows(rows.join(info, "id", "left").select("id", "v0", "sent", "kept"), run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    out = map_rows(rows.join(info, "id", "left").select("id", "v0", "sent", "kept"), run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return named(out, names, id_col)

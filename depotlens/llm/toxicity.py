@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_counts, cut, map_rows, one_per_id, small
+from .common import bucket_counts, cut, map_rows, named, numbered, small
 
 #: Letters that digits and signs stand for in leetspeak.
 LEET = {
@@ -257,16 +257,16 @@ def fit(rows: list[list[int]], labels: list[int], n: int, ridge: float = 1e-3, r
 
 
 def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per id: id_col, score (0 to 1).
+    """One row per row of docs: id_col, score (0 to 1).
 
     ``labelled`` (id, text, toxic) is what the scorer learns from; feature counts
     use all of it, the regression at most SAMPLE rows. Null texts are empty, and
     empty texts get the score of no evidence; without labels of both kinds every
-    score is 0. Repeated ids count once, with their greatest text; rows without
-    an id are left out.
+    score is 0. Every row is scored by itself, also where ids are missing or
+    repeat.
     """
     spark = docs.sparkSession
-    rows = one_per_id(docs, id_col, text_col)
+    rows, names = numbered(docs, id_col, text_col)
 
     def trigrams(b: pa.RecordBatch):
         yield "", np.concatenate([class_trigrams(t) for t in b.column(0).to_pylist()] or [np.empty(0, np.int64)])
@@ -289,7 +289,7 @@ def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     n0, n1 = (int(x) for x in counts.get("rows", none)[:2])
     c0, c1 = counts.get("0", none), counts.get("1", none)
     if not n0 or not n1:
-        return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"))
+        return named(rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score")), names, id_col)
     ratio = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
     weight = np.where(c0 + c1 >= SUPPORT, np.abs(ratio) / np.sqrt(1 / (c0 + 0.5) + 1 / (c1 + 0.5)), 0)
     keep = np.sort(np.argsort(-weight, kind="stable")[:FEATURES])
@@ -314,7 +314,7 @@ def toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
             z = [bias + float(weights.value[words.of(channel.restore(t))].sum()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))), pa.float64())], names=[id_col, "score"])
 
-    return map_rows(rows, score, f"{id_col} long, score double")
+    return named(map_rows(rows, score, f"{id_col} long, score double"), names, id_col)
 
 
 #: Labels (16 bytes each) that may be broadcast to the documents, checked by a count.

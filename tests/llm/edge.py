@@ -28,9 +28,9 @@ def documents(n=60, seed=5):
 
 
 def frame(spark, rows=None):
-    """With columns whose names clash with the operators' own, and an exact repeat of one row."""
+    """With columns whose names clash with the operators' own."""
     rows = documents() if rows is None else rows
-    data = [(i, t, "k", i, i % 3, "x") for i, t in rows] + ([(rows[0][0], rows[0][1], "k", 0, 0, "x")] if rows else [])
+    data = [(i, t, "k", i, (i or 0) % 3, "x") for i, t in rows]
     return spark.createDataFrame(data, "doc_id long, text string, id string, n long, v0 int, kept string")
 
 
@@ -90,3 +90,10 @@ def benchmark_hits(rows, items, size=13):
                     found |= windows[tuple(w[k : k + n])]
         out[i] = (len(w), sum(hit), len(found), sum(hit) > 0 and 20 * sum(hit) >= len(w))
     return out
+
+
+def unruly():
+    """Rows without ids, with repeated ids, and repeated rows: each is a document of its own."""
+    words = [f"w{k}" for k in range(40)]
+    long, other = " ".join(words), " ".join(words[20:] + words[:5])
+    return [(None, long), (None, long), (None, None), (1, long), (1, long), (1, other), (1, ""), (2, other.upper()), (2, other.upper()), (3, "lonely text of its own"), (None, "12 !!"), (4, None), (4, None)]

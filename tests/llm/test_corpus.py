@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from edge import FOLD, benchmark_hits, documents, frame, near_components, repeats
+from edge import FOLD, benchmark_hits, documents, frame, near_components, repeats, unruly
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
@@ -55,6 +55,39 @@ def test_rows_without_ids_and_with_repeated_ones(spark):
     assert left(language.keep_identified(df)) == order((i, x.lower()) for i, x in rows if x and x != "12 3")  # also where no lang is known
 
 
+def test_every_row_is_a_document(spark):
+    """Ids that are missing or repeat, and repeated rows, through every operator on documents: no row is lost or merged."""
+    rows = unruly()
+    df = spark.createDataFrame([(i, t, "en", 7, 8) for i, t in rows], "doc_id long, text string, lang string, _row_number int, id int")
+    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(13)))], "item_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 5)], "doc_id long, quality int, toxic int")
+    ids = sorted((str(i) for i, _ in rows))
+    seen = lambda out: sorted(str(r.doc_id) for r in out.collect())
+    hit = contamination.contamination(df, items)
+    assert seen(hit) == ids and hit.filter("n_hit = 13").count() == 4
+    words, chars = automaton.dedup_words(df), suffixes.dedup_bytes(df)
+    assert seen(words) == seen(chars) == ids
+    assert sorted(r.n_removed for r in words.filter("n_words = 40").collect()) == [0, 40, 40, 40]
+    assert [r.n_removed for r in words.filter("n_words = 40 AND doc_id IS NULL").orderBy("n_removed").collect()] == [0, 40]
+    groups = exact.exact_groups(df)
+    assert seen(groups) == ids and sorted(r.group_size for r in groups.collect()) == sorted([4] * 4 + [4] * 4 + [3] * 3 + [1, 1])
+    near = jaccard.near_groups(df)
+    assert seen(near) == ids and {r.component_id for r in near.filter("n_shingles = 36").collect()} == {1}
+    assert seen(toxicity.score_documents(df, labels)) == seen(language.identify_documents(df)) == ids
+    packed = packing.pack(df)
+    assert seen(packed.filter("start = 0")) == ids and packed.agg(F.sum("length")).first()[0] == packed.filter("start = 0").agg(F.sum("doc_tokens")).first()[0]
+    for stage in (exact.drop_exact(df), jaccard.drop_near(df), contamination.drop_contaminated(df, items), language.keep_identified(df)):
+        assert stage.columns == df.columns and {r._row_number for r in stage.collect()} == {7}
+
+
+def test_a_dirty_language_column(spark, monkeypatch):
+    """More labels than a model holds: those of few rows are dirt, the others are learned."""
+    monkeypatch.setattr(language, "MOST", 4)
+    rows = [(f"the cat sat on the mat {i}", "en") for i in range(40)] + [(f"die katze sass auf der matte {i}", "de") for i in range(40)] + [(f"text {i}", f"dirt{i}") for i in range(9)]
+    langs, p = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert langs == ["de", "en"] and len(p) == 2
+
+
 # near duplicates
 
 
@@ -186,7 +219,7 @@ def test_packing_is_an_exact_round_trip(spark):
 def test_chunks_have_the_ids_of_the_whole_text(monkeypatch):
     """Also where the cache is emptied between texts, and for letters that normalising splits or folds."""
     monkeypatch.setattr(packing, "CACHE", 12)
-    rows = ["", " ", "<|endoftext|> Hi", "İstanbul ΣΑΣ ς", "שׁ x", "don't it's I'LL", "a.b, c., 3.14, ..", "été. ſtraße ǅ", "wo.$$$ x'y' it's, e\u0301!! a<|b|> l'\u00e9t\u00e9&&& 'tis don't.. co-op-", "\u00a0nbsp\u2003em", "𝒜bc 漢字 가각", "a\x1cb\x85c", "plain words, and plain words again."]
+    rows = ["", " ", "<|endoftext|> Hi", "İstanbul ΣΑΣ ς", "İ> aİ.! KENDİ) İ", "שׁ x", "don't it's I'LL", "a.b, c., 3.14, ..", "été. ſtraße ǅ", "wo.$$$ x'y' it's, e\u0301!! a<|b|> l'\u00e9t\u00e9&&& 'tis don't.. co-op-", "\u00a0nbsp\u2003em", "𝒜bc 漢字 가각", "a\x1cb\x85c", "plain words, and plain words again."]
     chunks = packing.Chunks(packing.default_tokenizer())
     rows += ["seventeen-letters-and-more " * 3 + "sevent" + "e" * 60, "a\x00 a \x00a ab\x00", "x" * 16 + " " + "x" * 17]
     want = [[*chunks.tokenizer.encode(text, add_special_tokens=False).ids, 1] for text in rows]
