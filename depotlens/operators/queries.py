@@ -32,7 +32,9 @@ def list_scans(scans: DataFrame, meta: DataFrame, page: int, as_of: datetime) ->
     m = meta.select(F.col("scan_id").alias("_scan"), "name", "search_path", "search_filter")
     m = m.join(first.select(F.col("id").alias("_id")), F.col("_scan") == F.col("_id"), "left_semi")
     end = F.coalesce("scan_end_time", F.lit(as_of).cast("timestamp_ntz"))
-    return page_of(first.join(m, F.col("id") == F.col("_scan"), "left"), "id", page).select(
+    lines = first.join(m, F.col("id") == F.col("_scan"), "left")
+    order = [F.col(c).asc_nulls_last() for c in ("id", "search_path", "search_filter", "name")]  # lines of one scan have an order too
+    return lines.orderBy(*order).offset((page - 1) * PAGE_SIZE).limit(PAGE_SIZE).select(
         "id",
         "scan_type",
         C.utc_to_local("created_on").alias("created_on"),

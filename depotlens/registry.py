@@ -55,9 +55,9 @@ def list_files_page(s, d):
     return Q.list_of_scan(X.files(s, d), 3, 2).select("id", "name", "path", "size", "md5hash", "scan_id")
 
 
-@query("list_scans_page", f"SELECT s.id, scan_type, {LA.format('created_on')} AS created_on, {LA.format('scan_start_time')} AS scan_start_time, scan_end_time, concat(search_path, search_filter) AS metadata, date_diff('microsecond', scan_start_time, coalesce(scan_end_time, TIMESTAMP '2024-06-01')) // 1000 AS duration_ms FROM {SCANS} s LEFT JOIN (SELECT * FROM {META} WHERE search_path <> 'second') m ON s.id = m.scan_id ORDER BY s.id LIMIT 10 OFFSET 20")
+@query("list_scans_page", f"SELECT s.id, scan_type, {LA.format('created_on')} AS created_on, {LA.format('scan_start_time')} AS scan_start_time, scan_end_time, concat(search_path, search_filter) AS metadata, date_diff('microsecond', scan_start_time, coalesce(scan_end_time, TIMESTAMP '2024-06-01')) // 1000 AS duration_ms FROM {SCANS} s LEFT JOIN {META} m ON s.id = m.scan_id ORDER BY s.id, search_path, search_filter, name LIMIT 10 OFFSET 20")
 def list_scans_page(s, d):
-    return Q.list_scans(X.scans(s, d), X.scan_metadata(s, d).filter("search_path <> 'second'"), 3, AS_OF)
+    return Q.list_scans(X.scans(s, d), X.scan_metadata(s, d), 3, AS_OF)
 
 
 @query("scan_listing_fanout", f"SELECT s.id, count(*) AS listed FROM {SCANS} s LEFT JOIN {META} m ON s.id = m.scan_id GROUP BY s.id HAVING count(*) > 1")
