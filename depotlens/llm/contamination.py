@@ -6,129 +6,164 @@ window, so its rarest one is its necessary prefix: texts are joined to windows o
 that token, places where the window would leave the text are ruled out, and the
 rest is compared word by word.
 
-The benchmark's index is broadcast in blocks of bounded size, with one pass over
-the texts for each block.
+Windows are rows like any other, so a large benchmark spreads over tasks. Tasks
+that read texts hold a Bloom filter of the benchmark's tokens, of at most
+2**FILTER_BITS bits: it only saves rows, what it lets through in vain finds no partner
+in the join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, as_they_were, by_row, map_rows, named, numbered, texts
-from .shingles import FOLD
+from .common import ROW, as_they_were, by_row, cut, long_lists, map_rows, named, numbered, texts
+from .shingles import FOLD, WordHashes, mix, windows
 
 WINDOW, SHINGLE = 13, 3
-#: Bytes of benchmark texts in one block, and so in one broadcast index.
-BLOCK_BYTES = 8_000_000
+#: A filter has at most 2**28 bits (32 MB), in PIECES pieces, and PROBES bits for each token.
+FILTER_BITS, PIECES, PROBES = 28, 64, 4
+#: Windows in one Arrow batch.
+CHUNK = 2000
+
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
-class Index:
-    """The windows of a block of items, found by one shingle each."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            w = [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in words_of(text)]
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                self.items.setdefault(tuple(w[i : i + window]), set()).add(item)
-        self.base = len(self.vocabulary) + 1
-        self.windows = [np.array(w, np.int64) for w in self.items]
-        self.owners = [sorted(x) for x in self.items.values()]
-        self.tokens: np.ndarray = np.unique(np.concatenate([self.shingles(w)[1] for w in self.windows] or [np.empty(0, np.int64)]))
-        self.at: dict[int, list[tuple[int, int]]] = {}
-
-    def shingles(self, w: np.ndarray) -> tuple[int, np.ndarray]:
-        """Width and codes of a window's shingles; a short window has narrower ones."""
-        q = min(SHINGLE, len(w))
-        return q, self.codes(w, q)
-
-    def codes(self, w: np.ndarray, q: int) -> np.ndarray:
-        n = len(w) - q + 1
-        code = np.zeros(max(n, 0), np.int64)
-        known = np.ones(max(n, 0), bool)
-        for i in range(q):
-            part = w[i : i + n] if n > 0 else w[:0]
-            code = code * self.base + part + 1
-            known &= part >= 0
-        return np.where(known, code, -1)
-
-    def name(self, text: bytes | None) -> tuple[int, np.ndarray]:
-        words = words_of(text)
-        return len(words), np.fromiter((self.vocabulary.get(x, -1) for x in words), np.int64, len(words))
-
-    def found(self, w: np.ndarray) -> np.ndarray:
-        """The distinct tokens of the block that a text holds."""
-        out = [np.unique(self.codes(w, q)) for q in range(1, SHINGLE + 1)] if (w >= 0).any() else []
-        hit = [x[np.isin(x, self.tokens, assume_unique=True)] for x in out]
-        return np.unique(np.concatenate(hit)) if hit else np.empty(0, np.int64)
-
-    def order(self, counts: dict[int, int]) -> None:
-        """Choose each window's rarest shingle, ties by code and place."""
-        for k, w in enumerate(self.windows):
-            q, codes = self.shingles(w)
-            best = min(range(len(codes)), key=lambda i: (counts.get(int(codes[i]), 0), int(codes[i]), i))
-            self.at.setdefault(int(codes[best]), []).append((k, best))
-        self.prefix = np.array(sorted(self.at), np.int64)
-
-    def match(self, w: np.ndarray) -> tuple[np.ndarray, set[str]]:
-        """Which words of a text lie in an occurrence of a window, and of which items."""
-        hit = np.zeros(len(w) + 1, np.int32)
-        items: set[str] = set()
-        if len(self.prefix) and (w >= 0).any():
-            for q in range(1, SHINGLE + 1):
-                codes = self.codes(w, q)
-                place = np.searchsorted(self.prefix, codes)
-                place[place == len(self.prefix)] = 0
-                for i in np.flatnonzero(self.prefix[place] == codes).tolist():
-                    for k, offset in self.at[int(codes[i])]:
-                        start, window = i - offset, self.windows[k]
-                        if start >= 0 and start + len(window) <= len(w) and (w[start : start + len(window)] == window).all():
-                            hit[start] += 1
-                            hit[start + len(window)] -= 1
-                            items.update(self.owners[k])
-        return np.cumsum(hit[:-1]) > 0, items
-
-
-def _counts(index):
+def codes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A token for each run of ``width`` words; equal runs have equal tokens, the reverse is checked later."""
+    return windows(hashes, width) + np.uint64(width) if len(hashes) >= width else hashes[:0]
+
+
+class TokenFilter:
+    """Which tokens may be in a set: no false negatives."""
+
+    def __init__(self, bits: np.ndarray, log: int):
+        self.bits, self.log = bits, log
+
+    @staticmethod
+    def bit(token: np.ndarray, probe: int, log: int) -> np.ndarray:
+        return mix(token + np.uint64(probe * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(64 - log)
+
+    def places(self, tokens: np.ndarray) -> np.ndarray:
+        at = np.arange(len(tokens))
+        for probe in range(PROBES):
+            bit = self.bit(tokens[at], probe, self.log)
+            at = at[(self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        return at
+
+
+def token_filter(tokens: DataFrame, most: int = FILTER_BITS) -> TokenFilter:
+    """The filter of a column of tokens. Its bits are set on the executors; the driver gets 2**most of them at most."""
+    log = min(most, max(16, (32 * tokens.count()).bit_length()))
+    size = (1 << log) // PIECES
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            token = b.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([TokenFilter.bit(token, k, log) for k in range(PROBES)]).astype(np.int64))], names=["bit"])
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        piece = np.zeros(size, np.uint8)
+        piece[pdf["bit"].to_numpy() % size] = 1
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "bits": [np.packbits(piece, bitorder="little").tobytes()]})
+
+    placed = map_rows(tokens, bits, "bit long").distinct().withColumn("piece", F.floor(F.col("bit") / size))
+    out = np.zeros(1 << log >> 3, np.uint8)
+    for r in placed.groupBy("piece").applyInPandas(fill, "piece long, bits binary").collect():
+        out[r.piece * size // 8 : (r.piece + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
+    return TokenFilter(out, log)
+
+
+def _cut_items(window: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        hashes = WordHashes()
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                words = words_of(text)
+                n = min(window, len(words))
+                width = min(SHINGLE, n)
+                tokens = codes(hashes.of(words), width).view(np.int64) if words else []
+                for a in range(len(words) - n + 1 if words else 0):
+                    yield item, words[a : a + n], tokens[a : a + n - width + 1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(len(index.value.tokens), np.int64)
+        for part in batched(each(batches), CHUNK):
+            item, words, tokens = zip(*part)
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(words, pa.list_(pa.binary())), long_lists(list(tokens))], names=["item", "words", "tokens"])
+
+    return run
+
+
+def _counts(known, widths: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
+            held = [np.empty(0, np.uint64)]
             for text in texts(b.column(1)):
-                found = index.value.found(index.value.name(text)[1])
-                held[np.searchsorted(index.value.tokens, found)] += 1
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(index.value.tokens[some]), pa.array(held[some])], names=["token", "n"])
+                h = hashes.of(words_of(text))
+                for width in widths:
+                    token = codes(h, width)
+                    held.append(np.unique(token[known.value.places(token)]))
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 
     return run
 
 
-def _matches(index):
+def _places(prefix, widths: list[int], window: int):
+    hit = pa.struct([("at", pa.int64()), ("token", pa.int64()), ("lead", pa.int32()), ("around", pa.list_(pa.binary()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
-            out = {"id": b.column(0), "n_words": [], "hit": [], "items": []}
+            sizes, hits = [], []
             for text in texts(b.column(1)):
-                n, w = index.value.name(text)
-                hit, items = index.value.match(w)
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-                out["n_words"].append(n)
-                out["hit"].append([{"a": a, "b": e} for a, e in edge.reshape(-1, 2).tolist()])
-                out["items"].append(sorted(items))
-            span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([out["id"], pa.array(out["n_words"], pa.int64()), pa.array(out["hit"], span), pa.array(out["items"], pa.list_(pa.string()))], names=list(out))
+                words = words_of(text)
+                h, mine = hashes.of(words), []
+                for width in widths:
+                    token = codes(h, width)
+                    for at in prefix.value.places(token).tolist():
+                        first = max(0, at - window + 1)
+                        mine.append({"at": at, "token": int(token[at].view(np.int64)), "lead": at - first, "around": words[first : at + window]})
+                sizes.append(len(words))
+                hits.append(mine)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(hit))], names=["id", "n_words", "hits"])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matches(rows: DataFrame, items: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """(id, n_words) of all rows (id, text), and (id, a, b, item): the words [a, b) are a window of that item (item, text)."""
+    share = rows.sparkSession.sparkContext.broadcast
+    cuts = cut(map_rows(items, _cut_items(window), "item string, words array<binary>, tokens array<long>"))
+    widths = sorted(r[0] for r in cuts.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect())
+    known = share(token_filter(cuts.select(F.explode("tokens").alias("token")).distinct(), filter_bits))
+    counted = map_rows(rows, _counts(known, widths), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    # a window with a shingle that no text holds is in no text: the inner minimum below drops it
+    placed = cuts.dropDuplicates(["words"]).select("words", F.posexplode("tokens").alias("place", "token")).join(counted, "token", "left")
+    rarest = placed.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "place")).alias("r"))
+    prefix = cut(rarest.filter("r.n > 0").select("words", F.size("words").alias("size"), "r.token", "r.place"))
+    chosen = share(token_filter(prefix.select("token").distinct(), filter_bits))
+    found = cut(map_rows(rows, _places(chosen, widths, window), "id long, n_words long, hits array<struct<at:bigint,token:bigint,lead:int,around:array<binary>>>"))
+    skip = F.col("lead") - F.col("place")
+    met = (
+        found.select("id", F.explode("hits").alias("h")).select("id", "h.*").join(prefix, "token")
+        .filter((skip >= 0) & (skip + F.col("size") <= F.size("around")))
+        .filter(F.slice("around", F.greatest(skip, F.lit(0)) + 1, F.col("size")) == F.col("words"))
+        .select("id", (F.col("at") - F.col("place")).alias("a"), (F.col("at") - F.col("place") + F.col("size")).alias("b"), "words")
+    )
+    return found.select("id", "n_words"), cut(met).join(cuts.select("words", "item").distinct(), "words").select("id", "a", "b", "item")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_hit, n_items, items (as sorted strings), spans (hit word ranges), contaminated.
 
     Null texts have no words. An item without words or without an id has no
@@ -136,30 +171,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     judged by itself, also where ids are missing or repeat; empty tables give no rows or
     no hits.
     """
-    spark = docs.sparkSession
     rows, names = numbered(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).filter("item is not null and text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    parts = []
-    for k in range(blocks):
-        mine = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        index = Index([(r.item, bytes(r.text)) for r in mine.collect()], window)
-        counted = map_rows(rows, _counts(spark.sparkContext.broadcast(index)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        index.order({r.token: r.n for r in counted.collect()})
-        parts.append(map_rows(rows, _matches(spark.sparkContext.broadcast(index)), "id long, n_words long, hit array<struct<a:bigint,b:bigint>>, items array<string>"))
-    found = parts[0]
-    if blocks > 1:
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    covered = F.aggregate(
-        F.array_sort("hit"),
-        F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
-        lambda acc, s: F.struct(F.greatest(acc["end"], s["b"]).alias("end"), (acc["n"] + F.greatest(F.lit(0).cast("long"), s["b"] - F.greatest(acc["end"], s["a"]))).alias("n")),
-        lambda acc: acc["n"],
+    sizes, found = matches(rows, items, window, filter_bits)
+    before = Window.partitionBy("id").orderBy("a")
+    apart = F.col("a") > F.max("b").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.groupBy("id", "a").agg(F.max("b").alias("b")).withColumn("new", F.coalesce(apart, F.lit(False)).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(before)).groupBy("id", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    hit = runs.groupBy("id").agg(F.sum(F.col("b") - F.col("a")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    whose = found.select("id", "item").distinct().groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = sizes.join(hit, "id", "left").join(whose, "id", "left").select(
+        F.col("id").alias(id_col),
+        "n_words",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"),
     )
-    out = found.select(F.col("id").alias(id_col), "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), F.array_sort("hit").alias("spans"))
     return named(out, names, id_col).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 

@@ -183,13 +183,28 @@ def test_suffix_array_is_the_sorted_suffixes():
 # decontamination
 
 
-@pytest.mark.parametrize("block", [8_000_000, 60])
-def test_contamination(spark, block):
+@pytest.mark.parametrize("bits", [28, 9])  # a filter of 512 bits lets most tokens through
+def test_contamination(spark, bits):
     rows = documents()
     text = rows[1][1].split(" ")
     items = [(1, " ".join(text[3:40])), (2, "one TWO three"), (3, None), (4, "!!"), (5, "w1"), (10, " ".join(text[10:23])), (10, "é")]
-    got = contamination.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    got = contamination.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), filter_bits=bits)
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got.collect()} == benchmark_hits(rows, items)
+    assert all(r.n_hit == sum(s.b - s.a for s in r.spans) and all(x.b < y.a for x, y in zip(r.spans, r.spans[1:])) for r in got.collect())
+
+
+def test_contamination_by_shared_windows_and_without_rows(spark):
+    """A window that many items and many documents share, items of one window in a third of all rows, and empty tables."""
+    w = [f"q{k}" for k in range(30)]
+    items = [(k, " ".join(w[:20])) for k in range(40)] + [(99, " ".join(w[10:30])), (None, " ".join(w)), (7, "")]
+    rows = [(k, " ".join(w[k % 7 :] + [f"own{k}"] * (k % 50))) for k in range(200)] + [(500, "q0 " * 5000)]
+    rows, items = [(i, x) for i, x in rows], [(i, x) for i, x in items]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in contamination.contamination(frame(spark, rows), table).collect()}
+    assert got == benchmark_hits(rows, [x for x in items if x[0] is not None])
+    none = contamination.contamination(frame(spark, rows[:3]), table.limit(0)).collect()
+    assert [(r.n_hit, r.n_items, list(r.items), r.contaminated) for r in none] == [(0, 0, [], False)] * 3
+    assert contamination.contamination(frame(spark, []), table).isEmpty()
 
 
 # packing
