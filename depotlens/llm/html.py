@@ -1,9 +1,9 @@
 """Main text of web pages.
 
 A page is cut into flat text blocks. A block is described by its words and link
-density, those of the blocks before and after it, and whether it lies in an
-article or in a part named as something else. A decision tree, grown on the small
-labelled table below, tells which blocks are main text.
+density, those of the blocks before and after it, whether it lies in an article or
+in a part named as something else, and how much of the page lies in an article. A
+decision tree, grown on the small labelled table below, tells which blocks are main text.
 """
 
 from __future__ import annotations
@@ -41,34 +41,80 @@ _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
 
-FEATURES = ("words", "links", "before", "before_links", "after", "after_links", "main", "other", "page_main")
-
-#: The labelled table: features in the order of FEATURES, then 1 for main text.
-EXAMPLES = (
-    # articles that are marked as such, with short and long blocks
-    (9, 0.0, 6, 1.0, 120, 0.0, 1, 0, 1, 1), (120, 0.0, 9, 0.0, 45, 0.1, 1, 0, 1, 1), (1, 0.0, 45, 0.0, 60, 0.0, 1, 0, 1, 1),
-    (2, 0.0, 1, 0.0, 3, 0.0, 1, 0, 1, 1), (45, 0.1, 120, 0.0, 1, 0.0, 1, 0, 1, 1), (12, 0.6, 50, 0.0, 70, 0.0, 1, 0, 1, 1),
-    (4, 1.0, 30, 0.0, 80, 0.0, 1, 0, 1, 1), (300, 0.0, 1, 0.0, 12, 0.5, 1, 0, 1, 1), (6, 0.0, 200, 0.0, 5, 0.2, 1, 0, 1, 1),
-    (30, 0.0, 4, 1.0, 4, 1.0, 1, 0, 1, 1), (8, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 1), (15, 0.3, 8, 1.0, 2, 0.0, 1, 0, 1, 1),
-    # menus, adverts, footers, forms, comments, on pages with and without a marked article, and inside one
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 1, 1, 0), (9, 0.0, 1, 1.0, 9, 0.0, 0, 1, 1, 0),
-    (25, 0.0, 1, 1.0, 12, 0.0, 0, 1, 1, 0), (14, 0.0, 60, 0.0, 0, 0.0, 0, 1, 1, 0), (60, 0.0, 20, 0.0, 40, 0.0, 1, 1, 1, 0),
-    (20, 0.1, 60, 0.0, 35, 0.0, 1, 1, 1, 0), (5, 0.5, 120, 0.0, 4, 1.0, 1, 1, 1, 0), (80, 0.0, 70, 0.0, 90, 0.0, 1, 1, 1, 0),
-    (3, 1.0, 2, 1.0, 3, 1.0, 0, 1, 0, 0), (30, 0.0, 3, 1.0, 50, 0.0, 0, 1, 0, 0), (70, 0.0, 40, 0.0, 20, 0.1, 0, 1, 0, 0),
-    (12, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0), (150, 0.0, 6, 0.0, 20, 0.0, 0, 1, 0, 0), (150, 0.0, 90, 0.0, 60, 0.0, 0, 1, 1, 0),
-    # blocks beside a marked article
-    (10, 0.0, 8, 1.0, 12, 0.0, 0, 0, 1, 0), (40, 0.0, 2, 1.0, 9, 0.0, 0, 0, 1, 0), (3, 1.0, 4, 1.0, 9, 0.0, 0, 0, 1, 0),
-    (90, 0.0, 30, 0.0, 10, 0.2, 0, 0, 1, 0), (2, 0.0, 50, 0.0, 0, 0.0, 0, 0, 1, 0), (16, 0.5, 60, 0.0, 3, 1.0, 0, 0, 1, 0),
-    # pages without a marked article: long blocks and what stands between them are text, link lists are not
-    (60, 0.0, 5, 1.0, 80, 0.0, 0, 0, 0, 1), (25, 0.05, 60, 0.0, 30, 0.0, 0, 0, 0, 1), (12, 0.0, 40, 0.0, 50, 0.0, 0, 0, 0, 1),
-    (3, 0.0, 50, 0.0, 70, 0.0, 0, 0, 0, 1), (6, 0.0, 3, 1.0, 90, 0.0, 0, 0, 0, 1), (5, 0.0, 20, 0.0, 25, 0.0, 0, 0, 0, 1),
-    (35, 0.2, 10, 0.0, 6, 0.5, 0, 0, 0, 1), (18, 0.0, 12, 0.0, 5, 1.0, 0, 0, 0, 1), (200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (10, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 1), (14, 0.0, 2, 1.0, 16, 0.0, 0, 0, 0, 1), (8, 0.0, 15, 0.0, 14, 0.0, 0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (4, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0, 0), (5, 0.8, 50, 0.0, 4, 1.0, 0, 0, 0, 0),
-    (20, 0.7, 30, 0.0, 25, 0.8, 0, 0, 0, 0), (12, 0.5, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (2, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (3, 0.0, 2, 0.5, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0), (6, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (40, 0.9, 40, 0.0, 40, 0.9, 0, 0, 0, 0), (9, 0.6, 80, 0.0, 90, 0.0, 0, 0, 0, 0), (2, 1.0, 80, 0.0, 90, 0.0, 0, 0, 0, 0),
+FEATURES = ("words", "links", "before", "before_links", "after", "after_links", "main", "other", "main_share")
+
+#: The labelled table, page by page. A block is written as its words, /linked words, and + for main text; m and o
+#: before it say that it lies in a part named as main text or as something else.
+MARKED = (
+    "o1/1 o1/1 o1/1 o1/1 o9 m6+ m120+ m45+ m1+ m60+ m30+ o10",
+    "o2/2 o1/1 o2/2 o14 m9+ m2+ m80+ m200/4+ m3+ m25+ o12",
+    "o1/1 o1/1 5 m7+ m40+ m12/6+ m70+ m4+ m16+ 6 o8",
+    "3/3 2/2 2/2 m8+ m55+ m4/4+ m90+ m3+ o60 o20 o35 5",
+    "o1/1 o2/2 m5+ m300+ o25 m150+ m8+ o4/4 o3/3 o5/5 o11",
+    "1/1 1/1 40 m6+ m35+ m28+ m2+ m110+ 16/8 3/3 4/4 2/2 o9",
+    "o6 m8+ o5",
+    "o1/1 o1/1 m3+ m1+ m2+ m12+ m5+ m1+ o7",
+    "o2/2 o30 m10+ m70+ 30 m65+ m14/5+ m20+ o150 o70",
+    "o1/1 o1/1 m5+ m4/4 m3/3 m5/5 m4/4 m60+ m85+ m9+ o6",
+    "4 m7+ m90+ m40+ 12 8 o4",
+    "o3/3 9 3/3 m6+ m50+ m2+ m75+ 20 90 o12",
+    "o1/1 o1/1 m4+ m70+ m2+",
+    "o2/2 m7+ m45+ m110+",
+    "m9+ m60+ m1+",
+    "m30+",
+    "m3+ m5+",
+    "o1/1 m6+ m35+ m40+ m8+ 3",
+)
+PLAIN = (
+    "1/1 1/1 1/1 2/2 300+ 4",
+    "2/2 1/1 3/3 6+ 90+ 60+ 25/1+ 3/3 2/2 2/2 5",
+    "4 2/2 2/2 2/2 9+ 70+ 12+ 45+ 5+ 120+ 3/3 4/4",
+    "1/1 1/1 8+ 35/7+ 18+ 50+ 3+ 40+ 2/2 2/2 6/2 4",
+    "o3/3 o4 7+ 30+ 22+ 26+ o12 o20/2 o5",
+    "3/3 20/14 5/4 4/4 10+ 200+ 80+ 12/12 9/6 6/6 3",
+    "5/5 3/3 4/4 5/4 2/2 6/6 2",
+    "1/1 3 1/1 11+ 15+ 14+ 16+ 40+ 1/1 2/2 3",
+    "2/2 2/2 4+ 100+ 40/36 85+ 2/2 80+ 3/3 3/3",
+    "o30 o1/1 7+ 24+ 6+ 33+ o150 o70 3/3",
+    "2/2 3 6/6 9+ 65+ 4/4 75+ 10+ 55+ 1/1 1/1 5",
+    "150+ 40+ 65+ 2/2 1/1",
+    "1/1 2/2 2/2 5+ 60+ 3+ 45+ 4+ 80+ 7/7 6/6",
+    "m6+ m9/3+ 1/1 8+ 120+ 90+ 60+ 4/4 o9",
+    "6+ 80+ 60+",
+    "1/1 1/1 2/2 5+ 45+ 30+ 75+",
+    "o4/4 7+ 55+ 90+",
+    "150+",
+    "25+",
+    "3+",
+    "4/4 3/3 9+ 120+ 5+ 60+ 4",
 )
+_BLOCK = re.compile(r"([mo]?)(\d+)(?:/(\d+))?(\+?)")
+
+
+def features(words: list[int], linked: list[int], main: list[bool], other: list[bool]) -> np.ndarray:
+    """A row of FEATURES for each block of a page; what is before the first and after the last block has no words.
+
+    ``main_share`` is the part of the words outside other parts that lies in parts named as main text.
+    """
+    n, named = np.array(words, float), np.array(main, bool) & ~np.array(other, bool)
+    density = np.divide(linked, n, out=np.zeros(len(n)), where=n > 0)
+    whole = n[~np.array(other, bool)].sum()
+    share = n[named].sum() / whole if whole else 0.0
+    near = lambda x, k: np.concatenate(([0.0], x[:-1])) if k < 0 else np.concatenate((x[1:], [0.0]))
+    return np.column_stack((n, density, near(n, -1), near(density, -1), near(n, 1), near(density, 1), main, other, np.full(len(n), share)))
+
+
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the labelled pages, each also with its longer blocks at half and at twice their words."""
+    x, y = [], []
+    for page in MARKED + PLAIN:
+        found = [(k, int(n), int(a or 0), bool(plus)) for k, n, a, plus in _BLOCK.findall(page)]
+        for scale in (1.0, 0.5, 2.0):
+            size = [(round(n * scale), round(a * scale)) if n >= 20 else (n, a) for _, n, a, _ in found]
+            x.append(features([n for n, _ in size], [a for _, a in size], [f[0] == "m" for f in found], [f[0] == "o" for f in found]))
+            y.append([f[3] for f in found])
+    return np.concatenate(x), np.concatenate(y).astype(float)
+
 
 Tree = tuple | float
 
@@ -92,9 +138,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Tree:
     return f, t, grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
 
 
-def default_tree(examples=EXAMPLES) -> Tree:
-    table = np.array(examples, float)
-    return grow(table[:, :-1], table[:, -1])
+def default_tree() -> Tree:
+    return grow(*labelled())
 
 
 def decide(tree: Tree, row: tuple[float, ...]) -> bool:
@@ -190,15 +235,10 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
 def main_text(page: str | None, tree: Tree) -> str:
     """The blocks that the tree takes for main text, one to a line."""
     found = blocks(page or "")
-    page_main = float(any(b[3] and not b[4] for b in found))
-    none = ("", 0, 0, False, False)
-    density = lambda b: b[2] / b[1] if b[1] else 0.0
-    out = []
-    for k, b in enumerate(found):
-        p, n = found[k - 1] if k else none, found[k + 1] if k + 1 < len(found) else none
-        if decide(tree, (b[1], density(b), p[1], density(p), n[1], density(n), float(b[3]), float(b[4]), page_main)):
-            out.append(b[0])
-    return "\n".join(out)
+    if not found:
+        return ""
+    text, *columns = zip(*found)
+    return "\n".join(x for x, row in zip(text, features(*columns).tolist()) if decide(tree, row))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tree: Tree | None = None) -> DataFrame:

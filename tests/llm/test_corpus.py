@@ -334,6 +334,61 @@ def test_long_stretches_are_restored():
 # html
 
 
+def _say(n, word="word"):
+    return " ".join([word] * n)
+
+
+_LIST = "<ul><li><a href=a>Home</a></li><li><a href=b>About us</a></li><li><a href=c>Contact</a></li></ul>"
+_A, _B, _C = _say(90, "alpha"), _say(45, "beta"), _say(28, "gamma")
+#: Pages without a marked article, and their main text, written by hand.
+PLAIN_PAGES = [
+    (f"{_LIST}<p>{_say(300)}</p><p>All rights reserved</p>", _say(300)),
+    (f"<div>{_LIST}</div><h1>A small headline here</h1><div>{_A}</div><div>{_B}</div>{_LIST}", f"A small headline here\n{_A}\n{_B}"),
+    (f"<h2>Heading of the text here below</h2><p>{_A}<p>{_C}<p>{_B}", f"Heading of the text here below\n{_A}\n{_C}\n{_B}"),
+    (f"<table><tr><td>{_LIST}</td><td><p>{_A}</p><p>Short.</p><p>{_B}</p></td></tr></table>", f"{_A}\nShort.\n{_B}"),
+    (f"<div class=banner>{_A}</div><div>{_B}</div><div>{_C}</div><div id=comments><p>{_A}</p></div>", f"{_B}\n{_C}"),
+    (f"<nav>{_LIST}</nav><blockquote>{_B}</blockquote><pre>{_C}</pre><form>{_A}</form>", f"{_B}\n{_C}"),
+    (f"<p>{_C} <a href=x>with one link</a> {_C}</p><p>{_A}</p><p><a href=1>more</a> <a href=2>and more of this</a></p>", f"{_C} with one link {_C}\n{_A}"),
+    (f"{_LIST}{_LIST}{_LIST}", ""),
+    (f"<p>{_A}</p><ol><li>{_C}</li><li>{_B}</li></ol>{_LIST}<p>Imprint</p>", f"{_A}\n{_C}\n{_B}"),
+    (f"<div>{_A}<br>{_B}</div><script>{_C}</script><style>{_C}</style>", f"{_A} {_B}"),
+    (f"{_LIST}<p>{_A}</p><p><a href=z>Read this as well</a></p><p>{_B}</p><p>{_C}</p>", f"{_A}\n{_B}\n{_C}"),
+    (f"<p>{_A}</p><aside>{_B}</aside><p>{_C}</p><div role=contentinfo>{_C}</div>", f"{_A}\n{_C}"),
+]
+
+
+@pytest.mark.parametrize("page, want", PLAIN_PAGES)
+def test_text_without_a_marked_article(page, want):
+    assert html.main_text(page, html.default_tree()) == want
+    assert html.main_text(f"<html><body class=page><div><div>{page}</div></div></body></html>", html.default_tree()) == want
+
+
+def test_blocks_beside_an_article_are_not_its_text():
+    page = f"<p>Subscribe today to our site</p><article><h1>Head</h1><p>{_A}</p><p>End.</p></article><p>Local weather sunny and warm</p><p>{_C}</p>"
+    assert html.main_text(page, html.default_tree()) == f"Head\n{_A}\nEnd."
+    teaser = f"<article><p>Read this first</p></article><p>{_A}</p><p>{_B}</p><p>{_C}</p>"  # a marked part that is not the page's text
+    assert html.main_text(teaser, html.default_tree()) == f"Read this first\n{_A}\n{_B}\n{_C}"
+
+
+def test_text_density_decides():
+    """The tree splits on words and links, learns pages that it has not seen, and errs where these features are mixed up."""
+
+    def splits(t):
+        return set() if isinstance(t, float) else {html.FEATURES[t[0]]} | splits(t[2]) | splits(t[3])
+
+    tree = html.default_tree()
+    assert {"words", "links"} <= splits(tree) and splits(tree) & {"before", "after"}
+    x, y = html.labelled()
+    right = lambda rows: sum(html.decide(tree, r) == bool(v) for r, v in zip(rows.tolist(), y)) / len(y)
+    assert right(x) > 0.98
+    mixed = x.copy()
+    mixed[:, :6] = np.random.default_rng(1).permutation(mixed[:, :6])
+    assert right(mixed) < 0.9
+    third = np.arange(len(y)) * 7 % len(y) % 3 == 0
+    other = html.grow(x[~third], y[~third])
+    assert np.mean([html.decide(other, r) == bool(v) for r, v in zip(x[third].tolist(), y[third])]) > 0.9
+
+
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=a>Home</a></nav>
 <div class="cookie-notice">We use cookies here</div><article><h2>Head &amp; line</h2><p>One <b>two</b>
  three<br>four<script>var x = "</p>";</script><p>&lt;b&gt;<div class="ad">Buy</div><form>Mail <input></form><ul><li>a<li>b</ul>
