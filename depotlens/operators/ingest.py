@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..schemas import LIMITS, REQUIRED
+from ..schemas import LIMITS, REQUEST_FIELDS, REQUIRED, SCAN_TYPES
 from ..session import staged
 
 MESSAGE_KEY = ("username", "message_id", "thread_id")
@@ -26,6 +26,41 @@ def quarantine(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     return marked.filter(F.size("errors") == 0).drop("errors"), marked.filter(F.size("errors") > 0)
 
 
+def request_violations() -> Column:
+    """What is wrong with a scan request, as an array of (field, code) in the order of the fields; empty for a good one.
+
+    A request has ``scan_type`` and the columns of REQUEST_FIELDS, and is held to the fields of its own kind. Codes are
+    REQUIRED (null), EMPTY (white space only), TOO_LONG (code points), INVALID_CHARS (a NUL in a path) and INVALID_VALUE
+    (an unknown kind, which has no other errors).
+    """
+
+    def error(field: str, code: str, wrong: Column) -> Column:
+        return F.when(wrong, F.struct(F.lit(field).alias("field"), F.lit(code).alias("code")))
+
+    kind = F.col("scan_type")
+    blank = lambda c: ~F.col(c).rlike(r"[^ \t\n\r\f\x0B]")
+    tests = [
+        error("scan_type", "REQUIRED", kind.isNull()),
+        error("scan_type", "EMPTY", blank("scan_type")),
+        error("scan_type", "INVALID_VALUE", ~kind.isin(*SCAN_TYPES) & ~blank("scan_type")),
+    ]
+    for name, fields in REQUEST_FIELDS.items():
+        mine = kind == name
+        for field, (width, needed) in fields.items():
+            if needed:
+                tests += [error(field, "REQUIRED", mine & F.col(field).isNull()), error(field, "EMPTY", mine & blank(field))]
+            tests.append(error(field, "TOO_LONG", mine & (F.length(field) > width)))
+            if field == "path":
+                tests.append(error(field, "INVALID_CHARS", mine & (F.instr(F.col(field), "\0") > 0)))
+    return F.filter(F.array(*tests), lambda x: x.isNotNull())
+
+
+def check_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that may start a scan, and those refused with their ``errors``."""
+    marked = df.withColumn("errors", request_violations())
+    return marked.filter(F.size("errors") == 0).drop("errors"), marked.filter(F.size("errors") > 0)
+
+
 def normalize_messages(df: DataFrame) -> DataFrame:
     """Cut the long text columns and flatten labels, as the table stores them."""
     return df.withColumns(

@@ -183,6 +183,40 @@ def quarantine(s, d):
     return pick(good, False).unionByName(pick(bad, True))
 
 
+_REQUESTS = """SELECT doc_id, CASE lang WHEN 'en' THEN 'Local' WHEN 'de' THEN 'GMail' WHEN 'fr' THEN 'GPhotos' WHEN 'es' THEN 'GDrive' ELSE lang END AS scan_type, text, source FROM documents"""
+
+
+@query(
+    "request_errors",
+    f"""WITH r AS ({_REQUESTS}), e AS (SELECT doc_id, concat_ws(',',
+      CASE WHEN scan_type IS NULL THEN 'scan_type:REQUIRED' END,
+      CASE WHEN NOT regexp_matches(scan_type, '[^ \\t\\n\\r\\f\\v]') THEN 'scan_type:EMPTY' END,
+      CASE WHEN scan_type NOT IN ('Local', 'GDrive', 'GMail', 'GPhotos') AND regexp_matches(scan_type, '[^ \\t\\n\\r\\f\\v]') THEN 'scan_type:INVALID_VALUE' END,
+      CASE WHEN scan_type = 'Local' AND text IS NULL THEN 'path:REQUIRED' END,
+      CASE WHEN scan_type = 'Local' AND NOT regexp_matches(text, '[^ \\t\\n\\r\\f\\v]') THEN 'path:EMPTY' END,
+      CASE WHEN scan_type = 'Local' AND length(text) > 1000 THEN 'path:TOO_LONG' END,
+      CASE WHEN scan_type = 'Local' AND contains(text, chr(0)) THEN 'path:INVALID_CHARS' END,
+      CASE WHEN scan_type = 'GDrive' AND length(text) > 500 THEN 'query_string:TOO_LONG' END,
+      CASE WHEN scan_type = 'GDrive' AND source IS NULL THEN 'refresh_token:REQUIRED' END,
+      CASE WHEN scan_type = 'GMail' AND length(text) > 500 THEN 'filter:TOO_LONG' END,
+      CASE WHEN scan_type = 'GMail' AND source IS NULL THEN 'refresh_token:REQUIRED' END,
+      CASE WHEN scan_type = 'GMail' AND text IS NULL THEN 'client_key:REQUIRED' END,
+      CASE WHEN scan_type = 'GMail' AND NOT regexp_matches(text, '[^ \\t\\n\\r\\f\\v]') THEN 'client_key:EMPTY' END,
+      CASE WHEN scan_type = 'GMail' AND length(text) > 100 THEN 'client_key:TOO_LONG' END,
+      CASE WHEN scan_type = 'GMail' AND source IS NULL THEN 'username:REQUIRED' END,
+      CASE WHEN scan_type = 'GPhotos' AND length(text) > 100 THEN 'album_id:TOO_LONG' END,
+      CASE WHEN scan_type = 'GPhotos' AND source IS NULL THEN 'refresh_token:REQUIRED' END) AS errors FROM r)
+    SELECT doc_id, errors FROM e WHERE errors <> ''""",
+)
+def request_errors(s, d):
+    kind = F.coalesce(F.create_map(*[F.lit(x) for x in ("en", "Local", "de", "GMail", "fr", "GPhotos", "es", "GDrive")])[F.col("lang")], F.col("lang"))
+    text, source = F.col("text"), F.col("source")
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    asked = docs.select("doc_id", kind.alias("scan_type"), text.alias("path"), text.alias("query_string"), text.alias("filter"), text.alias("client_key"), text.alias("album_id"), source.alias("refresh_token"), source.alias("username"))
+    _, refused = ingest.check_requests(asked)
+    return refused.select("doc_id", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["field"], e["code"])), ",").alias("errors"))
+
+
 @query("serial_ids", f"SELECT id AS item, row_number() OVER (ORDER BY size, id) + 100 AS serial FROM {FILES}")
 def serial_ids(s, d):
     f = X.files(s, d).select(F.col("id").alias("item"), "size")

@@ -46,6 +46,15 @@ REQUIRED: dict[str, tuple[str, ...]] = {
     "privatetokens": ("client_key", "created_on"),
 }
 
+#: The kinds of scan that a request may name, the fields that each takes, their widths, and which must be filled.
+SCAN_TYPES = ("Local", "GDrive", "GMail", "GPhotos")
+REQUEST_FIELDS: dict[str, dict[str, tuple[int, bool]]] = {
+    "Local": {"path": (1000, True)},
+    "GDrive": {"query_string": (500, False), "refresh_token": (800, True)},
+    "GMail": {"filter": (500, False), "refresh_token": (800, True), "client_key": (100, True), "username": (100, True)},
+    "GPhotos": {"album_id": (100, False), "refresh_token": (800, True)},
+}
+
 #: Tables that a scan owns rows of, children before parents.
 CASCADE = ("photometadata", "videometadata", "photosmediaitem", "messagemetadata", "scandata", "scanmetadata", "scans")
 

@@ -187,6 +187,26 @@ def test_quarantine_keeps_the_scan_going(spark):
     assert sorted(r.errors[0] for r in bad.collect()) == ["name: over 200 characters", "scan_id: missing"]
 
 
+def test_requests_are_refused_with_codes(spark):
+    columns = ("scan_type", "path", "query_string", "filter", "refresh_token", "client_key", "username", "album_id")
+    rows = {
+        ("Local", "/a") + (None,) * 6: [],
+        ("Local", None) + (None,) * 6: ["path:REQUIRED"],
+        ("Local", " \t\n") + (None,) * 6: ["path:EMPTY"],
+        ("Local", "é" * 1000) + (None,) * 6: [],
+        ("Local", "x" * 1001 + "\0") + (None,) * 6: ["path:TOO_LONG", "path:INVALID_CHARS"],
+        ("local", "/a") + (None,) * 6: ["scan_type:INVALID_VALUE"],
+        (None,) * 8: ["scan_type:REQUIRED"],
+        ("",) + (None,) * 7: ["scan_type:EMPTY"],
+        ("GDrive", None, "q" * 501, None, "t", None, None, None): ["query_string:TOO_LONG"],
+        ("GMail", None, None, None, "t", "", "u" * 101, None): ["client_key:EMPTY", "username:TOO_LONG"],
+        ("GPhotos", None, None, "f" * 900, "t" * 801, None, None, "a" * 101): ["album_id:TOO_LONG", "refresh_token:TOO_LONG"],
+    }
+    good, bad = ingest.check_requests(spark.createDataFrame(list(rows), ", ".join(f"{c} string" for c in columns)))
+    assert {tuple(r)[:8]: [f"{e.field}:{e.code}" for e in r.errors] for r in bad.collect()} == {k: v for k, v in rows.items() if v}
+    assert {tuple(r) for r in good.collect()} == {k for k, v in rows.items() if not v}
+
+
 def test_pages(spark):
     df = spark.range(1, 26).select("id", F.lit(1).alias("scan_id"))
     assert [queries.list_of_scan(df, 1, p).count() for p in (1, 3, 4)] == [10, 5, 0]
