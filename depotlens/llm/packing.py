@@ -12,29 +12,37 @@ last is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import itertools
 import os
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_counts, cut, drop_table, map_rows, named, numbered, texts
-from .shingles import column_word_numbers, mix
+from .common import bucket_counts, cut, map_rows, named, numbered, small, texts
+from .shingles import column_word_numbers
 
 WINDOW, END_ID = 2048, 1
 #: Text bytes of a shard; terms are hashed to 2**TERM_BITS, which bounds the corpus counts.
 SHARD_BYTES, TERM_BITS = 3_000_000, 18
 K1, B = 1.2, 0.75
 #: Distinct chunks whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 600_000
+#: Pairs of terms that are broadcast at most (16 bytes each).
+PAIRS = 200_000
 
 #: ASCII signs that the tokenizer parts from letters before them; an apostrophe may begin a token with letters.
 SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 
+#: What kind of byte each is; those of longer characters count as OTHER.
+OTHER, BLANK, LETTER, SIGN = range(4)
+_KINDS = np.array([BLANK if b == 32 or 9 <= b <= 13 else LETTER if chr(b).isalpha() and b < 128 else SIGN if b in SIGNS else OTHER for b in range(256)], np.uint8)
+
 _HELD: dict[str, "Chunks"] = {}
 
 
@@ -42,65 +50,61 @@ class Parts:
     """The chunks between ASCII blanks of texts, A-Z folded, and which of them are the same.
 
     The tokenizer folds case, drops white space and looks at nothing across it, so
-    the ids of a text are those of its chunks in order. Texts that may hold
-    special tokens, which are told by case, are not folded.
+    the ids of a text are those of its chunks in order. Nor does a token reach from an
+    ASCII letter to one of SIGNS, so chunks end there as well. Texts that may hold
+    special tokens, which are told by case and have signs, are neither folded nor cut at signs.
 
     ``words`` are the distinct chunks, ``at`` numbers the chunks of all texts by
-    them, and ``ends`` is where each text's chunks end. Chunks of up to 16 bytes
-    are told apart by two numbers, longer ones by a table.
+    them, and ``ends`` is where each text's chunks end.
     """
 
     def __init__(self, column: pa.Array):
         folded = [x if b"<|" in x else x.lower() for x in (x or b"" for x in texts(column))]
-        joined = b" ".join([*folded, b" " * 16])
+        joined = np.frombuffer(b" ".join([*folded, b""]), np.uint8)
         ends = np.cumsum([len(x) + 1 for x in folded])
-        ink = np.frombuffer(joined, np.uint8)
-        ink = np.concatenate(([False], (ink != 32) & ((ink < 9) | (ink > 13)), [False]))
-        edge = np.flatnonzero(ink[1:] != ink[:-1])
-        start, size = edge[::2], edge[1::2] - edge[::2]
-        self.ends = np.searchsorted(start, ends)
-        eight = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))  # the number that begins at each byte
-        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-        a = eight[start] & mask[np.minimum(size, 8)]
-        b = eight[np.minimum(start + 8, len(eight) - 1)] & mask[np.clip(size - 8, 0, 8)]
-        known: dict[bytes, int] = {}
-        for i in np.flatnonzero(size > 16).tolist():
-            a[i] = known.setdefault(joined[start[i] : start[i] + size[i]], len(known))
-            b[i] = size[i] = 0
-        h = mix(a * np.uint64(0x9E3779B97F4A7C15) + b + size.astype(np.uint64))
-        order = np.argsort(h)
-        alike = [(x[order[1:]] == x[order[:-1]]) for x in (h, a, b, size)]
-        if (alike[0] & ~(alike[1] & alike[2] & alike[3])).any():  # two chunks share a hash
-            order = np.lexsort((size, b, a))
-            alike = [(x[order[1:]] == x[order[:-1]]) for x in (a, b, size)]
-        first = np.concatenate((np.ones(min(1, len(order)), bool), ~np.logical_and.reduce(alike)))
-        self.at = np.empty(len(order), np.int64)
-        self.at[order] = np.cumsum(first) - 1
-        some = order[first]
-        stop = edge[1::2][some]
-        self.words = [joined[i:j] for i, j in zip(start[some].tolist(), stop.tolist(), strict=True)]
-
-
-def _shown_bytes() -> dict[int, int]:
-    """How the tokenizer's model spells bytes: printable ones as themselves, the others from 256 on."""
+        kind = _KINDS[joined]
+        parted = (kind[:-1] == LETTER) & (kind[1:] == SIGN)  # between a byte and the next one
+        for i in [i for i, x in enumerate(folded) if b"<|" in x]:
+            parted[ends[i] - len(folded[i]) - 1 : ends[i]] = False
+        ink = kind != BLANK
+        start = ink.copy()
+        start[1:] &= parted | ~ink[:-1]
+        self.ends = np.searchsorted(np.flatnonzero(start), ends)
+        offsets = np.append(np.flatnonzero(start[ink]), ink.sum())  # the chunks, blanks left out
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(joined[ink])]).dictionary_encode()
+        bounds, flat = (x.to_pybytes() for x in chunks.dictionary.buffers()[1:])
+        bounds = np.frombuffer(bounds, np.int64)[: len(chunks.dictionary) + 1].tolist()
+        self.at, self.words = chunks.indices.to_numpy(), [flat[i:j] for i, j in itertools.pairwise(bounds)]
+
+
+def _shown_bytes() -> np.ndarray:
+    """How the tokenizer's model spells bytes: printable ones as themselves, the others from 256 on. Blanks, which part words here, stay."""
+    shown = np.arange(256, dtype="<u4")
     hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-    return {b: 256 + k for k, b in enumerate(hidden)}
+    shown[hidden] = 256 + np.arange(len(hidden))
+    shown[32] = 32
+    return shown
 
 
 _SPELT = _shown_bytes()
+#: How a word is encoded: by the merges alone, among other words, or by itself.
+PLAIN, ALIKE, APART = range(3)
+
 
+def _way(word: bytes) -> int:
+    """PLAIN for lower-case letters below U+0250, which no normal form changes; ALIKE for other letters.
 
-def _plain_latin(word: bytes) -> bool:
-    """Whether a word of letters has only lower-case ones below U+0250, which no normal form changes."""
+    A capital may become a letter and a mark, which goes with the signs behind: such words are APART.
+    """
     if word.isascii():
-        return word.islower()
+        return APART if not word.isalpha() else PLAIN if word.islower() else ALIKE
     text = word.decode()
-    return max(text) < "\u0250" and text == text.lower()
-
-
-def _letters_alone(word: str) -> bool:
-    """Whether a word has letters alone, also as the tokenizer normalises it: a capital may become a letter and a mark, which goes with the signs behind."""
-    return word.isalpha() and unicodedata.normalize("NFC", word.lower()).isalpha()
+    if not text.isalpha():
+        return APART
+    low = text.lower()
+    if low == text and max(text) < "\u0250":
+        return PLAIN
+    return ALIKE if unicodedata.normalize("NFC", low).isalpha() else APART
 
 
 class Chunks(dict):
@@ -133,8 +137,8 @@ class Chunks(dict):
     def _plain(self, words: list[bytes]) -> None:
         """Encode lower-case words of Latin letters: normaliser and splitter leave them whole, so the merges alone decide."""
         merge, flat, ends = self.tokenizer.model.tokenize, [], []
-        for w in words:
-            flat += [t.id for t in merge(w.decode() if w.isascii() else w.decode("latin-1").translate(_SPELT))]
+        for w in _SPELT[np.frombuffer(b" ".join(words), np.uint8)].tobytes().decode("utf-32-le").split(" ") if words else ():
+            flat += [t.id for t in merge(w)]
             ends.append(len(flat))
         self._put(words, np.array(flat, np.int64), np.array(ends, np.int64))
 
@@ -159,7 +163,7 @@ class Chunks(dict):
         Where there is no room for them, only chunks that came again since the last time are kept.
         """
         new = [c for c in words if c not in self]
-        met = set(words).difference(new)
+        met = {c for c in words if c in self}
         self.again |= met
         if len(self) + 2 * len(new) > CACHE:
             if len(self.again) + 2 * len(new) > CACHE:
@@ -168,24 +172,22 @@ class Chunks(dict):
             self.clear()
             self.update(known)
             self.again = set()
-        plain = {c for c in new if c.isalpha() and c.islower()}
-        alike, apart, both = set(), set(), []
+        ways, both = (set(), set(), set()), []
         for c in new:
-            if c in plain:
-                continue
-            word = c.rstrip(SIGNS)
-            if not (word.isalpha() or _letters_alone(word.decode())):
-                apart.add(c)
-                continue
-            if len(word) < len(c):
-                signs = c[len(word) :]
-                both.append((c, word, signs))
-                if signs not in self:
-                    apart.add(signs)
-            if word not in self:
-                (plain if _plain_latin(word) else alike).add(word)
-        self._plain(list(plain))
-        alike, apart = list(alike), list(apart)
+            way = _way(c)
+            if way == APART:
+                word = c.rstrip(SIGNS)
+                if word != c and word and (ahead := _way(word)) != APART:
+                    signs = c[len(word) :]
+                    both.append((c, word, signs))
+                    if word not in self:
+                        ways[ahead].add(word)
+                    if signs not in self:
+                        ways[APART].add(signs)
+                    continue
+            ways[way].add(c)
+        plain, alike, apart = map(list, ways)
+        self._plain(plain)
         for i in range(0, len(alike), 2000):
             self._alike(alike[i : i + 2000])
         for i in range(0, len(apart), 2000):
@@ -198,11 +200,11 @@ class Chunks(dict):
         parts = Parts(column)
         self.learn(parts.words)
         ids = [*map(self.__getitem__, parts.words), np.array([END_ID], "<u4").tobytes()]
-        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) >> 2 for x in ids])
         at = np.insert(parts.at, parts.ends, len(parts.words))  # an end behind the chunks of each text
-        take = sizes[at]
-        place = np.arange(take.sum()) + np.repeat((np.cumsum(sizes) - sizes)[at] - np.cumsum(take) + take, take)
-        return np.split(flat[place], np.cumsum(take)[np.flatnonzero(at == len(parts.words))[:-1]])
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(at))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64) >> 2
+        flat = np.frombuffer(taken.buffers()[2], "<u4")[: offsets[len(at)]]
+        return np.split(flat, offsets[1 + np.flatnonzero(at == len(parts.words))[:-1]])
 
 
 def default_tokenizer() -> str:
@@ -244,7 +246,8 @@ class Deal:
 
     ``df`` counts the documents of a term; a term is shared if two have it. Terms with
     few bytes share a shard, none is split. A term with more than ``room`` bytes is
-    split by the second rarest term, and what is still too much by id.
+    split by the second rarest term, and a pair that has more still goes to as many of
+    the term's shards as it fills, by id.
     """
 
     def __init__(self, df: np.ndarray, room: int):
@@ -264,32 +267,30 @@ class Deal:
             out.append(np.where(least < NEVER, least % len(self.df), -1))
         return out[0], out[1]
 
-    def plan(self, keys: DataFrame) -> None:
-        """Lay out the shards for a table (t1, t2, size). The driver gets a number for each term, and one for each pair over ``room``."""
-        loads = np.zeros(len(self.df) + 1, np.int64)  # the last place is that of -1
-        for t, size in keys.groupBy("t1").agg(F.sum("size")).collect():
-            loads[t] = size
+    def plan(self, rows: DataFrame) -> DataFrame:
+        """A table (t1, t2, id, size, ...) with the column shard. The driver gets one number for each of at most 2**TERM_BITS terms.
+
+        The table of terms is broadcast, as it has that bound; that of the pairs grows with
+        the corpus, and is broadcast only where it is counted to have at most PAIRS rows.
+        """
+        spark = rows.sparkSession
+        found = rows.groupBy("t1").agg(F.sum("size").alias("size")).orderBy("t1").toPandas()
+        loads = found["size"].to_numpy()
         hot = loads > self.room
         light = np.where(hot, 0, loads)
-        self.base = (np.cumsum(light) - light) // self.room
-        self.parts = np.ones(len(loads), np.int64)
-        self.parts[hot] = -(-loads[hot] // self.room)
-        end = int(self.base.max()) + 1
-        self.base[hot] = end + np.cumsum(self.parts[hot]) - self.parts[hot]
-        end += int(self.parts[hot].sum())
-        self.pairs = {}
+        base, parts = (np.cumsum(light) - light) // self.room, np.where(hot, -(-loads // self.room), 1)
+        first = base.max(initial=0) + 1
+        base[hot] = first + np.cumsum(parts[hot]) - parts[hot]
+        terms = spark.createDataFrame(pd.DataFrame({"t1": found["t1"], "base": base, "parts": parts}), "t1 int, base long, parts long")
+        out = rows.join(F.broadcast(terms), "t1")
+        spread = F.lit(0)
         if hot.any():
-            found = keys.groupBy("t1", "t2").agg(F.sum("size").alias("size")).filter(F.col("size") > self.room)
-            for t1, t2, size in sorted(found.collect()):
-                parts = -(-size // self.room)
-                self.pairs[t1, t2] = (end, parts)
-                end += parts
-
-    def shard(self, name: int, t1: int, t2: int) -> int:
-        if self.parts[t1] == 1:
-            return int(self.base[t1])
-        base, parts, by = (*self.pairs[t1, t2], name) if (t1, t2) in self.pairs else (int(self.base[t1]), int(self.parts[t1]), t2)
-        return base + zlib.crc32(by.to_bytes(8, "little", signed=True)) % parts
+            heavy = F.broadcast(terms.filter("parts > 1").select("t1"))
+            many = F.ceil(F.sum("size") / self.room).cast("long").alias("many")
+            pairs = cut(rows.join(heavy, "t1", "left_semi").groupBy("t1", "t2").agg(many).filter("many > 1"))
+            out = out.join(F.broadcast(pairs) if small(pairs, PAIRS) else pairs, ["t1", "t2"], "left")
+            spread = F.pmod(F.xxhash64("id"), F.coalesce("many", F.lit(1)))
+        return out.withColumn("shard", F.col("base") + F.pmod(F.pmod(F.xxhash64("t2"), F.col("parts")) + spread, F.col("parts")))
 
 
 def arrange(lengths: list[int], index: Bm25, window: int) -> list[int]:
@@ -355,35 +356,24 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             last[found[x:y]] = place[x:y]
             once[x:y] = last[found[x:y]] == place[x:y]  # a term's last place in its text
         yield "df", found[once]
-        yield "words", found
+        yield "sums", np.repeat([0, 1], [len(found), b.num_rows])
 
-    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("v0").cast("long"))).first()
     counts = bucket_counts(rows.select("v0"), count, TERM_BITS)
     df = counts.get("df", np.zeros(1 << TERM_BITS, np.int64))
-    mean = max(1.0, float(counts.get("words", df).sum()) / max(1, n))
+    words, n = counts.get("sums", df)[:2].tolist()
+    mean = max(1.0, words / max(1, n))
     idf = docs.sparkSession.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))  # 1 MB
     deal = Deal(df, shard_bytes)
-    dealt = rows.select(F.lit(0).cast("long").alias("shard"), "id", "v0")
-    if (size or 0) > shard_bytes:
-        held = docs.sparkSession.sparkContext.broadcast(deal)  # 2 MB
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                t1, t2 = held.value.keys(*terms(b.column(0)))
-                yield pa.RecordBatch.from_arrays([pa.array(t1, pa.int32()), pa.array(t2, pa.int32()), b.column(1)], names=["t1", "t2", "size"])
-
-        keys = cut(map_rows(rows.select("v0", F.coalesce(F.octet_length("v0"), F.lit(0)).cast("long").alias("size")), keyed, "t1 int, t2 int, size long"))
-        deal.plan(keys)
-        drop_table(keys)
-        planned = docs.sparkSession.sparkContext.broadcast(deal)  # 6 MB, and the pairs
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                t1, t2 = planned.value.keys(*terms(b.column(1)))
-                at = [planned.value.shard(*x) for x in zip(b.column(0).to_pylist(), t1.tolist(), t2.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *b.columns], names=["shard", "id", "v0"])
-
-        dealt = map_rows(rows.select("id", "v0"), place, "shard long, id long, v0 string")
+    held = docs.sparkSession.sparkContext.broadcast(deal)  # 2 MB
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t1, t2 = held.value.keys(*terms(b.column("v0")))
+            size = pc.fill_null(pc.binary_length(b.column("v0")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t1, pa.int32()), pa.array(t2, pa.int32()), size], names=["id", "v0", "t1", "t2", "size"])
+
+    keys = cut(map_rows(rows.select("id", "v0"), keyed, "id long, v0 string, t1 int, t2 int, size long"))
+    dealt = deal.plan(keys).select("shard", "id", "v0")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("id").combine_chunks()

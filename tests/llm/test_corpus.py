@@ -240,7 +240,15 @@ def test_chunks_have_the_ids_of_the_whole_text(monkeypatch):
     want = [[*chunks.tokenizer.encode(text, add_special_tokens=False).ids, 1] for text in rows]
     assert [x.tolist() for text in rows * 2 for x in chunks.encode(pa.array([text]))] == want * 2
     assert [x.tolist() for x in chunks.encode(pa.array([None, *rows, *rows, ""]))] == [[1], *want, *want, [1]]
-    monkeypatch.setattr(packing, "mix", lambda h: h % np.uint64(3))  # where hashes of chunks collide
+
+
+def test_chunks_of_any_letters_and_signs():
+    """Random strings of letters, marks, signs, digits, blanks and special tokens against the tokenizer on the whole text."""
+    rng = np.random.default_rng(11)
+    signs = [*"abcXYZ'sdtrelv<|>!,.-_#$%&()0123 \t\n", "İ", "é", "É", "e\u0301", "\u0307", "ß", "ſ", "ﬁ", "ǅ", "K", "ª", "²", "’", "\u00a0", "\u200b", "ʰ", "日本", "한", "я", "<|startoftext|>", "<|endoftext|>", "don't", "I'LL"]
+    rows = ["".join(signs[k] for k in rng.integers(0, len(signs), rng.integers(0, 25))) for _ in range(8000)]
+    chunks = packing.Chunks(packing.default_tokenizer())
+    want = [[*e.ids, 1] for e in chunks.tokenizer.encode_batch(rows, add_special_tokens=False)]
     assert [x.tolist() for x in chunks.encode(pa.array(rows))] == want
 
 
@@ -273,6 +281,20 @@ def test_the_index_has_no_caps():
     assert got == [0, *(1 + k for k in sorted(range(100), key=lambda k: (-len(rest[k]) / (1 + packing.K1 * (1 - packing.B + packing.B * len(rest[k]) / 40.0)), k)))]
 
 
+@pytest.mark.parametrize("pairs", [200_000, 0])  # the table of heavy pairs broadcast, and joined by a shuffle
+def test_a_heavy_pair_of_terms_fills_its_own_share_of_shards(spark, monkeypatch, pairs):
+    monkeypatch.setattr(packing, "PAIRS", pairs)
+    rows = [(i, 1, 2, 50) for i in range(400)] + [(400 + i, 1, 5 + i % 90, 50) for i in range(600)] + [(1000 + i, 7 + i % 3, -1, 10) for i in range(9)]
+    got = packing.Deal(np.ones(16, np.int64), 1000).plan(spark.createDataFrame(rows, "id long, t1 int, t2 int, size long")).collect()
+    assert len(got) == len(rows)
+    load, at = {}, {}
+    for r in got:
+        load[r.shard] = load.get(r.shard, 0) + r["size"]
+        at.setdefault((r.t1, r.t2), set()).add(r.shard)
+    assert max(load.values()) <= 5000 and 15 <= len(at[1, 2]) <= 20
+    assert all(len(x) == 1 for k, x in at.items() if k != (1, 2)) and not at[7, -1] & at[1, 2]
+
+
 def test_neighbours_meet_in_one_shard(spark):
     """Whatever the number of shards; a term that many documents share is split to bounded shards."""
     rows = [(i, f"rare{i // 2}x " + " ".join(f"w{(i * 7 + k * k) % 50}" for k in range(40))) for i in range(300)]
