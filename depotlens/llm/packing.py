@@ -31,7 +31,9 @@ WINDOW, END_ID = 2048, 1
 #: Text bytes of a shard; terms are hashed to 2**TERM_BITS, which bounds the corpus counts.
 SHARD_BYTES, TERM_BITS = 3_000_000, 18
 K1, B = 1.2, 0.75
-#: Distinct chunks whose ids a worker remembers.
+#: Neighbours that are sorted at once; the others are when these are used up.
+FIRST = 16
+#: Distinct chunks whose ids a worker remembers, besides those of one shard.
 CACHE = 600_000
 #: Pairs of terms that are broadcast at most (16 bytes each).
 PAIRS = 200_000
@@ -107,16 +109,20 @@ def _way(word: bytes) -> int:
     return ALIKE if unicodedata.normalize("NFC", low).isalpha() else APART
 
 
-class Chunks(dict):
-    """Token ids by chunk; what a worker has not seen is encoded in bulk."""
+class Chunks:
+    """Token ids of chunks; what a worker has not seen is encoded in bulk.
+
+    Chunks met lately are in ``young``, others in ``old``. When the young ones are
+    CACHE / 2, they become the old ones, and chunks that nobody asked for since are forgotten.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.again: set[bytes] = set()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -131,7 +137,7 @@ class Chunks(dict):
         """Remember the ids of each word, which end at these places."""
         flat, at = ids.astype("<u4").tobytes(), 0
         for w, end in zip(words, (4 * ends).tolist(), strict=True):
-            self[w] = flat[at:end]
+            self.young[w] = flat[at:end]
             at = end
 
     def _plain(self, words: list[bytes]) -> None:
@@ -155,23 +161,28 @@ class Chunks(dict):
 
     def _apart(self, chunks: list[bytes]) -> None:
         for c, e in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
-            self[c] = np.array(e.ids, "<u4").tobytes()
-
-    def learn(self, words: list[bytes]) -> None:
-        """Add the ids of new chunks. A word and the signs behind it are never one token, so such chunks are put together from both.
-
-        Where there is no room for them, only chunks that came again since the last time are kept.
-        """
-        new = [c for c in words if c not in self]
-        met = {c for c in words if c in self}
-        self.again |= met
-        if len(self) + 2 * len(new) > CACHE:
-            if len(self.again) + 2 * len(new) > CACHE:
-                self.again = met
-            known = {c: self[c] for c in self.again if c in self}
-            self.clear()
-            self.update(known)
-            self.again = set()
+            self.young[c] = np.array(e.ids, "<u4").tobytes()
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        got = [*map(self.young.get, words)]
+        missing = [k for k, x in enumerate(got) if x is None]
+        new = []
+        for k in missing:
+            x = self.old.get(words[k])
+            if x is None:
+                new.append(k)
+            else:
+                got[k] = self.young[words[k]] = x
+        if len(self.young) + len(new) > CACHE // 2:
+            self.young, self.old = {}, self.young
+        self.learn([words[k] for k in new])
+        for k in new:
+            got[k] = self.young[words[k]]
+        return got
+
+    def learn(self, new: list[bytes]) -> None:
+        """Add the ids of chunks. A word and the signs behind it are never one token, so such chunks are put together from both."""
         ways, both = (set(), set(), set()), []
         for c in new:
             way = _way(c)
@@ -180,9 +191,9 @@ class Chunks(dict):
                 if word != c and word and (ahead := _way(word)) != APART:
                     signs = c[len(word) :]
                     both.append((c, word, signs))
-                    if word not in self:
+                    if word not in self.young:
                         ways[ahead].add(word)
-                    if signs not in self:
+                    if signs not in self.young:
                         ways[APART].add(signs)
                     continue
             ways[way].add(c)
@@ -193,13 +204,12 @@ class Chunks(dict):
         for i in range(0, len(apart), 2000):
             self._apart(apart[i : i + 2000])
         for c, word, signs in both:
-            self[c] = self[word] + self[signs]
+            self.young[c] = self.young[word] + self.young[signs]
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a column, with the end id."""
         parts = Parts(column)
-        self.learn(parts.words)
-        ids = [*map(self.__getitem__, parts.words), np.array([END_ID], "<u4").tobytes()]
+        ids = [*self.ids(parts.words), np.array([END_ID], "<u4").tobytes()]
         at = np.insert(parts.at, parts.ends, len(parts.words))  # an end behind the chunks of each text
         taken = pa.array(ids, pa.large_binary()).take(pa.array(at))
         offsets = np.frombuffer(taken.buffers()[1], np.int64) >> 2
@@ -226,15 +236,16 @@ class Bm25:
         self.rows, self.weights = row[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
-    def nearest(self, k: int, unused: np.ndarray) -> list[int]:
+    def nearest(self, k: int, unused: np.ndarray) -> Iterator[int]:
         """All unused documents that share a term with document k, best first; ties go to the earlier one."""
         t = self.queries[k]
         n = self.starts[t + 1] - self.starts[t]
         at = np.arange(n.sum()) + np.repeat(self.starts[t] - np.cumsum(n) + n, n)  # the postings of all its terms
         score = np.bincount(self.rows[at], self.weights[at], len(unused))
         score[~unused] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")].tolist()
+        least = np.partition(score, -FIRST)[-FIRST] if len(score) > FIRST else 0  # few windows need more than the first ones
+        for found in (np.flatnonzero((score > 0) & (score >= least)), np.flatnonzero((score > 0) & (score < least))):
+            yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 #: The rank of terms that do not count.
@@ -259,11 +270,12 @@ class Deal:
         rank = np.where(df > 1, df * len(self.df) + terms, NEVER)
         some, sizes = np.diff(ends) > 0, np.diff(ends)
         out = []
-        for _ in range(2):
+        for again in (True, False):
             least = np.full(len(sizes), NEVER)
             if some.any():
                 least[some] = np.minimum.reduceat(rank, ends[:-1][some])
-            rank[rank == np.repeat(least, sizes)] = NEVER
+            if again:
+                rank[rank == np.repeat(least, sizes)] = NEVER
             out.append(np.where(least < NEVER, least % len(self.df), -1))
         return out[0], out[1]
 
