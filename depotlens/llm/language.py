@@ -1,25 +1,30 @@
 """Language identification by multilingual mixture inference.
 
 A language is a smoothed distribution of character trigrams, counted over all
-training texts. A text is a mixture of languages: expectation-maximisation
-estimates the proportions from the trigrams' likelihoods, and languages are added
-to its set, the largest share first, while the log-likelihood gains more than the
-penalty of a further share.
+training texts. A text is a mixture of languages. Its set begins with the likeliest one; then
+the language by which the log-likelihood rises fastest is added, and expectation-
+maximisation estimates the proportions anew, while the gain exceeds the penalty of a
+further share.
+
+Each language is judged by its own likelihoods and those of the set alone, so
+it doesn't matter in which order languages come. A model is tables of at most
+MOST languages: where there are more labels, one table after the other
+offers its best language to every text, and none is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_counts, map_rows, named, numbered
+from .common import OWN, ROW, as_they_were, bucket_counts, cut, drop_table, map_rows, named, numbered
 
 BITS, ROUNDS, PENALTY, SMOOTH = 16, 12, 6.0, 0.5
-#: Languages that a model can hold. Where a column has more labels, those of less than one in MOST labelled rows are taken for dirt.
+#: Languages of one table, which the driver and each task hold at a time.
 MOST = 256
 UNKNOWN = "und"
 
@@ -54,8 +59,40 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(text, lang) to the languages in name order and the probability of each trigram bucket by language."""
+    """(text, lang) to the languages in name order and the probability of each trigram bucket by language.
 
+    Where there are over MOST labels, only those of at least one in MOST rows: ``tables`` has the others too.
+    """
+    if many(labelled):
+        rows, total = _sizes(labelled)
+        labelled = labelled.join(F.broadcast(rows.filter(F.col("n") * MOST >= total).select("lang")), "lang", "left_semi")  # MOST at most
+    return _counted(labelled)
+
+
+def many(labelled: DataFrame) -> bool:
+    """Whether there are more labels than one table holds."""
+    return labelled.select("lang").distinct().limit(MOST + 1).count() > MOST
+
+
+def _sizes(labelled: DataFrame) -> tuple[DataFrame, int]:
+    return labelled.groupBy("lang").agg(F.count("*").alias("n")), labelled.count()
+
+
+def tables(labelled: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
+    """All languages, in tables as of ``train``: those of many rows first, then the others by name, each counted when it is asked for."""
+    yield train(labelled)
+    if not many(labelled):
+        return
+    rows, total = _sizes(labelled)
+    rest = cut(rows.filter(F.col("n") * MOST < total).select("lang"))
+    after = rest
+    while names := [r.lang for r in after.orderBy("lang").limit(MOST).collect()]:
+        yield _counted(labelled.filter(F.col("lang").isin(names)))
+        after = rest.filter(F.col("lang") > names[-1])
+    drop_table(rest)
+
+
+def _counted(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     def features(b: pa.RecordBatch):
         by: dict[str, list[np.ndarray]] = {}
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -63,10 +100,6 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         for lang, parts in by.items():
             yield lang, np.concatenate(parts)
 
-    if labelled.select("lang").distinct().limit(MOST + 1).count() > MOST:
-        rows = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-        total = rows.agg(F.sum("n")).first()[0]
-        labelled = labelled.join(F.broadcast(rows.filter(F.col("n") * MOST >= total).select("lang")), "lang", "left_semi")  # MOST at most
     counts = bucket_counts(labelled.select("text", "lang"), features, BITS)
     langs = sorted(k for k, v in counts.items() if v.any())
     if not langs:
@@ -85,37 +118,129 @@ def mixture(p: np.ndarray, c: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     return share
 
 
-def infer(buckets: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The shares of the chosen languages; zero for all others."""
-    grams, c = np.unique(buckets, return_counts=True)
-    likely = p[:, grams]
-    share = mixture(likely, c)
-    order = np.argsort(-share, kind="stable")
-    chosen = order[:1]
-    best, fit = np.ones(1), c @ np.log(likely[order[0]])
-    price = PENALTY * np.log(max(2, len(buckets)))
-    for k in range(1, len(order)):
-        if share[order[k]] < 0.01:
-            break
-        more = order[: k + 1]
-        shares = mixture(likely[more], c)
-        gain = c @ np.log(shares @ likely[more])
-        if gain - fit <= price:
-            break
-        chosen, best, fit = more, shares, gain
-    out = np.zeros(len(p))
-    out[chosen] = best
-    return out
+class Mix:
+    """The set of a text: names, shares, and the likelihoods (rows) of the text's distinct grams, which occur c times."""
+
+    def __init__(self, c: np.ndarray, names: list[str] = (), shares: np.ndarray = np.ones(0), rows: np.ndarray | None = None):
+        self.c, self.names, self.shares = c, list(names), shares
+        self.rows = np.zeros((0, len(c))) if rows is None else rows
+
+    def offer(self, langs: list[str], likely: np.ndarray) -> tuple[float, str, np.ndarray] | None:
+        """(pull, lang, row) of the best further language of a table; ties go to the first name."""
+        if not self.names:
+            pull = np.log(likely) @ self.c
+        else:
+            pull = likely @ (self.c / (self.shares @ self.rows))
+            pull[[k for k, x in enumerate(langs) if x in self.names]] = -np.inf
+        k = int(pull.argmax())
+        if self.names and pull[k] <= self.c.sum():  # no share of it makes the text likelier
+            return None
+        return float(pull[k]), langs[k], likely[k]
+
+    def take(self, lang: str, row: np.ndarray) -> bool:
+        """Add a language if that gains more than its price."""
+        rows = np.vstack([self.rows, row])
+        shares = mixture(rows, self.c)
+        if self.names:
+            gain = self.c @ np.log(shares @ rows) - self.c @ np.log(self.shares @ self.rows)
+            if gain <= PENALTY * np.log(max(2, self.c.sum())):
+                return False
+        self.names, self.shares, self.rows = [*self.names, lang], shares, rows
+        return True
+
+    def result(self) -> tuple[str, float, list[dict]]:
+        """(lang_pred, score, langs)."""
+        share = dict(sorted(zip(self.names, self.shares.tolist(), strict=True)))
+        if not share:
+            return UNKNOWN, 0.0, []
+        best = max(share, key=share.get)
+        return best, min(1.0, share[best]), [{"lang": k, "share": v} for k, v in share.items() if v]
 
 
 def predict(text: str | None, langs: list[str], p: np.ndarray) -> tuple[str, float, list[dict]]:
-    """(lang_pred, score, langs) of a text."""
-    grams = trigrams(text)
-    if not len(grams) or not langs:
-        return UNKNOWN, 0.0, []
-    share = infer(grams, p)
-    k = int(share.argmax())
-    return langs[k], min(1.0, float(share[k])), [{"lang": langs[i], "share": float(share[i])} for i in np.flatnonzero(share)]
+    """(lang_pred, score, langs) of a text by a model of one table."""
+    grams, c = np.unique(trigrams(text), return_counts=True)
+    mix = Mix(c)
+    if len(grams) and langs:
+        likely = p[:, grams]
+        while (best := mix.offer(langs, likely)) and mix.take(*best[1:]):
+            pass
+    return mix.result()
+
+
+STATE = "id long, v0 string, names array<string>, shares array<double>, rows binary, pull double, lang string, row binary, over boolean"
+
+
+def _mix(r: dict) -> tuple[np.ndarray, Mix]:
+    grams, c = np.unique(trigrams(r["v0"]), return_counts=True)
+    return grams, Mix(c, r["names"], np.array(r["shares"], float), np.frombuffer(r["rows"], float).reshape(-1, len(c)) if len(c) else None)
+
+
+def by_tables(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(id, lang_pred, score, langs) of (id, v0), table by table: what ``predict`` gives where one table holds all.
+
+    A round passes the texts by every table and carries the best offer so far; then each text takes it
+    or is done. The rounds are one more than languages in the largest set; the work is texts x
+    tables by nature. Tables are counted anew in each round, so that no place holds two.
+    """
+    spark = rows.sparkSession
+    empty = {"names": "array()", "shares": "array()", "rows": "X''", "pull": "NULL", "lang": "NULL", "row": "NULL", "over": "false"}
+    types = dict(x.split() for x in STATE.split(", "))
+    state = cut(rows.select("id", "v0", *[F.expr(f"CAST({v} AS {types[k]})").alias(k) for k, v in empty.items()]))
+    schema, done = state.schema, []
+
+    def each(f: Callable[[dict], None]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                held = b.to_pylist()
+                for r in held:
+                    f(r)
+                yield pa.RecordBatch.from_pylist(held, schema=b.schema)
+
+        return run
+
+    def take(r: dict) -> None:
+        _, mix = _mix(r)
+        r["over"] = r["lang"] is None or not mix.take(r["lang"], np.frombuffer(r["row"], float))
+        r |= {"names": mix.names, "shares": mix.shares.tolist(), "rows": mix.rows.tobytes(), "pull": None, "lang": None, "row": None}
+
+    while not state.isEmpty():
+        for langs, p in tables(labelled):
+            if not langs:
+                continue
+            model = spark.sparkContext.broadcast(p)
+
+            def offer(r: dict, langs=langs, model=model) -> None:
+                grams, mix = _mix(r)
+                best = mix.offer(langs, model.value[:, grams]) if len(grams) else None
+                if best and (r["lang"] is None or (-best[0], best[1]) < (-r["pull"], r["lang"])):
+                    r |= {"pull": best[0], "lang": best[1], "row": best[2].tobytes()}
+
+            state, old = cut(map_rows(state, each(offer), schema)), state
+            model.destroy()
+            if not done:  # later rounds begin with a part of what is kept below
+                drop_table(old)
+        state = cut(map_rows(state, each(take), schema))
+        done.append(state.filter("over"))
+        state = state.filter("NOT over")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [Mix(np.zeros(0), r["names"], np.array(r["shares"], float)).result() for r in b.select(["names", "shares"]).to_pylist()]
+            yield _results(b.column(0), got)
+
+    out = done[0] if done else state
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return map_rows(out.select("id", "names", "shares"), read, f"id long, {RESULT}")
+
+
+RESULT = "lang_pred string, score double, langs array<struct<lang:string,share:double>>"
+
+
+def _results(ids: pa.Array, got: list[tuple[str, float, list[dict]]], id_col: str = "id") -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+    return pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], kind)], names=[id_col, "lang_pred", "score", "langs"])
 
 
 def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,17 +251,18 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     languages gives ``und`` with score 0; ties go to the first name. Every row
     is judged by itself, also where ids are missing or repeat.
     """
-    langs, p = train(labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("lang is not null"))
+    labelled = labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("lang is not null")
+    rows, names = numbered(docs, id_col, text_col)
+    if many(labelled):
+        return named(by_tables(rows, labelled).withColumnRenamed("id", id_col), names, id_col)
+    langs, p = train(labelled)
     model = docs.sparkSession.sparkContext.broadcast(p)  # at most MOST x 2**BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
         for b in batches:
-            got = [predict(text, langs, model.value) for text in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], kind)], names=[id_col, "lang_pred", "score", "langs"])
+            yield _results(b.column(0), [predict(text, langs, model.value) for text in b.column(1).to_pylist()], id_col)
 
-    rows, names = numbered(docs, id_col, text_col)
-    return named(map_rows(rows, run, f"{id_col} long, lang_pred string, score double, langs array<struct<lang:string,share:double>>"), names, id_col)
+    return named(map_rows(rows, run, f"{id_col} long, {RESULT}"), names, id_col)
 
 
 #: The learning rows of the query: the rest is held out.
@@ -159,7 +285,12 @@ def keep_identified(docs: DataFrame, text_col: str = "text") -> DataFrame:
     row has a lang to learn from, texts with a letter stay unnamed.
     """
     labelled = docs.filter(~F.coalesce(held_out(), F.lit(True))).select(F.col(text_col).alias("text"), F.col("lang").cast("string").alias("lang"))
-    langs, p = train(labelled.filter("lang is not null"))
+    labelled = labelled.filter("lang is not null")
+    if many(labelled):
+        rows = cut((docs.withColumnRenamed(ROW, OWN) if ROW in docs.columns else docs).withColumn(ROW, F.monotonically_increasing_id()))
+        known = by_tables(rows.select(F.col(ROW).alias("id"), F.col(text_col).alias("v0")), labelled).filter(F.col("lang_pred") != UNKNOWN)
+        return as_they_were(rows.join(known.select(F.col("id").alias(ROW)), ROW, "left_semi"), docs)
+    langs, p = train(labelled)
     model = docs.sparkSession.sparkContext.broadcast(p)
     at = docs.columns.index(text_col)
 
