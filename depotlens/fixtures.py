@@ -109,10 +109,11 @@ def scans(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_metadata(spark: SparkSession, d: str) -> DataFrame:
     """A scan's account is its customer; scans that found nothing have no metadata and failed ones have two rows."""
-    o, c, found = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "lineitem")
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    found = table(spark, d, "lineitem").select("l_orderkey").distinct()
     m = o.join(c, o.o_custkey == c.c_custkey).join(found, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
-    row = lambda df, path: df.select("o_orderkey", F.col("c_name").alias("name"), path.alias("search_path"), F.lit(None).cast("string").alias("search_filter"), F.col("o_orderkey").alias("scan_id"))
-    return row(m, F.col("c_mktsegment")).unionByName(row(m.filter("o_orderstatus = 'F'"), F.lit("second")))
+    paths = F.when(F.col("o_orderstatus") == "F", F.array("c_mktsegment", F.lit("second"))).otherwise(F.array("c_mktsegment"))
+    return m.select("o_orderkey", F.col("c_name").alias("name"), F.explode(paths).alias("search_path"), F.lit(None).cast("string").alias("search_filter"), F.col("o_orderkey").alias("scan_id"))
 
 
 def media(spark: SparkSession, d: str) -> DataFrame:

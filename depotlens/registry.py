@@ -62,8 +62,11 @@ def list_scans_page(s, d):
 
 @query("scan_listing_fanout", f"SELECT s.id, count(*) AS listed FROM {SCANS} s LEFT JOIN {META} m ON s.id = m.scan_id GROUP BY s.id HAVING count(*) > 1")
 def scan_listing_fanout(s, d):
-    scans, meta = X.scans(s, d), X.scan_metadata(s, d).select(F.col("scan_id").alias("sid"))
-    return scans.join(meta, F.col("id") == F.col("sid"), "left").groupBy("id").agg(F.count("*").alias("listed")).filter("listed > 1")
+    """Lines of a scan: its rows times those of its metadata, counted on both sides before they meet."""
+    scans = X.scans(s, d).groupBy("id").agg(F.count("*").alias("rows"))
+    meta = X.scan_metadata(s, d).groupBy(F.col("scan_id").alias("sid")).agg(F.count("*").alias("lines"))
+    listed = F.col("rows") * F.coalesce("lines", F.lit(1))
+    return scans.join(meta, F.col("id") == F.col("sid"), "left").select("id", listed.alias("listed")).filter("listed > 1")
 
 
 @query("scan_requests", f"SELECT DISTINCT s.id, coalesce(name, '') AS name, scan_type, search_filter, {LA.format('scan_start_time')} AS scan_start_time, coalesce(date_diff('microsecond', scan_start_time, scan_end_time) / 1e6, -1) AS scan_duration_in_sec FROM {SCANS} s JOIN {META} m ON s.id = m.scan_id WHERE name = 'Customer#000000022' ORDER BY 1 DESC")
