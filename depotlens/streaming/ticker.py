@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,93 +26,94 @@ OVER = -1
 
 
 class Ticker(StatefulProcessor):
-    """State of one (client_key, scan_id): its start and end in ms, the counts so far, and what waits for its tick."""
+    """State of one (client_key, scan_id): its start and end in ms, the counts so far, its timer, and what waits for its tick.
+
+    All of it is one value, as each call of the state store is a round trip out of Python: a
+    batch costs a scan one read and one write. What waits are rows (tick, processed, active) in order of ticks, as bytes.
+    """
 
     def __init__(self, every: int):
         self.every = every * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.scan = handle.getValueState("scan", "start long, end long, ticks long, processed long, active long")
-        self.waiting = handle.getMapState("waiting", "at long", "processed long, active long")
+        self.scan = handle.getValueState("scan", "start long, end long, ticks long, processed long, active long, wake long, waiting binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, end, ticks, processed, active = self.scan.get() if self.scan.exists() else (None, -1, 0, 0, 0)
+        start, end, ticks, processed, active, wake, waiting = self.scan.get() or (None, -1, 0, 0, 0, None, b"")
         if ticks == OVER:
             return iter([])
-        events = pd.concat([r[["ms", "listed", "done", "ended"]] for r in rows])
-        first = int(events["ms"].min())
+        ms, listed, done, ended = (np.concatenate(c) for c in zip(*([r[c].to_numpy() for c in ("ms", "listed", "done", "ended")] for r in rows), strict=True))
+        held = _unpacked(waiting)
+        first = int(ms.min())
         if start is None:
             start = first
         elif first < start:  # an event from before the start moves it; what waits moves to its new ticks
-            old = list(self.waiting.iterator())
-            self.waiting.clear()
-            ticks += self._move(old, start, first)
+            more = (start - first) // self.every
+            held[:, 0] += more
+            ticks += more
             start = first
-        if events["ended"].any():
-            end = int(events["ms"][events["ended"]].max())
-        due = (-(-(events["ms"] - start) // self.every)).clip(lower=1)
-        for tick, part in events.groupby(due):
-            self._add(int(tick), int(part["done"].sum()), int(part["listed"].sum() - part["done"].sum()))
-        self.scan.update((start, end, ticks, processed, active))
-        self._wake(start, end, ticks)
+        if ended.any():
+            end = int(ms[ended].max())
+        due = np.maximum(-((start - ms) // self.every), 1)
+        held = _summed(np.concatenate([held, np.column_stack([due, done, listed - done])]))
+        self.scan.update((start, end, ticks, processed, active, self._wake(start, end, ticks, wake), held.tobytes()))
         return iter([])
 
-    def _add(self, tick: int, processed: int, active: int) -> None:
-        p, a = self.waiting.getValue((tick,)) if self.waiting.containsKey((tick,)) else (0, 0)
-        self.waiting.updateValue((tick,), (p + processed, a + active))
-
-    def _move(self, old: list, start: int, first: int) -> int:
-        """Put what waits at ticks counted from ``start`` to those counted from ``first``; how many more ticks have passed."""
-        more = (start - first) // self.every
-        for (tick,), (p, a) in old:
-            self._add(tick + more, p, a)
-        return more
-
-    def _wake(self, start: int, end: int, ticks: int) -> None:
-        """One timer, at the next tick or at the end, whichever comes first."""
+    def _wake(self, start: int, end: int, ticks: int, wake: int | None = None) -> int:
+        """One timer in place of ``wake``, at the next tick or at the end, whichever comes first."""
         at = start + (ticks + 1) * self.every
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(min(at, end) if end >= 0 else at)
+        at = min(at, end) if end >= 0 else at
+        if at != wake:
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(at)
+        return at
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        start, end, ticks, processed, active = self.scan.get()
+        start, end, ticks, processed, active, _, waiting = self.scan.get()
         if ticks == OVER:
             self.scan.clear()
             return
-        out = []
-        waiting = {tick: v for (tick,), v in self.waiting.iterator()}
+        held = _unpacked(waiting)
         last = (now - 1 - start) // self.every  # the last tick that the watermark has passed
         over = 0 <= end < now
         if over:
             last = (end - 1 - start) // self.every
-        for tick in range(ticks + 1, last + 1):
-            p, a = waiting.pop(tick, (0, 0))
-            processed, active = processed + p, active + a
-            out.append((start + tick * self.every, processed, active, False))
+        tick = np.arange(ticks + 1, last + 1)
+        passed = np.searchsorted(held[:, 0], tick, "right")
+        sums = np.concatenate([[[processed, active]], held[:, 1:]]).cumsum(axis=0)  # before the first row, and after each
+        at, counts = start + tick * self.every, sums[passed]
         if over:
-            processed, active = processed + sum(p for p, _ in waiting.values()), active + sum(a for _, a in waiting.values())
-            out.append((end, processed, active, True))
-            self.waiting.clear()
+            at, counts = np.append(at, end), np.concatenate([counts, sums[-1:]])
             # late events may still pass until the watermark has moved once more
-            self.scan.update((start, end, OVER, 0, 0))
+            self.scan.update((start, end, OVER, 0, 0, now + 1, b""))
             self.handle.registerTimer(now + 1)
         else:
-            for tick in range(ticks + 1, last + 1):
-                if self.waiting.containsKey((tick,)):
-                    self.waiting.removeKey((tick,))
-            self.scan.update((start, end, max(ticks, last), processed, active))
-            self._wake(start, end, max(ticks, last))
-        if out:
-            at, p, a, final = zip(*out, strict=True)
-            yield pd.DataFrame({"client_key": key[0], "scan_id": key[1], "ts": pd.to_datetime(list(at), unit="ms", utc=True), "processed_count": p, "active_count": a, "elapsed_in_sec": [(t - start) // 1000 for t in at], "final": final})
+            n = int(np.searchsorted(held[:, 0], last, "right"))
+            ticks = max(ticks, last)
+            self.scan.update((start, end, ticks, *sums[n].tolist(), self._wake(start, end, ticks), held[n:].tobytes()))  # Spark deletes the timer that woke it
+        if len(at):
+            final = np.zeros(len(at), bool)
+            final[-1] = over
+            yield pd.DataFrame({"client_key": key[0], "scan_id": key[1], "ts": pd.to_datetime(at, unit="ms", utc=True), "processed_count": counts[:, 0], "active_count": counts[:, 1], "elapsed_in_sec": (at - start) // 1000, "final": final})
 
     def close(self) -> None:
         pass
 
 
+def _unpacked(waiting: bytes) -> np.ndarray:
+    return np.frombuffer(waiting, np.int64).reshape(-1, 3).copy()
+
+
+def _summed(held: np.ndarray) -> np.ndarray:
+    """One row for each tick, in order of ticks."""
+    held = held[np.argsort(held[:, 0], kind="stable")]
+    firsts = np.flatnonzero(np.diff(held[:, 0], prepend=held[0, 0] - 1))
+    return np.column_stack([held[firsts, 0], np.add.reduceat(held[:, 1:], firsts)])
+
+
 def _clean(events: DataFrame) -> DataFrame:
     return events.filter("client_key IS NOT NULL AND scan_id IS NOT NULL AND ts IS NOT NULL").select(
         "client_key",
