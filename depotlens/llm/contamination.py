@@ -1,10 +1,13 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-Items are cut into windows, windows into shingles. All texts are counted once to
-order the benchmark's shingles by rarity. Containment needs every shingle of a
-window, so its rarest one is its necessary prefix: texts are joined to windows on
-that token, places where the window would leave the text are ruled out, and the
-rest is compared word by word.
+Items are cut into windows, windows into shingles. Containment needs every shingle
+of a window, so only runs of places that all hold a benchmark's shingle, as many as
+the shortest window has, can hold a window. One pass over the texts finds them: such
+a run can't lie between two places that are looked at, if these are no farther apart.
+The runs are counted to order the benchmark's shingles by rarity. A window's rarest
+shingle is its necessary prefix: runs are joined to windows on that token, places
+where the window would leave the run are ruled out, and the rest is compared word by
+word.
 
 Windows are rows like any other, so a large benchmark spreads over tasks. Tasks
 that read texts hold a Bloom filter of the benchmark's tokens, of at most
@@ -102,40 +105,70 @@ def _cut_items(window: int):
     return run
 
 
-def _counts(known, widths: list[int]):
+def every(words: list[bytes], hashes: WordHashes, width: int, step: int) -> np.ndarray:
+    """The tokens at places step - 1, 2 * step - 1, ...; of any ``step`` places in a row, one is among these."""
+    n = len(words) - width + 1
+    if n < step:
+        return np.empty(0, np.uint64)
+    if step <= width:
+        return codes(hashes.of(words), width)[step - 1 :: step]
+    beside = np.stack([hashes.of(words[step - 1 + i : n + i : step]) for i in range(width)], axis=1)
+    return codes(beside.ravel(), width)[::width]
+
+
+def _runs(known, steps: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            held = [np.empty(0, np.uint64)]
+            sizes, tokens = [], {width: [np.empty(0, np.uint64)] for width in steps}
             for text in texts(b.column(1)):
-                h = hashes.of(words_of(text))
-                for width in widths:
-                    token = codes(h, width)
-                    held.append(np.unique(token[known.value.places(token)]))
-            token, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+                words = words_of(text)
+                sizes.append(len(words))
+                for width, step in steps.items():
+                    tokens[width].append(every(words, hashes, width, step))
+            runs = [[] for _ in sizes]
+            for width, step in steps.items():
+                ends = np.cumsum([len(x) for x in tokens[width][1:]])
+                at = known.value.places(np.concatenate(tokens[width]))
+                for i in np.unique(np.searchsorted(ends, at, "right")).tolist():
+                    words = words_of(next(texts(b.column(1).slice(i, 1))))
+                    held = np.zeros(len(words) - width + 3, np.int8)
+                    held[known.value.places(codes(hashes.of(words), width)) + 1] = 1
+                    edge = np.flatnonzero(np.diff(held)).tolist()
+                    runs[i] += [{"first": p, "width": width, "words": words[p : q + width - 1]} for p, q in zip(edge[::2], edge[1::2]) if q - p >= step]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(runs, pa.list_(RUN))], names=["id", "n_words", "runs"])
 
     return run
 
 
-def _places(prefix, widths: list[int], window: int):
-    hit = pa.struct([("at", pa.int64()), ("token", pa.int64()), ("lead", pa.int32()), ("around", pa.list_(pa.binary()))])
+RUN = pa.struct([("first", pa.int64()), ("width", pa.int32()), ("words", pa.list_(pa.binary()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for b in batches:
+        held = [np.empty(0, np.uint64)]
+        for runs in b.column(1).to_pylist():
+            held.append(np.unique(np.concatenate([codes(hashes.of(r["words"]), r["width"]) for r in runs])))
+        token, n = np.unique(np.concatenate(held), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+
+
+def _places(prefix, window: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         hashes = WordHashes()
         for b in batches:
-            sizes, hits = [], []
-            for text in texts(b.column(1)):
-                words = words_of(text)
-                h, mine = hashes.of(words), []
-                for width in widths:
-                    token = codes(h, width)
+            for i, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for r in runs:
+                    token = codes(hashes.of(r["words"]), r["width"])
                     for at in prefix.value.places(token).tolist():
                         first = max(0, at - window + 1)
-                        mine.append({"at": at, "token": int(token[at].view(np.int64)), "lead": at - first, "around": words[first : at + window]})
-                sizes.append(len(words))
-                hits.append(mine)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(hit))], names=["id", "n_words", "hits"])
+                        yield i, r["first"] + at, int(token[at].view(np.int64)), at - first, r["words"][first : at + window]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batched(each(batches), CHUNK):
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*part), kinds)], names=["id", "at", "token", "lead", "around"])
 
     return run
 
@@ -144,18 +177,23 @@ def matches(rows: DataFrame, items: DataFrame, window: int = WINDOW, filter_bits
     """(id, n_words) of all rows (id, text), and (id, a, b, item): the words [a, b) are a window of that item (item, text)."""
     share = rows.sparkSession.sparkContext.broadcast
     cuts = cut(map_rows(items, _cut_items(window), "item string, words array<binary>, tokens array<long>"))
-    widths = sorted(r[0] for r in cuts.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect())
+    steps: dict[int, int] = {}
+    for (size,) in cuts.select(F.size("words")).distinct().collect():
+        width = min(size, SHINGLE)
+        steps[width] = min(size - width + 1, steps.get(width, window))
     known = share(token_filter(cuts.select(F.explode("tokens").alias("token")).distinct(), filter_bits))
-    counted = map_rows(rows, _counts(known, widths), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    # a window with a shingle that no text holds is in no text: the inner minimum below drops it
+    found = cut(map_rows(rows, _runs(known, steps), "id long, n_words long, runs array<struct<first:bigint,width:int,words:array<binary>>>"))
+    held = found.filter(F.size("runs") > 0).select("id", "runs")
+    counted = map_rows(held, _counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    # a window with a shingle that no run holds is in no text: the inner minimum below drops it
     placed = cuts.dropDuplicates(["words"]).select("words", F.posexplode("tokens").alias("place", "token")).join(counted, "token", "left")
     rarest = placed.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "place")).alias("r"))
     prefix = cut(rarest.filter("r.n > 0").select("words", F.size("words").alias("size"), "r.token", "r.place"))
     chosen = share(token_filter(prefix.select("token").distinct(), filter_bits))
-    found = cut(map_rows(rows, _places(chosen, widths, window), "id long, n_words long, hits array<struct<at:bigint,token:bigint,lead:int,around:array<binary>>>"))
+    hits = map_rows(held, _places(chosen, window), "id long, at long, token long, lead int, around array<binary>")
     skip = F.col("lead") - F.col("place")
     met = (
-        found.select("id", F.explode("hits").alias("h")).select("id", "h.*").join(prefix, "token")
+        hits.join(prefix, "token")
         .filter((skip >= 0) & (skip + F.col("size") <= F.size("around")))
         .filter(F.slice("around", F.greatest(skip, F.lit(0)) + 1, F.col("size")) == F.col("words"))
         .select("id", (F.col("at") - F.col("place")).alias("a"), (F.col("at") - F.col("place") + F.col("size")).alias("b"), "words")

@@ -207,6 +207,33 @@ def test_contamination_by_shared_windows_and_without_rows(spark):
     assert contamination.contamination(frame(spark, []), table).isEmpty()
 
 
+def test_contamination_reads_each_text_once(spark):
+    """A window at each distance from a text's start and end, windows one word short, and each text goes through Python once."""
+    w = [f"q{k}" for k in range(16)]
+    items = [(1, " ".join(w[:13])), (2, " ".join(w))]
+    rows = [(k, " ".join([f"a{i}" for i in range(k % 30)] + w[: 12 + k % 5] + [f"b{i}" for i in range(k // 30)])) for k in range(300)]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", seen("text"))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in contamination.contamination(docs, table).collect()}
+    assert read.value == len(rows)
+    assert got == benchmark_hits(rows, items)
+
+
+def test_few_places_of_a_text_are_looked_at():
+    words = [f"w{k}".encode() for k in range(100)]
+    for width, step in ((1, 1), (2, 1), (3, 1), (3, 2), (3, 11), (3, 98), (3, 99)):
+        all_places = contamination.codes(shingles.WordHashes().of(words), width)
+        assert contamination.every(words, hashes := shingles.WordHashes(), width, step).tolist() == all_places[step - 1 :: step].tolist()
+        assert step <= width or len(hashes) <= width * (100 // step)
+
+
 # packing
 
 
