@@ -103,21 +103,23 @@ def _region_rows(slices: Callable[[bytes], Callable[[int, int], bytes]], length:
     return run
 
 
-def _spans(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A boolean array as (start, length) of its runs of True."""
-    edge = np.diff(np.concatenate(([0], first.astype(np.int8), [0])))
-    a = np.flatnonzero(edge == 1)
-    return a, np.flatnonzero(edge == -1) - a
+def _spans(news: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Boolean arrays as (array, start, length) of their runs of True."""
+    begins = np.cumsum([1, *(len(x) + 1 for x in news)])
+    flags = np.zeros(begins[-1], np.int8)
+    for begin, new in zip(begins.tolist(), news, strict=False):
+        flags[begin : begin + len(new)] = new
+    edge = np.diff(flags)
+    a, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+    of = np.searchsorted(begins, a, "right") - 1
+    return of, a - begins[of], end - a
 
 
 def _shard(index: Callable[[list[bytes]], list[np.ndarray]]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "start"], kind="stable")
-        rows = []
-        for i, start, new in zip(pdf["id"], pdf["start"], index(list(pdf["units"])), strict=True):
-            a, c = _spans(new)
-            rows.append(pd.DataFrame({"id": np.full(len(a), i, np.int64), "a": (a + start).astype(np.int32), "c": c.astype(np.int32)}))
-        return pd.concat(rows) if rows else pd.DataFrame({"id": [], "a": [], "c": []})
+        of, a, c = _spans(index(list(pdf["units"])))
+        return pd.DataFrame({"id": pdf["id"].to_numpy()[of], "a": (a + pdf["start"].to_numpy()[of]).astype(np.int32), "c": c.astype(np.int32)})
 
     return run
 
@@ -213,8 +215,8 @@ def removed_units(n: int, length: int, sent, kept) -> np.ndarray:
     for (a, c), sign in ((sent, 1), (kept, -1)):
         np.add.at(windows, a, sign)
         np.add.at(windows, a + c, -sign)
-    hit = np.flatnonzero(np.cumsum(windows[:n]) > 0)
+    edge = np.flatnonzero(np.diff(np.cumsum(windows[:n]) > 0, prepend=False, append=False))
     cover = np.zeros(n + length + 1, np.int32)
-    np.add.at(cover, hit, 1)
-    np.add.at(cover, hit + length, -1)
+    cover[edge[::2]] = 1
+    cover[edge[1::2] + length - 1] -= 1
     return np.cumsum(cover[:n]) > 0

@@ -3,8 +3,8 @@
 Each shard's array (see ``repeats``) is built by induced sorting in numpy: the
 suffixes are classified, the leftmost-smaller (LMS) substrings are induced into
 order and named, the names are sorted recursively, and the whole array is induced
-from them bucket by bucket. Permuted common prefixes then tell which neighbours of
-the array share a window.
+from them bucket by bucket. Neighbours of the array that share a window are found in
+text order, as permuted common prefixes are, a run of windows at a time.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def classify(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))  # runs of one symbol share their class
     rises = np.append(t[start[1:]] > t[start[:-1]], True)
     smaller[:] = np.repeat(rises, np.diff(np.append(start, n)))
-    return smaller, np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    return smaller, (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
 
 
 def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
@@ -42,16 +42,18 @@ def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> n
     bounds = np.searchsorted(symbols, np.arange(sigma + 1))
     for c in range(sigma):
         seeds[c] = sorted_lms[bounds[c] : bounds[c + 1]]
+    kinds = t * 2 + smaller  # symbol and class in one read
     larger: list[list[np.ndarray]] = [[] for _ in range(sigma)]
     less: list[list[np.ndarray]] = [[] for _ in range(sigma)]
 
     def pass_on(at: np.ndarray, want: bool, c: int, to: list[list[np.ndarray]]) -> np.ndarray:
         """Send the positions before ``at`` that are of the wanted class to their buckets; those of bucket c come back."""
         before = at[at > 0] - 1
-        before = before[smaller[before] == want]
-        symbol = t[before]
-        own = before[symbol == c]
+        kind = kinds[before]
+        wanted = (kind & 1) == want
+        before, symbol = before[wanted], kind[wanted] >> 1
         rest = symbol != c
+        own = before[~rest]
         before, symbol = before[rest], symbol[rest]
         if len(before):
             by = np.argsort(symbol, kind="stable")
@@ -80,7 +82,7 @@ def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> n
                 less[c].append(own)
         if larger[c]:
             pass_on(np.concatenate(larger[c])[::-1], True, c, less)
-    less[0] = [np.array([len(t) - 1])]  # the end
+    less[0] = [np.array([len(t) - 1], np.int32)]  # the end
     return np.concatenate([x for c in range(sigma) for x in (*larger[c], *(y[::-1] for y in reversed(less[c])))])
 
 
@@ -113,7 +115,7 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
         is_lms = np.zeros(len(t), bool)
         is_lms[lms] = True
         by = array[is_lms[array]]
-        end = np.full(len(t), len(t) - 1)
+        end = np.full(len(t), len(t) - 1, np.int32)
         end[lms[:-1]] = lms[1:]
         size = end[by] - by + 1
         same = size[1:] == size[:-1]
@@ -132,38 +134,49 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     return induce(t, smaller, lms, sigma)
 
 
-def shared_prefixes(text: bytes, array: np.ndarray, length: int) -> np.ndarray:
-    """By text position: how many bytes, up to ``length``, a suffix shares with the one before it in the array (permuted common prefixes)."""
+def shared_windows(text: bytes, array: np.ndarray, length: int) -> np.ndarray:
+    """By text position: whether a suffix shares its first ``length`` bytes with the one before it in the array.
+
+    As with permuted common prefixes, neighbours in the text are mostly neighbours of one earlier passage:
+    where the last eight bytes agree on such a run, the windows of the run are settled by the
+    last byte that differs in its first one.
+    """
     n = len(array)
-    before = np.full(n, -1)
+    before = np.full(n, -1, np.int32)
     before[array[1:]] = array[:-1]
-    out = np.zeros(n, np.int32)
-    live = np.flatnonzero(before >= 0)
-    other = before[live]
     # eight bytes from each place on
     eights = np.ndarray((n + length,), "<u8", text + bytes(length + 16), strides=(1,))
-    for k in range(0, length, 8):
-        differ = eights[live + k] ^ eights[other + k]
+    mask, tail = np.uint64(256 ** min(8, length) - 1), max(0, length - 8)
+    live = np.flatnonzero(before >= 0)
+    live = live[(eights[live + tail] ^ eights[before[live] + tail]) & mask == 0]
+    other = before[live]
+    head = np.flatnonzero(np.concatenate(([True], (live[1:] != live[:-1] + 1) | (other[1:] != other[:-1] + 1)))[: len(live)])
+    last = np.full(len(head), -1)
+    left, k = np.arange(len(head)), tail
+    while k > 0 and len(left):
+        k = max(0, k - 8)
+        differ = eights[live[head[left]] + k] ^ eights[other[head[left]] + k]
         stop = np.flatnonzero(differ)
-        low = differ[stop] & (~differ[stop] + np.uint64(1))
-        out[live[stop]] = k + (np.frexp(low.astype(np.float64))[1] - 1) // 8
-        go = differ == 0
-        live, other = live[go], other[go]
-    out[live] = length
-    return np.minimum(out, length)
+        last[left[stop]] = k + 7 - np.argmax(differ[stop].astype(">u8").view(np.uint8).reshape(-1, 8) != 0, axis=1)
+        left = left[differ == 0]
+    size = np.diff(np.append(head, len(live)))
+    out = np.zeros(n, bool)
+    out[live] = np.arange(len(live)) - np.repeat(head, size) > np.repeat(last, size)
+    return out
 
 
 def new_windows(regions: list[bytes], length: int) -> list[np.ndarray]:
     """For each region, which of its windows start at no earlier place of the regions."""
     joined = b"\0".join(regions)  # a window holds no border, so what borders compare to is of no matter
-    used, coded = np.unique(np.frombuffer(joined, np.uint8), return_inverse=True)
-    t = np.append(coded.astype(np.int16) + 1, np.int16(0))
+    data = np.frombuffer(joined, np.uint8)
+    symbol = np.cumsum(np.bincount(data, minlength=256) > 0).astype(np.int16)
+    t = np.append(symbol[data], np.int16(0))
     starts = np.cumsum([0, *(len(r) + 1 for r in regions)])
     array = suffix_array(t, length)
     whole = np.zeros(len(t), bool)
     for s, r in zip(starts, regions, strict=False):
         whole[s : s + len(r) - length + 1] = True
-    joins = shared_prefixes(joined, array, length)[array] >= length
+    joins = shared_windows(joined, array, length)[array]
     inside = whole[array]
     at, group = array[inside], np.cumsum(~joins)[inside]
     first = np.zeros(len(t), bool)

@@ -8,6 +8,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from depotlens.llm import automaton, chat, contamination, exact, html, jaccard, language, packing, registry, shingles, suffixes, toxicity
+from depotlens.llm import repeats as repeats_module
 from depotlens.llm.common import components
 from depotlens.llm.repeats import removed_units, repeat_windows
 
@@ -180,6 +181,45 @@ def test_suffix_array_is_the_sorted_suffixes():
         assert suffixes.suffix_array(t, 1000).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
+@pytest.mark.parametrize("length", [3, 8, 11, 100])
+def test_windows_of_a_shard(length):
+    """Against plain sets: periods, long copies with one changed byte, zero bytes, regions of one window."""
+    rng = np.random.default_rng(length)
+    say = lambda n, most=4: bytes(rng.integers(97, 97 + most, n).astype(np.uint8))
+    long = say(400)
+    regions = [say(length), long, long[:150] + b"z" + long[151:], long[7:], b"ab" * 200, b"ab" * 170, b"a" * 300, bytes(250), bytes(length), long[:120] + bytes(9) + long[120:], say(600, 1), b"\xff" * 130]
+    regions = [r for r in regions if len(r) >= length]
+    seen, want = set(), []
+    for r in regions:
+        want.append([])
+        for k in range(len(r) - length + 1):
+            want[-1].append(r[k : k + length] not in seen)
+            seen.add(r[k : k + length])
+    assert [x.tolist() for x in suffixes.new_windows(regions, length)] == want
+
+
+def test_a_shard_of_many_regions_is_one_table(monkeypatch):
+    made, table = [], repeats_module.pd.DataFrame
+    regions = table({"id": [k % 250 for k in range(500)], "start": [k // 250 * 9 for k in range(500)], "units": [b"%05d" % k for k in range(500)]}).astype({"start": "int32"})
+    monkeypatch.setattr(repeats_module.pd, "DataFrame", lambda *a: made.append(1) or table(*a))
+    news = lambda units: [np.array([[1, 1, 0, 1], [0, 0, 0], [1], [0, 1, 1]][int(u) % 4], bool) for u in units]
+    got = repeats_module._shard(news)(regions)
+    runs = ([(0, 2), (3, 1)], [], [(0, 1)], [(1, 2)])
+    want = [(i, s + a, c) for i, s, u in sorted(zip(regions["id"], regions["start"], regions["units"])) for a, c in runs[int(u) % 4]]
+    assert list(zip(got["id"].tolist(), got["a"].tolist(), got["c"].tolist())) == want and len(made) == 1
+    assert repeats_module._shard(lambda units: [])(regions[:0]).empty
+
+
+def test_removed_units():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n, length = int(rng.integers(10, 60)), int(rng.integers(1, 10))
+        at = np.flatnonzero(rng.random(n - length + 1) < 0.3)
+        sent, new = (at, np.ones(len(at), int)), at[rng.random(len(at)) < 0.5]
+        want = [any(x <= i < x + length for x in set(at) - set(new)) for i in range(n)]
+        assert removed_units(n, length, sent, (new, np.ones(len(new), int))).tolist() == want
+
+
 # decontamination
 
 
